@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafstack.llm import speculative_bpe
+from leafstack.llm import speculative_bpe, token_counts
 from leafstack.llm._common import documents
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op4_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document."""
+    return token_counts.count_tokens(documents(spark, sf_dir), speculative_bpe.tokenizer_file(TOKENIZER))
+
+
 def op9_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, decoded text and their digests for every document."""
     return speculative_bpe.round_trip(documents(spark, sf_dir), speculative_bpe.tokenizer_file(TOKENIZER), keep=("doc_id",))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_transducer_token_counts": op4_transducer_token_counts,
     "op9_speculative_bpe": op9_speculative_bpe,
 }
 
