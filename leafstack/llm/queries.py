@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafstack.llm import speculative_bpe, token_counts
+from leafstack.llm import simhash, speculative_bpe, token_counts
 from leafstack.llm._common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +18,12 @@ def op4_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), speculative_bpe.tokenizer_file(TOKENIZER))
 
 
+def op6_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; links at two differing bits or fewer."""
+    classes = simhash.linked_classes(documents(spark, sf_dir), budget=2, n=3)
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op9_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, decoded text and their digests for every document."""
     return speculative_bpe.round_trip(documents(spark, sf_dir), speculative_bpe.tokenizer_file(TOKENIZER), keep=("doc_id",))
@@ -24,6 +31,7 @@ def op9_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_transducer_token_counts": op4_transducer_token_counts,
+    "op6_simhash_trie_join": op6_simhash_trie_join,
     "op9_speculative_bpe": op9_speculative_bpe,
 }
 
