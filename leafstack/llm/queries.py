@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafstack.llm import simhash, speculative_bpe, token_counts
+from leafstack.llm import cuckoo_dedup, repair_grammar, simhash, speculative_bpe, token_counts
 from leafstack.llm._common import documents
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row of equal texts stays, for every document."""
+    return cuckoo_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
 def op4_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     return token_counts.count_tokens(documents(spark, sf_dir), speculative_bpe.tokenizer_file(TOKENIZER))
@@ -29,10 +34,31 @@ def op9_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speculative_bpe.round_trip(documents(spark, sf_dir), speculative_bpe.tokenizer_file(TOKENIZER), keep=("doc_id",))
 
 
+def op10_repair_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as read back from the grammar blocks that hold the corpus in doc_id order."""
+    return repair_grammar.write_and_read(documents(spark, sf_dir), speculative_bpe.tokenizer_file(TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op4_transducer_token_counts": op4_transducer_token_counts,
     "op6_simhash_trie_join": op6_simhash_trie_join,
     "op9_speculative_bpe": op9_speculative_bpe,
+    "op10_repair_token_blocks": op10_repair_token_blocks,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_cuckoo_dedup": """
+WITH normal AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS bare
+  FROM documents
+), ranked AS (
+  SELECT doc_id, bare,
+         first_value(doc_id) OVER (PARTITION BY bare ORDER BY chars DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY bare) AS group_size
+  FROM normal
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM ranked
+""",
+}
