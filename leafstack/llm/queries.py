@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafstack.llm import cuckoo_dedup, repair_grammar, simhash, speculative_bpe, token_counts
+from leafstack.llm import cuckoo_dedup, kdtree_shards, repair_grammar, simhash, speculative_bpe, token_counts
 from leafstack.llm._common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,12 @@ def op6_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty shards of near equal bytes."""
+    placed = kdtree_shards.shards(documents(spark, sf_dir), count=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, decoded text and their digests for every document."""
     return speculative_bpe.round_trip(documents(spark, sf_dir), speculative_bpe.tokenizer_file(TOKENIZER), keep=("doc_id",))
@@ -43,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op4_transducer_token_counts": op4_transducer_token_counts,
     "op6_simhash_trie_join": op6_simhash_trie_join,
+    "op7_kdtree_shards": op7_kdtree_shards,
     "op9_speculative_bpe": op9_speculative_bpe,
     "op10_repair_token_blocks": op10_repair_token_blocks,
 }
