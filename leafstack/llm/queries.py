@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafstack.llm import cuckoo_dedup, kdtree_shards, repair_grammar, simhash, speculative_bpe, token_counts
+from leafstack.llm import cuckoo_dedup, decontaminate, kdtree_shards, language_id, license_scan, repair_grammar, simhash, speculative_bpe, token_counts, toxicity
 from leafstack.llm._common import documents
 
 TOKENIZER = "word_bpe_49k.json"
+TOXIC = 0.3
 
 
 def op1_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +19,40 @@ def op1_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def _remainder(of: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Fitted on the labelled rows of ``docs`` that are not held out."""
+    return toxicity.train(docs.where(_remainder(4) != 2), spark.read.parquet(f"{sf_dir}/labels.parquet").where(_remainder(4) != 2))
+
+
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document."""
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op3_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = documents(spark, sf_dir)
+    model = language_id.train(docs.where(_remainder(3) != 1))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     return token_counts.count_tokens(documents(spark, sf_dir), speculative_bpe.tokenizer_file(TOKENIZER))
 
 
+def op5_patience_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document, with their coverage and place."""
+    return license_scan.find_licenses(documents(spark, sf_dir))
+
+
 def op6_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links at two differing bits or fewer."""
     classes = simhash.linked_classes(documents(spark, sf_dir), budget=2, n=3)
@@ -35,6 +65,11 @@ def op7_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they contain, also with other numbers, units or names."""
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, decoded text and their digests for every document."""
     return speculative_bpe.round_trip(documents(spark, sf_dir), speculative_bpe.tokenizer_file(TOKENIZER), keep=("doc_id",))
@@ -47,9 +82,13 @@ def op10_repair_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
+    "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
+    "op3_cross_parsing_language": op3_cross_parsing_language,
     "op4_transducer_token_counts": op4_transducer_token_counts,
+    "op5_patience_license_scan": op5_patience_license_scan,
     "op6_simhash_trie_join": op6_simhash_trie_join,
     "op7_kdtree_shards": op7_kdtree_shards,
+    "op8_template_decontamination": op8_template_decontamination,
     "op9_speculative_bpe": op9_speculative_bpe,
     "op10_repair_token_blocks": op10_repair_token_blocks,
 }
