@@ -64,12 +64,18 @@ def spanning(i: np.ndarray, j: np.ndarray, level: np.ndarray, n: int) -> np.ndar
 
 
 class Forest:
-    """A minimum spanning forest of pairs that arrive in blocks."""
+    """Of pairs that arrive in blocks, a minimum spanning forest, one of the pairs outside it, and so on ``depth`` times."""
 
-    def __init__(self, n: int):
-        self.n, self.i, self.j, self.level = n, *(np.zeros(0, np.int64) for _ in range(3))
+    def __init__(self, n: int, depth: int = 1):
+        self.n, self.depth = n, depth
+        self.i, self.j, self.level = (np.zeros(0, np.int64) for _ in range(3))
 
     def add(self, i: np.ndarray, j: np.ndarray, level: np.ndarray) -> None:
         i, j, level = np.concatenate([self.i, i]), np.concatenate([self.j, j]), np.concatenate([self.level, level])
-        at = spanning(i, j, level, self.n)
+        left, chosen = np.arange(len(i)), []
+        for _ in range(self.depth):
+            at = spanning(i[left], j[left], level[left], self.n)
+            chosen.append(left[at])
+            left = np.delete(left, at)
+        at = np.concatenate(chosen)
         self.i, self.j, self.level = i[at], j[at], level[at]
