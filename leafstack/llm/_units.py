@@ -6,7 +6,9 @@ and spread over the texts by integer gathers.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,19 @@ class Units:
         return cls(codes, ends, names)
 
     def spread(self, rows: list) -> tuple[np.ndarray, np.ndarray]:
-        """``rows``: an int sequence per name. Returns all texts' sequences joined, and their bounds."""
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if lengths.sum() else np.zeros(0, np.int64)
+        """``rows``: per name an int sequence, or the bytes of 32-bit integers. Returns all texts' sequences joined, and their bounds."""
+        flat, lengths = ragged(rows)
         return gather(flat, lengths, self.codes, self.bounds)
 
 
+def ragged(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Int sequences, or bytes of 32-bit integers, joined; and their lengths."""
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    if rows and isinstance(rows[0], bytes):
+        return np.frombuffer(b"".join(rows), np.int32).astype(np.int64), lengths >> 2
+    return np.fromiter(chain.from_iterable(rows), np.int64, lengths.sum()), lengths
+
+
 def gather(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Replace each code by its row of the ragged array ``flat``; also the bounds of the texts in the result."""
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(lengths) else np.zeros(0, np.int64)
@@ -62,19 +71,24 @@ class Memo:
 
     def __init__(self, make: Callable[[list[str]], list], limit: int = 200_000):
         self.make, self.limit, self.young, self.old = make, limit, {}, {}
+        gc.set_threshold(300_000, 20, 50)  # many small lists live long here; scanning them often costs more than it frees
 
     def __call__(self, names: list[str]) -> list:
         young, old = self.young, self.old
+        out = list(map(young.get, names))
+        absent = [i for i, x in enumerate(out) if x is None]
         missing = []
-        for x in names:
-            if x not in young:
-                if x in old:
-                    young[x] = old[x]
-                else:
-                    missing.append(x)
+        for i in absent:
+            x = names[i]
+            if (known := old.get(x)) is None:
+                missing.append(x)
+            else:
+                out[i] = young[x] = known
         if missing:
             young.update(zip(missing, self.make(missing), strict=True))
-        out = [young[x] for x in names]
+            for i in absent:
+                if out[i] is None:
+                    out[i] = young[names[i]]
         if len(young) > self.limit:
             self.young, self.old = {}, young
         return out

@@ -16,6 +16,7 @@ rows of one id count once, null ids together; empty tables give an empty table;
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafstack.llm._common import arrow_rows, pieces, text_or_empty, written
-from leafstack.llm._units import Memo, Units
+from leafstack.llm._units import Memo, Units, gather
 
 #: Words that are units of measure. Fixed values.
 UNIT_WORDS = frozenset(
@@ -73,30 +74,51 @@ class Canonical:
     """Template tokens of texts, in both readings."""
 
     def __init__(self) -> None:
-        self.plain = Memo(lambda units: [[_hash(*t, False) for t in tokens_of(u)] for u in units])
-        self.named = Memo(lambda units: [[_hash(*t, True) for t in tokens_of(u)] for u in units])
+        self.hashes = Memo(self._rows)
+
+    @staticmethod
+    def _rows(units: list[str]) -> list[bytes]:
+        """Per unit the plain and the named hash of each of its tokens, as bytes of 64-bit integers."""
+        out = []
+        for u in units:
+            row = array("q")
+            for kind, word in tokens_of(u):
+                plain = _hash(kind, word, False)
+                row.append(plain)
+                row.append(_hash(kind, word, True) if kind == NAME else plain)
+            out.append(row.tobytes())
+        return out
 
     def read(self, texts: pa.Array) -> tuple[Units, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Units; token hashes of the plain and of the named reading; bounds of the texts in tokens; unit of each token."""
         units = Units.of(texts)
-        plain, bounds = units.spread(self.plain(units.names))
-        named, _ = units.spread(self.named(units.names))
-        lengths = np.fromiter(map(len, self.plain(units.names)), np.int64, len(units.names))
+        rows = self.hashes(units.names)
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) >> 4
+        both = np.frombuffer(b"".join(rows), np.int64).reshape(-1, 2)
+        at, bounds = gather(np.arange(len(both)), lengths, units.codes, units.bounds)
         unit_of = np.repeat(np.arange(len(units.codes)), lengths[units.codes]) if len(units.codes) else units.codes
-        return units, plain, named, bounds, unit_of
+        return units, both[at, 0], both[at, 1], bounds, unit_of
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every run of ``size`` tokens (across texts too; the caller drops those)."""
-    n = len(tokens) - size + 1
-    if n <= 0:
+    """A hash of every run of ``size`` tokens (across texts too; the caller drops those).
+
+    Runs of 1, 2, 4, ... tokens are hashed by joining halves, and the runs that make up ``size`` are joined.
+    """
+    if len(tokens) < size:
         return np.zeros(0, np.int64)
-    t, out = tokens.view(np.uint64), np.zeros(n, np.uint64)
-    for k in range(size):
-        out = out * np.uint64(_BASE) + t[k : k + n]
+    part, length, done, total, mask = tokens.view(np.uint64), 1, None, 0, (1 << 64) - 1
+    while length <= size:
+        if size & length:
+            done = part if done is None else done[: len(part) - total] * np.uint64(pow(_BASE, length, mask + 1)) + part[total:]
+            total += length
+        if 2 * length <= size:
+            part = part[:-length] * np.uint64(pow(_BASE, length, mask + 1)) + part[length:]
+        length *= 2
+    out = done[: len(tokens) - size + 1].copy()
     out ^= out >> np.uint64(29)
     return (out * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)).view(np.int64)
 
