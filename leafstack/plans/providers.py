@@ -16,6 +16,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, FloatType
 
 from leafstack.config import DEFAULTS
 
@@ -74,7 +75,7 @@ def unit_rows(rows: list[list[float]], expected: int) -> np.ndarray:
 
 def embed_documents(df: DataFrame, provider: EmbeddingProvider, text: str, vector: str = "dense", batch: int = DEFAULTS.embed_batch) -> DataFrame:
     """``df`` with unit vectors of ``text``; each call has at most ``batch`` texts, and rows keep their vectors by position in the batch."""
-    schema = df.drop(vector).schema.add(vector, "array<float>")
+    schema = df.drop(vector).schema.add(vector, ArrayType(FloatType()))
     names = [f.name for f in schema.fields if f.name != vector]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
