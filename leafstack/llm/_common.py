@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -93,6 +95,46 @@ def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iter
         yield batch.slice(start)
 
 
+def release_memory() -> None:
+    """Give memory that a worker has freed back to the system; its allocators would keep it for later."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+#: Bits of the filter that is broadcast by ``inside`` and ``outside``: at most this many, in words of 64.
+FILTER_BITS = 1 << 24
+
+
+def _flagged(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``df`` with _hit: false only if ``column`` is certainly not in ``ids``.
+
+    The filter is a hash bitmap of at most ``FILTER_BITS`` / 64 rows however many ids there are; when it fills up it lets
+    more rows through to the exact join, and nothing else changes.
+    """
+    bits = 1 << 16
+    while bits < min(FILTER_BITS, 32 * ids.count()):
+        bits *= 2
+    place = lambda: F.pmod(F.xxhash64(column), F.lit(bits))
+    words = ids.select(F.shiftright(place(), 6).alias("_word"), F.lit(1).cast("long").alias("_one"), (place() % 64).cast("int").alias("_bit"))
+    words = words.groupBy("_word").agg(F.bit_or(F.call_function("shiftleft", F.col("_one"), F.col("_bit"))).alias("_mask"))
+    keyed = df.withColumn("_at", place()).withColumn("_word", F.shiftright("_at", 6))
+    bit = F.call_function("shiftrightunsigned", F.coalesce("_mask", F.lit(0).cast("long")), (F.col("_at") % 64).cast("int")).bitwiseAND(F.lit(1))
+    return keyed.join(F.broadcast(words), "_word", "left").withColumn("_hit", F.col(column).isNotNull() & (bit == 1))
+
+
+def inside(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is in the written table ``ids``; only rows that the filter lets through are shuffled."""
+    return _flagged(df, ids, column).where("_hit").select(*df.columns).join(ids, column, "left_semi").select(*df.columns)
+
+
+def outside(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is null or not in the written table ``ids``; other rows are not shuffled."""
+    flagged = _flagged(df, ids, column)
+    doubtful = flagged.where("_hit").select(*df.columns).join(ids, column, "left_anti").select(*df.columns)
+    return flagged.where("NOT _hit").select(*df.columns).unionByName(doubtful)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafstack.llm._common import arrow_rows, pieces, written
+from leafstack.llm._common import arrow_rows, outside, pieces, written
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SLOTS = 4
@@ -246,4 +246,4 @@ def exact_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text") -
 def without_copies(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` without the rows that an equal text replaces; all columns stay as they are."""
     dropped = exact_duplicates(df, ident, text).where(~F.col("kept")).select(ident).distinct()
-    return df.join(written(dropped, "dropped"), ident, "left_anti").select(*df.columns)
+    return outside(df, written(dropped, "dropped"), ident)

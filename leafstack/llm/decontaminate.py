@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafstack.llm._common import arrow_rows, pieces, text_or_empty, written
+from leafstack.llm._common import arrow_rows, outside, pieces, text_or_empty, written
 from leafstack.llm._units import Memo, Units, gather
 
 #: Words that are units of measure. Fixed values.
@@ -187,8 +187,8 @@ def template_windows(items: DataFrame, ident: str = "item_id", text: str = "text
 def contaminated(df: DataFrame, items: DataFrame, ident: str = "doc_id", item: str = "item_id", text: str = "text", window: int = 13, least: int = 8, literal: int = 7, bound: int = 500_000) -> DataFrame:
     """Columns ``ident``, ``item``, windows long, coverage double, first long, last long (tokens), altered boolean.
 
-    windows and coverage: the windows of the item that the text has, and their share of all; altered: no reading of any
-    of them has the item's own fillers.
+    windows and coverage: the windows of the item that the text has, and their share of all; altered: one of
+    them is there only with other fillers than the item's own.
     """
     spark = df.sparkSession
     arrow_rows(spark)
@@ -226,6 +226,12 @@ def contaminated(df: DataFrame, items: DataFrame, ident: str = "doc_id", item: s
     same = F.max((F.col("slots") == F.col("item_slots")).cast("int"))
     by_window = hits.groupBy(ident, "_item", "item_at").agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col("size") - 1).alias("hi"), same.alias("same"))
     totals = bench.select("_item", "item_at").distinct().groupBy("_item").agg(F.count("*").alias("total"))
-    out = by_window.groupBy(ident, "_item").agg(F.count("*").alias("windows"), F.min("lo").alias("first"), F.max("hi").alias("last"), F.max("same").alias("same"))
+    out = by_window.groupBy(ident, "_item").agg(F.count("*").alias("windows"), F.min("lo").alias("first"), F.max("hi").alias("last"), F.min("same").alias("same"))
     joined = out.join(F.broadcast(totals) if small else totals, "_item")
     return joined.select(ident, F.col("_item").alias(item), "windows", F.round(F.col("windows") / F.col("total"), 4).alias("coverage"), "first", "last", (F.col("same") == 0).alias("altered"))
+
+
+def without_contaminated(df: DataFrame, items: DataFrame, ident: str = "doc_id", item: str = "item_id", text: str = "text", **settings) -> DataFrame:
+    """``df`` without the rows that share a window with an item; rows with a null ``ident`` stay."""
+    found = contaminated(df, items, ident, item, text, **settings).select(ident).where(F.col(ident).isNotNull()).distinct()
+    return outside(df, written(found, "contaminated"), ident)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafstack.llm._common import arrow_rows, drop_written, pieces, written
+from leafstack.llm._common import arrow_rows, pieces, written
 from leafstack.llm.components import Forest, components
 
 SEED = 42
@@ -178,19 +178,31 @@ def _opened(rows: DataFrame, level: int, budget: int) -> DataFrame:
     return rows.withColumn("unit", F.xxhash64("unit", F.lit(level), low, high)).withColumn("side", side).drop("_p", "_q")
 
 
+def _live(units: DataFrame) -> DataFrame:
+    """unit, work double (pairs that a unit could compare) of the units that compare anything."""
+    side = lambda k: F.sum((F.col("side") == k).cast("long"))
+    sizes = units.groupBy("unit").agg(side(0).alias("n0"), side(1).alias("n1"), side(2).alias("n2"))
+    return sizes.select("unit", (F.col("n0") * (F.col("n0") - 1) / 2 + F.col("n1") * F.col("n2")).alias("work")).where("work > 0")
+
+
 def dealt(units: DataFrame, budget: int, largest: int = 2000) -> DataFrame:
-    """Open units until none has more than ``largest`` rows (or its rows agree on every bit)."""
-    level = 0
+    """Open units until none compares more pairs than ``largest`` rows with each other (or all bits are used up).
+
+    Of an opened unit only pairs of nodes that both have rows are kept, so a dense group is cut into as many units as its
+    work needs and its rows are not copied into pairs that compare nothing.
+    """
+    most, done, level = largest * (largest - 1) / 2, None, 0
     while OPEN_BITS * level < 64:
-        large = units.groupBy("unit").count().where(F.col("count") > largest).select("unit")
-        large = written(large, "large_units")
+        large = written(_live(units).where(F.col("work") > most).select("unit"), "large_units")
         if large.isEmpty():
-            drop_written(large)
-            return units
-        hot = _opened(units.join(large, "unit", "left_semi"), level, budget)
-        units = written(units.join(large, "unit", "left_anti").unionByName(hot), "units")
+            break
+        rest = units.join(large, "unit", "left_anti")
+        opened = _opened(units.join(large, "unit", "left_semi"), level, budget)
+        opened = written(opened.join(_live(opened).select("unit"), "unit", "left_semi"), "opened_units")
+        done = rest if done is None else done.unionByName(rest)
+        units = opened
         level += 1
-    return units
+    return units if done is None else done.unionByName(units)
 
 
 def segments(batches: Iterable[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:
