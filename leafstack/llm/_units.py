@@ -6,6 +6,7 @@ and spread over the texts by integer gathers.
 
 from __future__ import annotations
 
+import functools
 import gc
 from collections.abc import Callable
 from itertools import chain
@@ -18,8 +19,12 @@ import pyarrow.compute as pc
 class Units:
     """``codes[bounds[i]:bounds[i + 1]]`` are the units of text i, as positions in ``names``."""
 
-    def __init__(self, codes: np.ndarray, bounds: np.ndarray, names: list[str]):
-        self.codes, self.bounds, self.names = codes, bounds, names
+    def __init__(self, codes: np.ndarray, bounds: np.ndarray, dictionary: pa.Array):
+        self.codes, self.bounds, self.dictionary = codes, bounds, dictionary
+
+    @functools.cached_property
+    def names(self) -> list[str]:
+        return self.dictionary.to_pylist()
 
     @classmethod
     def of(cls, texts: pa.Array) -> Units:
@@ -27,12 +32,12 @@ class Units:
         parts = pc.ascii_split_whitespace(texts.fill_null(""))
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        if "" in names:  # the splitter gives an empty unit at either end of a padded text
-            keep = codes != names.index("")
+        codes, empty = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.index(coded.dictionary, "").as_py()
+        if empty >= 0:  # the splitter gives an empty unit at either end of a padded text
+            keep = codes != empty
             ends = np.concatenate([[0], np.cumsum(keep)])[ends]
             codes = codes[keep]
-        return cls(codes, ends, names)
+        return cls(codes, ends, coded.dictionary)
 
     def spread(self, rows: list) -> tuple[np.ndarray, np.ndarray]:
         """``rows``: per name an int sequence, or the bytes of 32-bit integers. Returns all texts' sequences joined, and their bounds."""
@@ -69,7 +74,7 @@ class Memo:
     Frequent units are carried over by use, so a worker's memory stays bounded and the common words stay known.
     """
 
-    def __init__(self, make: Callable[[list[str]], list], limit: int = 200_000):
+    def __init__(self, make: Callable[[list[str]], list], limit: int = 100_000):
         self.make, self.limit, self.young, self.old = make, limit, {}, {}
         gc.set_threshold(300_000, 20, 50)  # many small lists live long here; scanning them often costs more than it frees
 

@@ -29,6 +29,19 @@ from leafstack.llm._units import Memo, Units
 _PRINTABLE = regex.compile(r"[!-~]+")
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The printable stand-in of every byte: itself where it is a printable character, else the next one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+_BYTES = _byte_alphabet()
+
+
+def byte_level(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+
+
 class WordBpe:
     """The merges of a tokenizer file whose pre-tokens never cross white space (BPE with a word-end suffix)."""
 
@@ -64,6 +77,14 @@ class WordBpe:
 
     def pretokens(self, unit: str) -> list[str | int]:
         """The words of a unit as byte-level strings; a special string is its id."""
+        if not unit:
+            return []
+        # the commonest shapes need no pattern: letters below U+0250, with or without one mark after them
+        if unit.isalpha():
+            if max(unit) < "\u0250" and "\u0130" not in unit:
+                return [byte_level(unit.lower())]
+        elif unit[-1] in ",.!?;:" and (stem := unit[:-1]).isalpha() and max(stem) < "\u0250" and "\u0130" not in stem:
+            return [byte_level(stem.lower()), unit[-1]]
         if self.special_pattern and "<|" in unit and self.special_pattern.search(unit):
             out, at = [], 0
             for m in self.special_pattern.finditer(unit):

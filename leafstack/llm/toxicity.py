@@ -109,7 +109,7 @@ class Scorer:
         pairs = np.unique(text_of[take] * max(len(rows), 1) + units.codes[take])
         text_of, codes = pairs // max(len(rows), 1), pairs % max(len(rows), 1)
         bounds = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(texts)))])
-        flat, bounds = Units(codes, bounds, units.names).spread(rows)
+        flat, bounds = Units(codes, bounds, units.dictionary).spread(rows)
         pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * max(len(self.names), 1) + flat)
         return pairs // max(len(self.names), 1), pairs % max(len(self.names), 1)
 
