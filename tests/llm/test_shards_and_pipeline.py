@@ -1,0 +1,105 @@
+"""Shards of equal bytes, and the pipeline stage by stage."""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+import corpus_pipeline
+import pytest
+from helpers import ODD, SCHEMA, frame, prose
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from leafstack.llm import kdtree_shards, speculative_bpe
+from leafstack.llm._common import documents
+from leafstack.llm.queries import QUERIES
+
+
+def check(out, texts, count):
+    assert len(out) == len(texts)
+    slots = {}
+    for r in out:
+        t = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(t) + 16, zlib.crc32(t)) and 0 <= r.shard < count
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return [sum(r.size for r in out if r.shard == s) for s in range(count)]
+
+
+def test_equal_bytes(spark):
+    texts = [prose(k, 20 + k % 90) for k in range(4000)]
+    out = kdtree_shards.shards(frame(spark, texts, extra=True), 40).collect()
+    sizes = check(out, texts, 40)
+    assert max(sizes) < 1.03 * min(sizes)
+
+
+def test_one_text_holds_a_third_of_all_rows(spark):
+    texts = [prose(k, 40) for k in range(1000)] + [prose(1, 40)] * 500 + [prose(k, 30) for k in range(100)] * 2
+    out = kdtree_shards.shards(frame(spark, texts), 20).collect()
+    sizes = check(out, texts, 20)
+    assert max(sizes) < 1.05 * min(sizes)
+    of = {}
+    for r in out:
+        of.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert sum(len(s) > 1 for t, s in of.items() if t != texts[1]) <= 3
+
+
+def test_odd_tables(spark):
+    check(kdtree_shards.shards(frame(spark, ODD, extra=True), 40).collect(), ODD, 40)
+    assert kdtree_shards.shards(spark.createDataFrame([], SCHEMA), 5).count() == 0
+    rows = [(None, "a", None, None, None), (None, "a", None, None, None), (3, None, None, None, None), (3, None, None, None, None)]
+    out = kdtree_shards.shards(spark.createDataFrame(rows, SCHEMA), 2).collect()
+    assert len(out) == 4 and len({(r.shard, r.slot) for r in out}) == 4
+
+
+def test_other_dimensions_and_native_plan(spark, data):
+    df = documents(spark, data)
+    out = kdtree_shards.shards(df, 7, dims={"id": F.col("doc_id"), "chars": F.col("n_chars")})
+    assert out.count() == df.count()
+    plan = QUERIES["op7_kdtree_shards"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_op7_query(spark):
+    sf = "/root/testdata/sf0.1"
+    out = QUERIES["op7_kdtree_shards"](spark, sf).toPandas()
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(sizes) == 40 and sizes.max() < 1.05 * sizes.min() and set(out.law) == {"bytes"} and out.grown_shard.isna().all()
+
+
+@pytest.fixture(scope="module")
+def stages(spark, data, tmp_path_factory):
+    docs, out = documents(spark, data), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path_factory.mktemp("stage") / str(k))
+        stage(spark, docs, data).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append(docs)
+    return out
+
+
+def test_stages_filter(spark, data, stages):
+    columns = documents(spark, data).columns
+    assert 4 <= len(stages) <= 5 and all(s.columns == columns for s in stages[:-1])
+    kept = [{r.doc_id for r in s.select("doc_id").collect()} for s in [documents(spark, data), *stages]]
+    assert all(b <= a for a, b in zip(kept, kept[1:])) and kept[-1] == kept[-2]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    clean = [d for d in kept[0] if labels.get(d) == 0]
+    assert sum(d in kept[1] for d in clean) >= 0.97 * len(clean)
+    copies, seen = 0, set()
+    for r in stages[1].collect():
+        bare = re.sub("[ \t\n\v\f\r]", "", r.text)
+        copies += bare in seen
+        seen.add(bare)
+    assert copies == 0
+    assert len(kept[2]) < len(kept[1]) and len(kept[4]) < len(kept[3])
+
+
+def test_last_stage_and_run(spark, data, stages):
+    tokenizer = Tokenizer.from_file(speculative_bpe.tokenizer_file("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in stages[-2].collect()}
+    last = {r.doc_id: r.n_tokens for r in stages[-1].collect()}
+    assert last == {d: len(tokenizer.encode(t, add_special_tokens=False).ids) for d, t in texts.items()}
+    run = corpus_pipeline.run(spark, data)
+    assert sorted(map(str, run.collect())) == sorted(map(str, stages[-1].collect()))
