@@ -1,4 +1,4 @@
-"""Near-duplicate classes by SimHash: trie joins propose, five-word shingles decide.
+"""Near-duplicate classes: SimHash trie joins link most of a class, a shingle prefix filter meets every other pair.
 
 Words lose their case and the marks at their ends. A document has ``tables`` independent 64-bit fingerprints over its
 distinct words, whose bits hardly move under the edits that keep five-word shingles alike. Documents of which one
@@ -6,26 +6,30 @@ fingerprint pair differs in at most ``budget`` bits are met by the trie walk of
 few disjoint minimum spanning forests of what it meets, by the bits that differ over all tables, so candidates stay in
 proportion to the documents even in a large group; more than one forest, since the nearest by words need not be linked by
 shingles. The candidates' exact Jaccard similarity of five-word shingle sets is computed, and
-those at ``similarity`` or above are linked. Classes are the connected components.
+those at ``similarity`` or above are linked.
 
-A pair at a similarity of 0.8 is met in one table with a probability near 0.8 (measured; see the README), independently
-for each table.
+That finds most links cheaply but not all, so a second search is exact. All shingles have one order, those that are common
+in a sample last. Two sets at ``similarity`` or above share a shingle among the first n - ceil(similarity n) + 1 of either,
+n its size; documents meet at each of those. All that meet are compared, but for pairs that sizes or places in the order
+rule out and pairs that links of the first search have already joined. Classes are the connected components of all links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafstack.llm import simhash
-from leafstack.llm._common import arrow_rows, drop_written, inside, outside, pieces, text_or_empty, written
+from leafstack.llm._common import arrow_rows, drop_written, inside, outside, pieces, release_memory, text_or_empty, written
 from leafstack.llm._units import Memo, Units
 from leafstack.llm.components import Forest, components
 from leafstack.llm.toxicity import word_of
@@ -115,6 +119,118 @@ def _candidates(reps: DataFrame, tables: int, budget: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+#: Documents whose shingles are counted to order them. The order decides how many pairs meet, not which links are found.
+SAMPLED = 16_384
+#: One place where a set is met, as it is sent.
+MEETING = np.dtype([("unit", "<u8"), ("id", "<i8"), ("root", "<i8"), ("size", "<i4"), ("tail", "<i4")])
+
+
+def _shingle_sets(b: pa.RecordBatch, hashes: WordHashes, text: str, n: int) -> list[np.ndarray]:
+    words, bounds = hashes(b.column(text))
+    return [shingle_set(words[x:y], n) for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
+
+
+def _common(df: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than one text of a sample, ascending, and in how many they are."""
+    arrow_rows(df.sparkSession)
+    share = max(1, df.count() // SAMPLED)
+    sample = df.select(text_or_empty(text).alias(text)).where(F.pmod(F.xxhash64(text), F.lit(share)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for b in pieces(batch, text, 4 << 20):
+                found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_sets(b, hashes, text, n)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["h", "times"])
+
+    table = sample.mapInArrow(run, "h long, times long").groupBy("h").agg(F.sum("times").alias("times")).where("times > 1").toArrow()
+    found = table.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    return found[order], table.column("times").to_numpy()[order]
+
+
+def shingle_prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The shingles by which a set is met: its first ones, by how common they are and then by hash."""
+    size = len(shingles)
+    rank = np.zeros(size, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, times[at], 0)
+    return shingles[np.argsort(rank, kind="stable")][: size - ceil(similarity * size - 1e-9) + 1]
+
+
+def meeting_pairs(unit: np.ndarray, ids: np.ndarray, roots: np.ndarray, size: np.ndarray, tail: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller id, larger id) of rows of one unit that are not joined and can be similar; rows are sorted by unit.
+
+    ``tail``: how many of a set's ``size`` shingles stand at the unit's place in the order or after it. Sets share no more
+    than that from the first place where they meet.
+    """
+    edge = np.concatenate([[0], np.nonzero(unit[1:] != unit[:-1])[0] + 1, [len(unit)]])
+    after = np.repeat(edge[1:], np.diff(edge)) - np.arange(len(unit)) - 1
+    place = np.concatenate([[0], np.cumsum(after)])
+    x = 0
+    while x < len(unit):
+        y = max(x + 1, int(np.searchsorted(place, place[x] + (1 << 18), "right")) - 1)
+        n = after[x:y]
+        i = np.repeat(np.arange(x, y), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(place[x:y] - place[x], n)
+        least = similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
+        take = (roots[i] != roots[j]) & (ids[i] != ids[j]) & (np.minimum(tail[i], tail[j]) >= least)
+        a, b = ids[i[take]], ids[j[take]]
+        both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        yield both[:, 0], both[:, 1]
+        x = y
+
+
+def _meeting(df: DataFrame, nodes: DataFrame, ident: str, text: str, n: int, similarity: float) -> DataFrame:
+    """Pairs a, b of ``nodes`` (rep, root) with different roots: all that can reach ``similarity``, and few others."""
+    common, times = _common(df, text, n)
+    arrow_rows(df.sparkSession, 500)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for b in pieces(batch, text, 4 << 20):
+                sets = _shingle_sets(b, hashes, text, n)
+                heads = [shingle_prefix(s, similarity, common, times).tobytes() if len(s) else b"" for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(ident), pa.array([len(s) for s in sets], pa.int64()), pa.array(heads, pa.binary())], names=["id", "size", "head"])
+        release_memory()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, "head", 2 << 20):
+                n_units = pc.binary_length(b.column("head")).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+                row = np.repeat(np.arange(b.num_rows), n_units)
+                out = np.zeros(len(row), MEETING)
+                out["unit"] = np.frombuffer(b"".join(b.column("head").to_pylist()), np.uint64)
+                for c in ("id", "root", "size"):
+                    out[c] = b.column(c).to_numpy()[row]
+                out["tail"] = out["size"] - np.arange(len(row)) + np.repeat(np.cumsum(n_units) - n_units, n_units)
+                bucket = (out["unit"] % np.uint64(buckets)).astype(np.int64)
+                out = out[np.argsort(bucket, kind="stable")]
+                here, n = np.unique(bucket, return_counts=True)
+                ends = np.cumsum(n).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(here), pa.array([out[x:y].tobytes() for x, y in zip([0, *ends], ends)], pa.binary())], names=["unit", "rows"])
+        release_memory()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in simhash.segments(batches, 1):
+            rows = np.frombuffer(b"".join(t.column("rows").to_pylist()), MEETING)
+            rows = rows[np.argsort(rows["unit"], kind="stable")]
+            for a, b in meeting_pairs(rows["unit"], rows["id"], rows["root"], rows["size"], rows["tail"], similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        release_memory()
+
+    texts = df.where(F.col(ident).isNotNull()).select(ident, text_or_empty(text).alias(text))
+    # a fifth of the shingles are sent, and a word has about six bytes
+    total, buckets = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0, 2048
+    while total // 30 > 200_000 * buckets:
+        buckets *= 2
+    heads = texts.mapInArrow(prefixes, "id long, size long, head binary").join(nodes.withColumnRenamed("rep", "id"), "id")
+    rows = heads.select("id", "root", "size", "head").mapInArrow(spread, "unit long, rows binary")
+    return written(rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(meet, "a long, b long").distinct(), "meeting")
+
+
 def _similar(df: DataFrame, pairs: DataFrame, ident: str, text: str, n: int, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of at least ``similarity``."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias(ident)).distinct(), "wanted")
@@ -125,8 +241,7 @@ def _similar(df: DataFrame, pairs: DataFrame, ident: str, text: str, n: int, sim
         hashes = WordHashes()
         for batch in batches:
             for b in pieces(batch, text, 4 << 20):
-                words, bounds = hashes(b.column(text))
-                sets = [shingle_set(words[x:y], n).tobytes() for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
+                sets = [s.tobytes() for s in _shingle_sets(b, hashes, text, n)]
                 yield pa.RecordBatch.from_arrays([b.column(ident), pa.array(sets, pa.binary())], names=["id", "s"])
 
     sets = written(texts.mapInArrow(shingle, "id long, s binary").dropDuplicates(["id"]), "shingles")
@@ -157,10 +272,15 @@ def near_duplicate_classes(df: DataFrame, ident: str = "doc_id", text: str = "te
     first = [F.first(f"f{t}").alias(f"f{t}") for t in range(tables)]
     reps = written(sketches.where(F.col(ident).isNotNull()).groupBy("k1", "k2").agg(F.min(ident).alias("rep"), *first), "reps")
     pairs = written(_candidates(reps, tables, budget), "pairs")
-    roots = components(_similar(df, pairs, ident, text, n, similarity))
+    links = written(_similar(df, pairs, ident, text, n, similarity), "similar")
+    roots = components(links)
+    nodes = written(reps.join(roots, reps.rep == roots.node, "left").select("rep", F.coalesce("root", "rep").alias("root")), "nodes")
+    more = _meeting(df, nodes, ident, text, n, similarity)
+    joined = nodes.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    roots = components(joined.unionByName(_similar(df, more, ident, text, n, similarity)))
     classes = reps.join(roots, reps.rep == roots.node, "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id"))
     out = written(sketches.select(ident, "k1", "k2").join(classes, ["k1", "k2"], "left").select(ident, "class_id"), "classes")
-    drop_written(sketches, reps, pairs)
+    drop_written(sketches, reps, pairs, links, nodes, more)
     return out
 
 

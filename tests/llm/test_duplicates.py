@@ -197,6 +197,16 @@ def test_near_duplicates_in_one_large_group(spark):
     assert {out[i] for i in range(301)} == {0} and all(out[i] == i for i in range(301, len(texts)))
 
 
+def test_truncated_and_extended_copies(spark):
+    """Near copies that miss or gain a passage, at a similarity of 0.8 to 0.9, whose words' fingerprints differ in many bits."""
+    base = [prose(k, 120 + 10 * k) for k in range(40)]
+    cut = [" ".join(w[: len(w) - int((len(w) - 4) * (0.19 if k % 2 else 0.12))]) for k, w in enumerate(b.split() for b in base)]
+    longer = [b + " " + prose(900 + k, int(0.22 * (len(b.split()) - 4))) for k, b in enumerate(base)]
+    for other in (cut, longer):
+        out = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(frame(spark, [*base, *other])).collect()}
+        assert out == {i: i % 40 for i in range(80)}
+
+
 def test_bitmap_filters_are_exact(spark):
     df = spark.createDataFrame([(i,) for i in range(3000)] + [(None,), (None,)], "doc_id long")
     ids = written(spark.createDataFrame([(i,) for i in range(0, 5000, 7)], "doc_id long"), "ids")
