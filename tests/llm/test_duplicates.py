@@ -207,6 +207,16 @@ def test_truncated_and_extended_copies(spark):
         assert out == {i: i % 40 for i in range(80)}
 
 
+def test_texts_of_the_same_words(spark):
+    """Sentences in another order give equal fingerprints in all tables, so words do not tell which pairs are near."""
+    sentences = [prose(k, 9) for k in range(40)]
+    orders = [random.Random(k).sample(sentences, 40) for k in range(150)]
+    turned = [o[:-2] + o[-1:] + o[-2:-1] for o in orders]
+    texts = [" ".join(o) for o in [*orders, *turned]]
+    out = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(frame(spark, texts)).collect()}
+    assert out == {i: i % 150 for i in range(300)}
+
+
 def test_bitmap_filters_are_exact(spark):
     df = spark.createDataFrame([(i,) for i in range(3000)] + [(None,), (None,)], "doc_id long")
     ids = written(spark.createDataFrame([(i,) for i in range(0, 5000, 7)], "doc_id long"), "ids")
