@@ -2,9 +2,10 @@
 
 Documents are encoded in ascending id order into shards; a shard is a run of blocks, and each block is a grammar: rules
 that replace a frequent pair of symbols by a new one, the number of ids each rule stands for, and the symbols left.
-Every round counts all neighbouring pairs of a block, gives each pair above the round's threshold a rule, and replaces
-its occurrences from the left; thresholds fall until no pair is worth a rule. Pairs inside a word are counted once for
-each distinct word and weighted by its occurrences; the last rounds count across words. A document's end id never starts
+Every round counts the neighbouring pairs of a block, gives each pair that reaches the round's threshold a rule, and
+replaces its occurrences from the left; rounds repeat until none reaches it, and thresholds fall until no pair is worth a
+rule: a rule takes 12 bytes and saves the 3 of a symbol at each occurrence, so from 5 occurrences on. Pairs inside a word
+are counted once for each distinct word and weighted by its occurrences; the last rounds count across words. A document's end id never starts
 a pair, so the symbols of a document are a range of their block and any document, or any id position, is decoded alone.
 
 Block format, all little-endian: magic ``RPG1``; seven unsigned 32-bit counts (first rule symbol, rules, rounds,
@@ -34,8 +35,8 @@ from leafstack.llm._units import Memo, Units, gather, ragged
 from leafstack.llm.speculative_bpe import WordBpe, byte_level
 
 MAGIC = b"RPG1"
-WORD_THRESHOLDS = (600, 40, 10)
-TEXT_THRESHOLDS = (100,)
+WORD_THRESHOLDS = (600, 40, 10, 5)
+TEXT_THRESHOLDS = (100, 20, 5)
 _HASH_BITS = 19
 
 
@@ -43,13 +44,18 @@ def _spread_hash(keys: np.ndarray) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
 
 
-def replace_pairs(symbols: np.ndarray, segment: np.ndarray, weight: np.ndarray | None, new: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def replace_pairs(symbols: np.ndarray, segment: np.ndarray, weight: np.ndarray | None, new: int, least: int, since: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One round: rules for the pairs inside a segment that occur ``least`` times, and what is left after replacing them.
 
-    ``weight``: how often each segment occurs. Returns (rules as rows of two symbols, symbols, segments). Counts by hash
+    ``weight``: how often each segment occurs. Only pairs with a symbol from ``since`` on are counted: a round leaves no
+    occurrence of the pairs it replaces, so the next round of the same ``least`` need only look at new symbols. Returns (rules as rows of two symbols, symbols, segments). Counts by hash
     come first, and only pairs whose hash reaches ``least`` are sorted, so rare pairs cost no sorting.
     """
-    at = np.nonzero(segment[:-1] == segment[1:])[0]
+    inside = segment[:-1] == segment[1:]
+    if since:
+        fresh = symbols >= since
+        inside &= fresh[:-1] | fresh[1:]
+    at = np.nonzero(inside)[0]
     keys = symbols[at] << 24 | symbols[at + 1]
     hashed = _spread_hash(keys)
     w = None if weight is None else weight[segment[at]]
@@ -85,10 +91,15 @@ class Grammar:
 
         def play(symbols, segment, weight, thresholds):
             for least in thresholds:
-                found, symbols, segment = replace_pairs(symbols, segment, weight, first + rounds[-1], least)
-                if len(found):
+                since = 0
+                while True:
+                    new = first + rounds[-1]
+                    found, symbols, segment = replace_pairs(symbols, segment, weight, new, least, since)
+                    if not len(found):
+                        break
                     rules.append(found)
                     rounds.append(rounds[-1] + len(found))
+                    since = new
             return symbols, segment
 
         weight = np.bincount(units.codes, minlength=len(lengths)).astype(np.float64)

@@ -106,6 +106,27 @@ def test_frequent_pairs_become_rules():
         repair_grammar.Grammar.from_bytes(b"nope" + g.to_bytes()[4:])
 
 
+def test_rules_are_made_until_none_is_worth_it():
+    library = repair_grammar._library(PATH)
+    copies, rest = [prose(3, 400)] * 60, [prose(k, 300) for k in range(10, 40)]
+    texts = [t for pair in zip(copies, rest * 2) for t in pair]
+    units = Units.of(pa.array(texts))
+    flat, lengths = library.rows(units.dictionary)
+    g = repair_grammar.Grammar.of(units, flat, lengths, library.above, 2)
+    g = repair_grammar.Grammar.from_bytes(g.to_bytes())
+    every = [wanted(t) + [2] for t in texts]
+    assert [g.document(k).tolist() for k in range(len(texts))] == every and g.decode()[0].tolist() == sum(every, [])
+    starts = np.concatenate([[0], g.ends[:-1]])
+    assert max((g.ends - starts)[::2]) <= 12  # a text of 400 words that occurs 60 times is folded whole
+    seen, taken = {}, {}
+    for x, y in zip(starts, g.ends - 1):
+        for k in range(x, y - 1):
+            pair = (g.symbols[k], g.symbols[k + 1])
+            if taken.get(pair) != k:  # a run of one symbol holds overlapping pairs
+                seen[pair], taken[pair] = seen.get(pair, 0) + 1, k + 1
+    assert max(seen.values()) < 5
+
+
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert speculative_bpe.round_trip(empty, PATH, keep=("doc_id",)).count() == token_counts.count_tokens(empty, PATH).count() == 0
