@@ -18,6 +18,7 @@ import functools
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -160,20 +161,38 @@ def scan(text: str, templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES.ite
 
 
 def _places(template: list[str], words: list[str], spans: list[tuple[int, int]], a: int, b: int, reach: int, least: float) -> Iterator[tuple[float, int, int]]:
-    """Hits in words a to b: the region is cut at occurrences of the template's first words, so each notice is seen once."""
+    """Hits in words a to b, in order: of those that overlap, the one with the best coverage, then the shortest.
+
+    A window is aligned at the region's start, at each occurrence of the template's first words, and around each telling
+    word for every place that it has in the template, also with room for words added before it.
+    """
     heads = [i for i in range(a, b) if words[i] == template[0] and (i + 1 == b or len(template) == 1 or words[i + 1] == template[1] or template[0] in TELLING)]
-    cuts = sorted({a, *heads, b})
-    done = a
-    for x in cuts[:-1]:
-        if x < done:
+    windows = {(x, min(b, x + reach)) for x in (a, *heads)}
+    offsets: dict[str, list[int]] = {}
+    for k, w in enumerate(template):
+        if w in TELLING:
+            offsets.setdefault(w, []).append(k)
+    for i in range(a, b):
+        for k in offsets.get(words[i], ()):
+            y = min(b, i - k + reach)
+            windows |= {(max(a, i - k), y), (max(a, i - k - (reach - len(template))), y)}
+    # an alignment cannot match more words than the window shares with the template
+    own = set(template)
+    shared = [0, *accumulate(w in own for w in words[a:b])]
+    hits = []
+    for x, y in windows:
+        if shared[y - a] - shared[x - a] < least * len(template):
             continue
-        y = min(b, x + reach)
         pairs = patience(template, words[x:y])
-        coverage = len(pairs) / len(template)
-        if pairs and coverage >= least:
-            first, last = x + pairs[0][1], x + pairs[-1][1]
-            yield round(coverage, 4), spans[first][0], spans[last][1]
-            done = last + 1
+        if pairs and len(pairs) / len(template) >= least:
+            hits.append((-len(pairs), pairs[-1][1] - pairs[0][1], x + pairs[0][1], x + pairs[-1][1]))
+    taken: list[tuple[int, int, int]] = []
+    for matched, _, first, last in sorted(set(hits)):
+        k = bisect_left(taken, (first,))
+        if (not k or taken[k - 1][1] < first) and (k == len(taken) or last < taken[k][0]):
+            taken.insert(k, (first, last, -matched))
+    for first, last, matched in taken:
+        yield round(matched / len(template), 4), spans[first][0], spans[last][1]
 
 
 def find_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: dict[str, str] | None = None, least: float = 0.75) -> DataFrame:

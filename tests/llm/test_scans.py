@@ -42,6 +42,23 @@ def test_licenses_are_found_where_they_are(spark):
     assert license_scan.find_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("name", "text", "matched"),
+    [
+        ("CC-BY-4.0", "This article is licensed under a Creative Commons Attribution 4.0 International License", 11 / 12),
+        ("GPL-3.0", "This program is licensed under the GNU General Public License, version 3", 11 / 12),
+        ("GPL-3.0-notice", license_scan.TEMPLATES["GPL-3.0-notice"].replace("This program", "This library"), None),
+        ("GPL-3.0-notice", license_scan.TEMPLATES["GPL-3.0-notice"].replace("This program", "Leafstack"), None),
+        ("CC-BY-4.0", "All of this fine work is, as said, licensed under a Creative Commons Attribution 4.0 International License", 1.0),
+    ],
+)
+def test_notices_with_another_beginning(name, text, matched):
+    for before in ("", prose(1, 200) + "\n"):
+        hit = [h for h in license_scan.scan(before + text + " " + prose(2, 200)) if h[0] == name]
+        assert len(hit) == 1 and hit[0][1] >= (round(matched, 4) if matched else 0.95)
+        assert len(before) <= hit[0][2] < len(before) + 20 and hit[0][3] >= len(before + text) - 1
+
+
 def test_notices_in_the_tables(spark, data):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     out = {(r.doc_id, r.license) for r in QUERIES["op5_patience_license_scan"](spark, data).collect()}
