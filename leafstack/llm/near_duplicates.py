@@ -35,8 +35,8 @@ from leafstack.llm.components import Forest, components
 from leafstack.llm.toxicity import word_of
 
 FORESTS = 4
-#: Documents whose fingerprints differ in more than this many bits, on average over the tables, are not candidates. At a
-#: similarity of 0.8 the average is near 4 with a standard deviation below 2 for one table.
+#: The trie joins do not propose documents whose fingerprints differ in more than this many bits, on average over the
+#: tables. Pairs at the similarity can lie beyond it (a passage of new words moves many bits); the prefix filter meets them.
 MOST_BITS = 10
 _SEEDS = [xxhash.xxh64_intdigest(str(i), simhash.SEED) for i in range(64)]
 

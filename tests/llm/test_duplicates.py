@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from helpers import ODD, SCHEMA, edited, frame, prose
@@ -217,6 +218,19 @@ def test_texts_of_the_same_words(spark):
     assert out == {i: i % 150 for i in range(300)}
 
 
+def test_pairs_beyond_the_bits_of_the_trie_join(spark):
+    """A passage of new words after a text of few distinct ones: similar by shingles, far apart by words."""
+    base = [prose(k, 600, 60) for k in range(10)]
+    texts = [*base, *(f"{b} {prose(500 + k, 100)}" for k, b in enumerate(base))]
+    words, bounds = near_duplicates.WordHashes()(pa.array(texts))
+    own = [np.unique(words[x:y]) for x, y in zip(bounds, bounds[1:])]
+    for i in range(10):
+        bits = [(simhash.majority(near_duplicates._mix(own[i], seed)) ^ simhash.majority(near_duplicates._mix(own[i + 10], seed))).bit_count() for seed in near_duplicates._SEEDS[:4]]
+        assert sum(bits) > 4 * near_duplicates.MOST_BITS
+    out = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(frame(spark, texts)).collect()}
+    assert out == {i: i % 10 for i in range(20)}
+
+
 def test_bitmap_filters_are_exact(spark):
     df = spark.createDataFrame([(i,) for i in range(3000)] + [(None,), (None,)], "doc_id long")
     ids = written(spark.createDataFrame([(i,) for i in range(0, 5000, 7)], "doc_id long"), "ids")
