@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,16 +24,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves if driver and executors are one process; a cluster must name a folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="leafstack-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root()
     return root.rstrip("/")
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="leafstack-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_root(spark)}/leafstack/{uuid.uuid4().hex}/{name}"
     _SCRATCH.append((spark, path))
@@ -77,12 +87,17 @@ def clear_scratch() -> None:
 atexit.register(clear_scratch)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
-    """Rows that Spark puts in one Arrow batch; long texts make the default of 10,000 too large for a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: What Spark puts in one Arrow batch for a Python worker: long texts would make its default too large.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes. Always the same values, so plans that run later are not changed by plans made since."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row ranges whose ``column`` holds about ``max_bytes``; a single longer text stays whole."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start = total = 0
@@ -107,6 +122,15 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+#: A column that the operators add for a while.
+KEY = "_leafstack_key"
+
+
+def row_key(ident: str | Column, text: str | Column) -> Column:
+    """A hash of an id and a text: rows that repeat an id with another text are told apart by it."""
+    return F.xxhash64(ident, text, F.isnull(ident))
+
+
 #: Bits of the filter that is broadcast by ``inside`` and ``outside``: at most this many, in words of 64.
 FILTER_BITS = 1 << 24
 
@@ -121,20 +145,29 @@ def _flagged(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     while bits < min(FILTER_BITS, 32 * ids.count()):
         bits *= 2
     place = lambda: F.pmod(F.xxhash64(column), F.lit(bits))
-    words = ids.select(F.shiftright(place(), 6).alias("_word"), F.lit(1).cast("long").alias("_one"), (place() % 64).cast("int").alias("_bit"))
-    words = words.groupBy("_word").agg(F.bit_or(F.call_function("shiftleft", F.col("_one"), F.col("_bit"))).alias("_mask"))
-    keyed = df.withColumn("_at", place()).withColumn("_word", F.shiftright("_at", 6))
-    bit = F.call_function("shiftrightunsigned", F.coalesce("_mask", F.lit(0).cast("long")), (F.col("_at") % 64).cast("int")).bitwiseAND(F.lit(1))
-    return keyed.join(F.broadcast(words), "_word", "left").withColumn("_hit", F.col(column).isNotNull() & (bit == 1))
+    words = ids.select(F.shiftright(place(), 6).alias("_leafstack_word"), F.lit(1).cast("long").alias("_leafstack_one"), (place() % 64).cast("int").alias("_leafstack_bit"))
+    words = words.groupBy("_leafstack_word").agg(F.bit_or(F.call_function("shiftleft", F.col("_leafstack_one"), F.col("_leafstack_bit"))).alias("_leafstack_mask"))
+    keyed = df.withColumn("_leafstack_at", place()).withColumn("_leafstack_word", F.shiftright("_leafstack_at", 6))
+    bit = F.call_function("shiftrightunsigned", F.coalesce("_leafstack_mask", F.lit(0).cast("long")), (F.col("_leafstack_at") % 64).cast("int")).bitwiseAND(F.lit(1))
+    return keyed.join(F.broadcast(words), "_leafstack_word", "left").withColumn("_leafstack_hit", F.col(column).isNotNull() & (bit == 1))
 
 
 def inside(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` is in the written table ``ids``; only rows that the filter lets through are shuffled."""
-    return _flagged(df, ids, column).where("_hit").select(*df.columns).join(ids, column, "left_semi").select(*df.columns)
+    return _flagged(df, ids, column).where("_leafstack_hit").select(*df.columns).join(ids, column, "left_semi").select(*df.columns)
 
 
 def outside(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` is null or not in the written table ``ids``; other rows are not shuffled."""
     flagged = _flagged(df, ids, column)
-    doubtful = flagged.where("_hit").select(*df.columns).join(ids, column, "left_anti").select(*df.columns)
-    return flagged.where("NOT _hit").select(*df.columns).unionByName(doubtful)
+    doubtful = flagged.where("_leafstack_hit").select(*df.columns).join(ids, column, "left_anti").select(*df.columns)
+    return flagged.where("NOT _leafstack_hit").select(*df.columns).unionByName(doubtful)
+
+
+def one_of_repeated(df: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
+    """``df`` with one row for each ``key`` of the written table ``repeated``; other rows are not shuffled."""
+    if repeated.isEmpty():
+        return df
+    others = [c for c in df.columns if c != key]
+    one = inside(df, repeated, key).groupBy(key).agg(F.first(F.struct(*others)).alias("_leafstack_row")).select(key, "_leafstack_row.*")
+    return outside(df, repeated, key).unionByName(one)

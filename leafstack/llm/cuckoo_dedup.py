@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafstack.llm._common import arrow_rows, outside, pieces, written
+from leafstack.llm._common import KEY, arrow_batches, one_of_repeated, outside, pieces, row_key, text_or_empty, written
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SLOTS = 4
@@ -125,19 +125,24 @@ class CuckooIndex:
         return self.size
 
 
-def digests(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns ``ident``, digest binary (SHA-256 without white space), chars long (code points with it); null counts as empty."""
-    arrow_rows(df.sparkSession)
-    df = df.select(ident, text)
+def digests(df: DataFrame, ident: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns ``ident``, digest binary (SHA-256 without white space), chars long (code points with it), ``keep`` (longs).
+
+    A null text counts as empty.
+    """
+    arrow_batches(df.sparkSession)
+    df = df.select(F.col(ident).cast("long").alias(ident), text, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch, text):
                 texts = b.column(text).fill_null("")
                 found = [hashlib.sha256(x.as_buffer().to_pybytes().translate(None, SPACES)).digest() for x in texts]
-                yield pa.RecordBatch.from_arrays([b.column(ident), pa.array(found, pa.binary()), pc.utf8_length(texts).cast(pa.int64())], names=[ident, "digest", "chars"])
+                columns = [b.column(ident), pa.array(found, pa.binary()), pc.utf8_length(texts).cast(pa.int64()), *(b.column(k) for k in keep)]
+                yield pa.RecordBatch.from_arrays(columns, names=[ident, "digest", "chars", *keep])
 
-    return df.mapInArrow(run, T.StructType([T.StructField(ident, T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("chars", T.LongType())]))
+    long = [T.StructField(k, T.LongType()) for k in (ident, "chars", *keep)]
+    return df.mapInArrow(run, T.StructType([long[0], T.StructField("digest", T.BinaryType()), *long[1:]]))
 
 
 _NONE = 1 << 63  # stands for a null id: larger than any, so a null stays only among nulls
@@ -222,6 +227,13 @@ def groups(found: DataFrame, ident: str = "doc_id", bound: int = 100_000, bucket
     return partial.withColumn("bucket", key).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(second, GROUP_SCHEMA)
 
 
+def _judged(df: DataFrame, ident: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``digests``, with n (rows), keep_id and keep_chars where a text occurs more than once."""
+    found = written(digests(df, ident, text, keep), "digests")
+    copied = groups(found, ident).where("n > 1").select("digest", "n", F.col("ident").alias("keep_id"), F.col("chars").alias("keep_chars"))
+    return found.join(written(copied, "copied"), "digest", "left")
+
+
 def exact_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns ``ident`` long, keep_id long, group_size long, kept boolean, text_sha256 string; one row for each row of ``df``.
 
@@ -230,9 +242,7 @@ def exact_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text") -
     ``ident`` together with its text cannot be told apart and are all marked kept. Null and blank texts are equal texts.
     An empty table gives an empty table; other columns are not read.
     """
-    found = written(digests(df, ident, text), "digests")
-    copied = groups(found, ident).where("n > 1").select("digest", "n", F.col("ident").alias("keep_id"))
-    out = found.join(written(copied, "copied"), "digest", "left")
+    out = _judged(df, ident, text)
     keep = F.when(F.col("n").isNull(), F.col(ident)).otherwise(F.col("keep_id"))
     return out.select(
         ident,
@@ -244,6 +254,17 @@ def exact_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text") -
 
 
 def without_copies(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` without the rows that an equal text replaces; all columns stay as they are."""
-    dropped = exact_duplicates(df, ident, text).where(~F.col("kept")).select(ident).distinct()
-    return outside(df, written(dropped, "dropped"), ident)
+    """``df`` with one row of each group of equal texts, the one that stays; all columns stay as they are.
+
+    Rows are told apart by id and text: a row that repeats an id with an unequal text is not dropped with it, and of rows
+    with the same id and equal texts, or with equal texts and no id, one of the longest stays.
+    """
+    keyed = df.withColumn(KEY, row_key(F.col(ident).cast("long"), text_or_empty(text)))
+    judged = _judged(keyed, ident, text, (KEY,)).where("n IS NOT NULL")
+    best = F.col(ident).eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
+    copies = written(judged.select("digest", KEY, best.alias("best")), "copies")
+    winners = copies.where("best").groupBy("digest").agg(F.min(KEY).alias("winner"), (F.count("*") > 1).alias("shared"))
+    marked = written(copies.join(winners, "digest").select(KEY, "winner", "shared"), "marked")
+    left = outside(keyed, written(marked.where(F.col(KEY) != F.col("winner")).select(KEY).distinct(), "dropped"), KEY)
+    repeated = marked.where(F.col("shared") & (F.col(KEY) == F.col("winner"))).groupBy(KEY).count().where("count > 1").select(KEY)
+    return one_of_repeated(left, written(repeated, "repeated"), KEY).drop(KEY)

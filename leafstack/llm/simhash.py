@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafstack.llm._common import arrow_rows, pieces, written
+from leafstack.llm._common import arrow_batches, pieces, written
 from leafstack.llm.components import Forest, components
 
 SEED = 42
@@ -59,7 +59,7 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
 
 def fingerprints(df: DataFrame, text: str = "text", n: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and fp long (the 64 bits, signed) of A-Z lower-cased words [^\\x20\\x09-\\x0D]+, shingles with repeats."""
-    arrow_rows(df.sparkSession)
+    arrow_batches(df.sparkSession)
     df = df.select(*keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def links(fps: DataFrame, budget: int = 2, ident: str = "rep", fp: str = "fp") -
     ``fps`` holds one row for each fingerprint. A unit gives only the links that its own rows do not connect already, so
     what is emitted stays in proportion to the rows and the connected components stay the same.
     """
-    arrow_rows(fps.sparkSession, 20_000)
+    arrow_batches(fps.sparkSession)
     m = blocks_for(fps.count(), budget)
     units = dealt(unit_rows(fps.select(F.col(ident).alias("id"), fp), fp, budget, m), budget)
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,10 +31,14 @@ def frame(spark, texts, extra=False):
     return df
 
 
-def prose(seed, words=200, vocabulary=3000):
-    r = random.Random(seed)
+@functools.cache
+def _pool(vocabulary):
     parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it"]
-    pool = ["".join(random.Random(k).choices(parts, k=random.Random(k).randint(2, 4))) for k in range(vocabulary)]
+    return ["".join(random.Random(k).choices(parts, k=random.Random(k).randint(2, 4))) for k in range(vocabulary)]
+
+
+def prose(seed, words=200, vocabulary=3000):
+    r, pool = random.Random(seed), _pool(vocabulary)
     return " ".join(r.choice(pool) for _ in range(words))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leafstack.llm import cuckoo_dedup, near_duplicates, simhash
 from leafstack.llm._common import inside, outside, written
+from leafstack.llm._units import hashes, mixed, word_of, words
 from leafstack.llm.components import Forest, components, spanning
 from leafstack.llm.queries import QUERIES
 
@@ -218,19 +219,93 @@ def test_texts_of_the_same_words(spark):
     assert out == {i: i % 150 for i in range(300)}
 
 
-def test_pairs_beyond_the_bits_of_the_trie_join(spark):
+def test_pairs_that_no_fingerprint_meets(spark):
     """A passage of new words after a text of few distinct ones: similar by shingles, far apart by words."""
     base = [prose(k, 600, 60) for k in range(10)]
     texts = [*base, *(f"{b} {prose(500 + k, 100)}" for k, b in enumerate(base))]
-    words, bounds = near_duplicates.WordHashes()(pa.array(texts))
+    words, bounds = near_duplicates.word_hashes(pa.array(texts))
     own = [np.unique(words[x:y]) for x, y in zip(bounds, bounds[1:])]
     for i in range(10):
-        bits = [(simhash.majority(near_duplicates._mix(own[i], seed)) ^ simhash.majority(near_duplicates._mix(own[i + 10], seed))).bit_count() for seed in near_duplicates._SEEDS[:4]]
-        assert sum(bits) > 4 * near_duplicates.MOST_BITS
+        bits = [(simhash.majority(mixed(own[i], seed)) ^ simhash.majority(mixed(own[i + 10], seed))).bit_count() for seed in near_duplicates._SEEDS[:2]]
+        assert min(bits) > 4
     out = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(frame(spark, texts)).collect()}
     assert out == {i: i % 10 for i in range(20)}
 
 
+@pytest.mark.parametrize("settings", [{}, {"dense": 3, "chunk": 4000}, {"tables": 1, "budget": 1, "dense": 0, "chunk": 1}])
+def test_every_pair_of_a_dense_group(spark, settings, monkeypatch):
+    """Copies with many edits, of which some pairs reach the similarity and most do not: as many classes as brute force has."""
+    base, other = prose(3, 120), prose(4, 120)
+    texts = [edited(base, k, 1 + k % 3) for k in range(130)] + [edited(other, k, 2) for k in range(40)] + [f"{base} {prose(k, 40)}" for k in range(20)]
+    flat, bounds = near_duplicates.word_hashes(pa.array(texts))
+    sets = [set(s.tolist()) for s in near_duplicates.shingle_sets(flat, bounds, 5)]
+    want = slow_components(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    pairs = sum(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a))
+    assert pairs > 1000 and 3 < len(set(want.values())) < 100
+    monkeypatch.setattr(near_duplicates, "CROWDED", (1, 4))
+    out = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(frame(spark, texts), **settings).collect()}
+    assert out == want
+
+
+@pytest.mark.parametrize("hub", [None, 3])
+def test_meeting_against_all_pairs(hub):
+    r = np.random.default_rng(7)
+    n, s = 300, 0.8
+    size = r.integers(1, 60, n)
+    rows = {"unit": r.integers(0, 12, n).astype(np.uint64), "node": np.arange(n), "root": r.integers(0, 6, n), "size": size, "tail": np.maximum(1, (size * r.uniform(0.7, 1, n)).astype(np.int64))}
+
+    def wanted(i, j):
+        if rows["unit"][i] != rows["unit"][j] or rows["root"][i] == rows["root"][j]:
+            return False
+        return min(rows["tail"][i], rows["tail"][j]) >= s / (1 + s) * (size[i] + size[j]) - 1e-6
+
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if wanted(i, j)}
+    m = near_duplicates.Meeting(rows, s, hub)
+    found = [tuple(sorted((m.rows["node"][x], m.rows["node"][y]))) for i, j in m.pairs() for x, y in zip(i, j)]
+    assert len(found) == len(set(found)) and set(found) == want
+    crowded = set(m.crowded(0, 15).tolist())
+    left = {tuple(sorted((m.rows["node"][x], m.rows["node"][y]))) for i, j in m.pairs() for x, y in zip(i, j)}
+    assert crowded and left == {(i, j) for i, j in want if rows["unit"][i] not in crowded}
+    if hub is not None:
+        only = near_duplicates.Meeting(rows, s, hub, others=False)
+        some = {tuple(sorted((only.rows["node"][x], only.rows["node"][y]))) for i, j in only.pairs() for x, y in zip(i, j)}
+        assert some == {(i, j) for i, j in want if hub in (rows["root"][i], rows["root"][j])}
+
+
+def test_sketches_rule_out_no_similar_pair():
+    r = np.random.default_rng(1)
+    sets = []
+    for k in range(60):
+        base = r.integers(0, 2**63, 5 + 9 * k, dtype=np.uint64)
+        for drop in (0, 0.02, 0.05, 0.1, 0.2, 0.5):
+            keep = base[r.random(len(base)) >= drop]
+            sets.append(np.unique(np.concatenate([keep, r.integers(0, 2**63, int(len(base) * drop / 2), dtype=np.uint64)])))
+    size = np.array([len(s) for s in sets])
+    sketches = near_duplicates.Sketches(size, np.frombuffer(b"".join(map(near_duplicates.parity_sketch, sets)), "<u8"))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    take = (i < j) & (np.minimum(size[i], size[j]) >= 0.8 * np.maximum(size[i], size[j]))
+    i, j = i[take], j[take]
+    near = sketches.near(i, j, 0.8)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    similar = both >= 0.8 * (size[i] + size[j] - both)
+    assert similar.sum() > 100 and near[similar].all() and near[~similar].mean() < 0.1
+
+
+def test_filters_go_by_row(spark):
+    """Rows that repeat an id with another text, rows without an id, and rows that are there twice."""
+    rows = [(1, "aaa bbb"), (2, "ccc ddd"), (2, "aaabbb"), (None, "zz"), (None, "zz"), (None, "aaa  bbb"), (5, "q r"), (5, "q r"), (5, "q  r"), (None, "y"), (7, None), (8, " ")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    out = sorted((str(r.doc_id), r.text) for r in cuckoo_dedup.without_copies(df).collect())
+    assert out == sorted([("None", "aaa  bbb"), ("2", "ccc ddd"), ("None", "zz"), ("5", "q  r"), ("None", "y"), ("8", " ")])
+    text = prose(1, 40)
+    rows = [(1, text), (2, prose(2, 40)), (2, text.upper()), (None, text + "!"), (None, prose(3, 40)), (None, prose(3, 40)), (9, prose(4, 40)), (9, prose(4, 40)), (9, prose(5, 40)), (10, ""), (11, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    out = sorted((str(r.doc_id), r.text) for r in near_duplicates.one_of_each(df).collect())
+    assert out == sorted([("1", text), ("2", prose(2, 40)), ("None", prose(3, 40)), ("9", prose(4, 40)), ("9", prose(5, 40)), ("10", "")])
+    empty = spark.createDataFrame([], SCHEMA)
+    assert cuckoo_dedup.without_copies(empty).count() == near_duplicates.one_of_each(empty).count() == 0
+
+
 def test_bitmap_filters_are_exact(spark):
     df = spark.createDataFrame([(i,) for i in range(3000)] + [(None,), (None,)], "doc_id long")
     ids = written(spark.createDataFrame([(i,) for i in range(0, 5000, 7)], "doc_id long"), "ids")
@@ -244,3 +319,14 @@ def test_op6_query(spark, data):
     out = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op6_simhash_trie_join"](spark, data).collect()}
     want = slow_components(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
     assert out == {d: (f"{fps[d]:016x}", want[d]) for d in fps}
+
+
+def test_words_and_hashes_of_units():
+    r = random.Random(3)
+    units = [*ODD[3].split(), "İx", "ΣΑΣ", "“quoted”", "l’été", "_a_", "\x01b\x7f", "x" * 5000, "y" * 2000, "é!", "", *("z" * r.randint(1, 60) + str(k) for k in range(6000))]
+    for part in (pa.array(units, pa.string()), pa.array(units, pa.string()).slice(5, 40), pa.array([], pa.string())):
+        assert words(part).to_pylist() == [word_of(u) for u in part.to_pylist()]
+    known = dict(zip(units, hashes(pa.array(units)).tolist()))
+    assert len(set(known.values())) == len(known)
+    for k in range(0, len(units), 997):
+        assert hashes(pa.array(units[k:])).tolist() == [known[u] for u in units[k:]]
