@@ -21,8 +21,11 @@ class Settings:
     max_queries: int = 4
     embedding_dim: int = 768
     embed_batch: int = 64
+    embed_in_flight: int = 4
     ocr_mode: str = "auto"
     ocr_share: float = 0.3
+    ocr_model: str = "ocr"
+    ocr_attempts: int = 6
     answer_cache_size: int = 2048
     answer_cache_seconds: float = 3600.0
     embedding_cache_size: int = 8192

@@ -13,6 +13,7 @@ VIRAMA_MATRA = "्[ा-ौ]"
 FREQUENT_WORDS = ("कि", "लिए", "किया", "दिया", "किसी", "लिया", "जिस", "दिन", "फिर", "लिये")
 
 
+# The defaults of the thresholds below.
 def page_quality(
     text: Column,
     least_chars: int = 40,

@@ -41,8 +41,11 @@ def _nfc_udf():
 
 
 def nfc(text: Column) -> Column:
-    """Unicode composition; Spark has no expression for it, so texts cross to Arrow batches once."""
-    return _nfc_udf()(text)
+    """Unicode composition; Spark has no expression for it.
+
+    Nothing below U+0300 can be composed with anything, so only texts with a character from there on cross to Arrow batches.
+    """
+    return F.coalesce(_nfc_udf()(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
 
 
 def strip(text: Column) -> Column:
@@ -52,6 +55,7 @@ def strip(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Composed text with dandas for pipes, single blanks, stripped lines and no more than one empty line in a row."""
+    # The replacements and their order.
     steps = (
         (r"\r\n?", "\n"),
         (rf"(?U)(?<=[{DEVANAGARI}\s])\|\|(?=\s|\z)", "॥"),

@@ -67,12 +67,20 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def two_phase_topk(vectors: DataFrame, queries: DataFrame, ident: str, query: str, vector: str = "embedding", k: int = 10, coarse: int = 100) -> DataFrame:
-    """As ``dense_topk``, but int8 codes choose ``coarse`` candidates, which are scored again with the full vectors."""
-    codes = vectors.select(ident, int8_codes(l2_normalize(F.col(vector))).cast("array<float>").alias(vector))
-    near = dense_topk(codes, queries, ident, query, vector, coarse).select(query, ident)
+def with_codes(vectors: DataFrame, vector: str = "embedding", codes: str = "codes") -> DataFrame:
+    """``vectors`` with int8 codes to be stored beside them: a byte for each component, an eighth of a double."""
+    return vectors.withColumn(codes, int8_codes(l2_normalize(F.col(vector))))
+
+
+def two_phase_topk(coded: DataFrame, queries: DataFrame, ident: str, query: str, vector: str = "embedding", k: int = 10, coarse: int = 100, codes: str = "codes") -> DataFrame:
+    """As ``dense_topk``, but the stored codes choose ``coarse`` candidates, and only those are scored with the full vectors.
+
+    ``coded`` has the columns of ``with_codes``. The first phase reads the codes alone.
+    """
+    asked = queries.select(query, F.col(vector).alias(codes))
+    near = dense_topk(coded, asked, ident, query, codes, coarse).select(query, ident)
     asked = queries.select(query, l2_normalize(F.col(vector)).alias("_q"))
-    full = near.join(vectors.select(ident, l2_normalize(F.col(vector)).alias("_v")), ident).join(asked, query)
+    full = near.join(coded.select(ident, F.col(vector).alias("_raw")), ident).select(query, ident, l2_normalize(F.col("_raw")).alias("_v")).join(asked, query)
     return best(full.select(query, ident, F.round(dot(F.col("_v"), F.col("_q")), 6).alias("score")), query, ident, k)
 
 

@@ -6,32 +6,42 @@ depends on earlier decisions, so it is a fold and not a range window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import deque
+from collections.abc import Iterator
+from math import floor
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def decisions(hits: DataFrame, client: str, at: str, tie: str, limit: int, seconds: float) -> DataFrame:
     """client, ``tie``, at, admitted boolean, retry_after int (seconds, null if admitted).
 
-    ``tie`` orders hits of one instant. A limit of 0 or less admits everything. The fold keeps the times of the last
-    ``limit`` admitted hits only. A client's hits meet in one row: bound them with a time range for unbounded logs.
+    ``tie`` orders hits of one instant. A limit of 0 or less admits everything. Hits are sorted by client and time and read
+    as a stream that keeps the times of the last ``limit`` admitted hits, so a client with any number of hits takes no
+    memory. Its decisions follow from one another, so they are one task's work.
     """
     second = F.col(at).cast("timestamp").cast("double") if dict(hits.dtypes)[at].startswith("timestamp") else F.col(at).cast("double")
     rows = hits.select(client, F.col(tie), F.col(at), second.alias("_s"))
     if limit <= 0:
         return rows.select(client, tie, at, F.lit(True).alias("admitted"), F.lit(None).cast("int").alias("retry_after"))
-    row = F.struct(F.col("_s").alias("s"), F.col(tie).alias("tie"), F.col(at).alias("at"))
-    lists = rows.groupBy(client).agg(F.array_sort(F.collect_list(row)).alias("hits"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out_type = f"array<struct<tie:{kinds[tie]},at:{kinds[at]},admitted:boolean,retry_after:int>>"
-    start = F.struct(F.array().cast("array<double>").alias("recent"), F.array().cast(out_type).alias("out"))
-
-    def step(state: Column, hit: Column) -> Column:
-        recent = F.filter(state.recent, lambda t: t >= hit.s - seconds)
-        free = F.size(recent) < limit
-        wait = F.when(~free, F.floor(seconds - (hit.s - F.get(recent, F.lit(0)))).cast("int") + 1)
-        done = F.struct(hit.tie.alias("tie"), hit.at.alias("at"), free.alias("admitted"), wait.alias("retry_after"))
-        return F.struct(F.when(free, F.concat(recent, F.array(hit.s))).otherwise(recent).alias("recent"), F.concat(state.out, F.array(done)).alias("out"))
-
-    folded = lists.select(client, F.inline(F.aggregate("hits", start, step, lambda s: s.out)))
-    return folded.select(client, F.col("tie").alias(tie), F.col("at").alias(at), "admitted", "retry_after")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, recent = object(), deque()
+        for b in batches:
+            admitted, wait = [], []
+            for who, s in zip(b.column(client).to_pylist(), b.column("_s").to_pylist()):
+                if who != now:
+                    now, recent = who, deque()
+                while recent and recent[0] < s - seconds:
+                    recent.popleft()
+                admitted.append(len(recent) < limit)
+                wait.append(None if admitted[-1] else floor(seconds - (s - recent[0])) + 1)
+                if admitted[-1]:
+                    recent.append(s)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (client, tie, at)), pa.array(admitted, pa.bool_()), pa.array(wait, pa.int32())], names=[client, tie, at, "admitted", "retry_after"])
+
+    schema = T.StructType([*(rows.schema[c] for c in (client, tie, at)), T.StructField("admitted", T.BooleanType()), T.StructField("retry_after", T.IntegerType())])
+    return rows.repartition(client).sortWithinPartitions(client, "_s", tie).mapInArrow(fold, schema)

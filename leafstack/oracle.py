@@ -5,7 +5,8 @@ from __future__ import annotations
 from leafstack.config import DEFAULTS as S
 from leafstack.functions.quality import FREQUENT_WORDS
 from leafstack.functions.text import POINT_NAMESPACE, STOPWORDS
-from leafstack.queries import FILTERED, HEADINGS, LITERALS, REWRITES
+from leafstack.plans.prompts import NOTHING_FOUND
+from leafstack.queries import HEADINGS, LITERALS, REWRITES, SMALL, SOURCES
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 _FREQUENT = "[" + ", ".join(f"'{w}'" for w in FREQUENT_WORDS) + "]"
@@ -110,6 +111,13 @@ SELECT c.{key}, CAST(row_number() OVER (PARTITION BY c.{key} ORDER BY c.part, c.
 FROM chain c JOIN numbered x ON x.{key} = c.{key} AND x.part = c.part AND x.i > c.start AND x.i <= c.stop GROUP BY c.{key}, c.part, c.start, c.stop"""
 
 
+def _wrapped(x: str) -> str:
+    """A long sentence as runs of words, each as long as fits."""
+    words = f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+    fits = f"length(string_split(acc, chr(2))[-1]) + 1 + length(w) <= {S.chunk_size}"
+    return f"string_split(list_reduce({words}, lambda acc, w: acc || CASE WHEN {fits} THEN ' ' ELSE chr(2) END || w), chr(2))"
+
+
 _BODY = rf"replace(replace({_strip('text')}, chr(10) || chr(10), chr(1)), chr(10), ' ')"
 
 SQL: dict[str, str] = {
@@ -141,7 +149,7 @@ SELECT vec_id, CAST(z[2] AS INTEGER) AS "at", round(z[1], 6) AS x FROM (SELECT v
     "rrf_fusion": f"""WITH {_VECTORS}, {_dense('one', S.prefetch_k)}, {_dense('two', S.prefetch_k, shift=1)}
 SELECT item_id, vec_id, round(sum(1.0 / ({S.rrf_k} + CAST(rank AS DOUBLE))), 6) AS score FROM (SELECT item_id, vec_id, rank FROM one UNION ALL SELECT item_id, vec_id, rank FROM two) GROUP BY ALL""",
     "hybrid_search": _hybrid("true", "true"),
-    "hybrid_search_filtered": _hybrid(f"u.vec_id IN {FILTERED}", f"doc_id IN {FILTERED}"),
+    "hybrid_search_filtered": _hybrid(*(f"{c} IN (SELECT doc_id FROM documents WHERE source IN {SOURCES})" for c in ("u.vec_id", "doc_id"))),
     "format_context": f"""WITH {_sparse(S.top_k)}
 SELECT item_id, string_agg('[' || rank || '] ' || d.source || CASE WHEN d.lang = 'en' THEN '' ELSE ' | ' || d.lang END || ' | ' || CASE WHEN d.doc_id % 2 = 0 THEN 'p. 1' ELSE 'pp. 1-2' END || chr(10)
   || substr(d.text, 1, 700) || CASE WHEN length(d.text) > 700 THEN '…' ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS context FROM sparse JOIN documents d USING (doc_id) GROUP BY item_id""",
@@ -152,7 +160,8 @@ SELECT item_id, string_agg('[' || rank || '] ' || d.source || CASE WHEN d.lang =
 s AS (SELECT *, {_strip('question')} AS b FROM q),
 d AS (SELECT *, coalesce(length(regexp_replace(b, '[^{_DEV_LETTERS}]', '', 'g')) / nullif(length(regexp_replace(b, '[^\p{{L}}\p{{M}}]', '', 'g')), 0) >= 0.3, false) AS dev FROM s)
 SELECT origin, id, messages = 0 AND dev AS fast, b AS standalone, CASE WHEN dev THEN 'Hindi' ELSE 'English' END AS answer_language, false AS rewritten, b AS first_query FROM d""",
-    "query_list_dedupe": f"""WITH r AS (SELECT CAST(id AS BIGINT) AS id, q, r FROM (VALUES {REWRITES}) AS t(id, q, r)),
+    "query_list_dedupe": f"""WITH r AS (SELECT CAST(id AS BIGINT) AS id, q, r FROM (VALUES {REWRITES}) AS t(id, q, r)
+  UNION ALL SELECT item_id + 1000, text, text || '|' || substr(text, 1, 20) || '| |' || substr(text, 1, 20) || '|x' FROM benchmark),
 e AS (SELECT id, q AS x, 0 AS pos FROM r UNION ALL SELECT id, trim(z[1]), CAST(z[2] AS BIGINT) FROM (SELECT id, unnest(list_zip(string_split(r, '|'), range(1, len(string_split(r, '|')) + 1))) AS z FROM r) WHERE trim(z[1]) <> ''),
 f AS (SELECT id, x, min(pos) AS pos FROM e GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM f)
 SELECT id, string_agg(x, '|' ORDER BY n) AS queries FROM k WHERE n <= {S.max_queries} GROUP BY id""",
@@ -160,18 +169,47 @@ SELECT id, string_agg(x, '|' ORDER BY n) AS queries FROM k WHERE n <= {S.max_que
     "content_doc_id": "SELECT doc_id, substr(sha256(text), 1, 16) AS content_id FROM documents",
     "point_ids": f"""WITH h AS (SELECT doc_id, sha1(unhex('{POINT_NAMESPACE}') || encode(doc_id || ':' || doc_id % 7)) AS h FROM documents)
 SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""",
-    "catalog_stats": f"SELECT conv_id, count(*) AS pages, CAST(sum(CASE WHEN length({_strip('text')}) < 40 THEN 1 ELSE 0 END) AS BIGINT) AS ocr_pages, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id",
-    "catalog_upsert": "SELECT doc_id, source, lang, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS batch FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
-    "catalog_by_title": "SELECT source, count(*) AS chunks, CAST(row_number() OVER (ORDER BY source) AS INTEGER) AS place FROM documents GROUP BY source",
+    "catalog_stats": f"""SELECT conv_id AS doc_id, 'talk ' || conv_id AS title, 'talk' AS category, 'en' AS language, '-' AS source_file, CAST(count(*) AS INTEGER) AS pages,
+CAST(count(*) FILTER (role = 'user') AS INTEGER) AS chunks, CAST(count(*) FILTER (length({_strip('text')}) < 40) AS INTEGER) AS ocr_pages, 'now' AS ingested_at FROM conversations GROUP BY conv_id""",
+    "catalog_upsert": "SELECT doc_id, source, lang, CASE WHEN doc_id % 3 = 0 THEN 'newer' ELSE 'old' END AS batch FROM documents",
+    "catalog_by_title": "SELECT source AS title, count(*) AS chunks, CAST(row_number() OVER (ORDER BY source) AS INTEGER) AS place FROM documents GROUP BY source",
     "skip_ingested": "SELECT doc_id, lang FROM documents WHERE lang <> 'en'",
-    "delete_doc": "SELECT doc_id, source, n_chars FROM documents WHERE source <> 'src0'",
+    "delete_doc": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(1 AS INTEGER) AS page, md5(text) AS md5 FROM documents WHERE source <> 'src0'",
     "rate_limit_decisions": """WITH RECURSIVE h AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 f AS (SELECT user_id, event_id, t, k, true AS admitted, CAST(NULL AS INTEGER) AS retry_after, [t] AS recent FROM h WHERE k = 1
   UNION ALL
   SELECT user_id, event_id, t, k, len(w) < 2, CASE WHEN len(w) >= 2 THEN CAST(floor(21600 - (t - w[1]) / 1e6) AS INTEGER) + 1 END, CASE WHEN len(w) < 2 THEN list_append(w, t) ELSE w END
   FROM (SELECT h.user_id, h.event_id, h.t, h.k, list_filter(f.recent, lambda x: x >= h.t - 21600000000) AS w FROM f JOIN h ON h.user_id = f.user_id AND h.k = f.k + 1))
 SELECT user_id, event_id, admitted, coalesce(retry_after, 0) AS retry_after FROM f""",
-    "docx_headings": rf"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN lower(style) LIKE 'heading%' OR lower(style) LIKE 'title%' THEN true WHEN length(text) > 90 OR regexp_matches(text, '[.,;:]$') THEN false
+    "docx_headings": rf"""WITH starts AS (SELECT doc_id, substr(text, 1, 30 + doc_id % 70) AS s FROM documents),
+t AS (SELECT CAST(id AS BIGINT) AS id, text, style FROM (VALUES {HEADINGS}) AS t(id, text, style)
+  UNION ALL SELECT doc_id + 1000, CASE WHEN doc_id % 3 = 0 THEN translate(s, '{SMALL}', '{SMALL.upper()}') ELSE s END, ['Normal', 'Center', 'Heading 3', 'Body'][doc_id % 4 + 1] FROM starts)
+SELECT id, CASE WHEN lower(style) LIKE 'heading%' OR lower(style) LIKE 'title%' THEN true WHEN length(text) > 90 OR regexp_matches(text, '[.,;:]$') THEN false
   WHEN length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) < 2 THEN false WHEN length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) >= 0.9 * length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) THEN true
-  ELSE lower(style) = 'center' AND length(text) <= 60 AND NOT regexp_matches(text, '[?!]$') END AS heading FROM (VALUES {HEADINGS}) AS t(id, text, style)""",
+  ELSE lower(style) = 'center' AND length(text) <= 60 AND NOT regexp_matches(text, '[?!]$') END AS heading FROM t""",
+    "token_ids": f"""WITH {_TEXTS}, terms AS (SELECT DISTINCT unnest({_terms('text')}) AS term FROM texts),
+crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bytes AS (SELECT term, list_transform(range(length(hex(encode(term))) // 2), lambda i: CAST('0x' || substr(hex(encode(term)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM terms)
+SELECT term, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) & 2147483647 AS token_id FROM bytes, crc""",
+    "document_chunks": _packed(f"SELECT doc_id, 1 AS part, 1 AS page, '' AS section, flatten(list_transform({_sentences(_BODY)}, lambda x: CASE WHEN length(x) > {S.chunk_size} THEN {_wrapped('x')} ELSE [x] END)) AS s FROM documents", "doc_id"),
+    "dense_two_phase": f"""WITH {_VECTORS}, tops AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS m FROM unit),
+codes AS (SELECT vec_id, list_transform(v, lambda x: round(x / CASE WHEN m = 0 THEN 1 ELSE m END * 127)) AS v FROM tops), coded AS (SELECT vec_id, {_UNIT} AS v FROM codes),
+coarse AS (SELECT q.vec_id AS item_id, c.vec_id, round(list_inner_product(c.v, q.v), 6) AS score FROM benchmark b JOIN unit q ON q.vec_id = b.item_id CROSS JOIN coded c),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS r FROM coarse) WHERE r <= 100),
+full_ AS (SELECT n.item_id, n.vec_id, round(list_inner_product(u.v, q.v), 6) AS score FROM near n JOIN unit u ON u.vec_id = n.vec_id JOIN unit q ON q.vec_id = n.item_id)
+SELECT item_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS rank FROM full_) WHERE rank <= 10""",
+    "embedded_documents": """WITH c AS (SELECT doc_id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda l: CAST(length(lower(text)) - length(replace(lower(text), l, '')) AS DOUBLE)) AS v FROM documents),
+n AS (SELECT doc_id, v, sqrt(list_inner_product(v, v)) AS n FROM c), u AS (SELECT doc_id, list_transform(v, lambda x: CAST(x / CASE WHEN n = 0 THEN 1 ELSE n END AS FLOAT)) AS v FROM n)
+SELECT doc_id, CAST(z[2] AS INTEGER) AS "at", round(CAST(z[1] AS DOUBLE), 6) AS x FROM (SELECT doc_id, unnest(list_zip(v, range(len(v)))) AS z FROM u)""",
+    "text_file_pages": f"""WITH l AS (SELECT doc_id, string_split(replace(text, chr(10), chr(12)), chr(12)) AS l FROM documents),
+p AS (SELECT doc_id, unnest(list_zip(l, range(1, len(l) + 1))) AS z FROM l)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(z[2] AS INTEGER) AS page, {_normal('z[1]')} AS text, false AS ocr FROM p WHERE {_strip('z[1]')} <> ''""",
+    "ocr_memo": f"""WITH pages_ AS (SELECT doc_id, text FROM documents), {_QUALITY},
+r AS (SELECT doc_id, text, needs_ocr OR doc_id % 10 = 0 AS ocr FROM quality),
+t AS (SELECT doc_id, ocr, CASE WHEN NOT ocr THEN {_normal('text')} WHEN doc_id % 20 = 0 THEN 'remembered ' || doc_id ELSE 'page read of ' || doc_id END AS text FROM r)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(1 AS INTEGER) AS page, text, ocr FROM t WHERE text <> ''""",
+    "user_turns": f"""WITH t AS (SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN ' ' || text ELSE text || '?' END AS original, CASE item_id % 3 WHEN 0 THEN 'Hindi' WHEN 1 THEN 'hindi (Latin)' ELSE 'English' END AS language FROM benchmark)
+SELECT item_id, 'Passages:' || chr(10) || chr(10) || '[1] ' || text || chr(10) || chr(10) || '---' || chr(10) || 'Question: ' || text || CASE WHEN {_strip('original')} <> {_strip('text')} THEN chr(10) || '(Asked as: ' || original || ')' ELSE '' END
+  || chr(10) || chr(10) || 'Answer in ' || language || '.' AS turn, CASE WHEN lower(language) LIKE 'hindi%' THEN '{NOTHING_FOUND['Hindi']}' ELSE '{NOTHING_FOUND['English']}' END AS nothing FROM t""",
+    "safe_names": rf"WITH {_TEXTS} SELECT origin, id, regexp_replace(substr(text, 1, 60), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}.\-{_DEV} ]+', '_', 'g') AS name FROM texts",
 }

@@ -6,9 +6,11 @@ benchmark item for a question, an events row for a request.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafstack.functions import text as tx
@@ -16,12 +18,14 @@ from leafstack.functions.quality import page_quality
 from leafstack.functions.vectors import l2_normalize
 from leafstack.operators import fusion
 from leafstack.operators.chunking import chunks, sections
-from leafstack.operators.dense import dense_topk, two_phase_topk
+from leafstack.operators.cells import cells_topk, centres, with_cells
+from leafstack.operators.dense import dense_topk, two_phase_topk, with_codes
 from leafstack.operators.limits import decisions
 from leafstack.operators.sparse import document_frequency, postings, query_ids, sparse_topk
 from leafstack.plans import planner, prompts
-from leafstack.sources.files import ocr_routing
-from leafstack.sources.store import not_ingested, upsert, without
+from leafstack.plans.providers import embed_documents
+from leafstack.sources.files import ocr_routing, read_with_ocr, text_pages
+from leafstack.sources.store import Store, by_title, catalogue_rows, not_ingested, upsert
 
 # Texts in Devanagari and mixed scripts, which the tables do not have: (id, text).
 LITERALS = """(1, 'राम वन गए | सीता साथ थीं || लक्ष्मण भी'), (2, 'क ख । । ग | घ'), (3, '  a  |b | c||  d  '),
@@ -150,13 +154,69 @@ def dense_topk_query(spark, sf):
 
 
 def dense_two_phase(spark, sf):
-    return two_phase_topk(_read(spark, sf, "embeddings"), _query_vectors(spark, sf), "vec_id", "item_id", k=10)
+    return two_phase_topk(with_codes(_read(spark, sf, "embeddings")), _query_vectors(spark, sf), "vec_id", "item_id", k=10)
 
 
-def _legs(spark, sf, doc_ids=None):
+def cells_topk_query(spark, sf):
+    """Nearest vectors by cells. These vectors hardly cluster, so many cells are looked into; recall is tested against ``dense_topk``."""
+    vectors = _read(spark, sf, "embeddings")
+    centre = centres(vectors, "vec_id", cells=64)
+    return cells_topk(with_cells(vectors, centre), centre, _query_vectors(spark, sf), "vec_id", "item_id", k=10, probes=40)
+
+
+class Vowels:
+    """An embedding that SQL can say: how often each vowel occurs."""
+
+    dim = 5
+
+    def embed(self, texts: list[str], task: str) -> list[list[float]]:
+        return [[float(t.lower().count(c)) for c in "aeiou"] for t in texts]
+
+
+def embedded_documents(spark, sf):
+    rows = embed_documents(_read(spark, sf, "documents").select("doc_id", "text"), Vowels(), "text")
+    return rows.select("doc_id", F.posexplode("dense").alias("at", "x")).select("doc_id", "at", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+def text_file_pages(spark, sf):
+    """Documents as text files whose lines are pages."""
+    content = F.encode(F.replace("text", F.lit("\n"), F.lit("\f")), "UTF-8")
+    found = _read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("txt").alias("suffix"), content.alias("content"))
+    return text_pages(found)
+
+
+class _Reader:
+    """An OCR provider that knows which page it sees."""
+
+    def read(self, pages):
+        return pages.select("doc_id", "page", F.concat(F.lit("page read of "), "doc_id").alias("text"))
+
+
+def ocr_memo(spark, sf):
+    """Every tenth document and those that look bad are read by OCR, but for those that the memo has."""
+    docs = _read(spark, sf, "documents")
+    pages = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), "text", F.lit(None).cast("binary").alias("image"))
+    routed = pages.withColumn("to_ocr", page_quality(F.col("text")).needs_ocr | (F.col("doc_id").cast("long") % 10 == 0))
+    memo = pages.where("CAST(doc_id AS BIGINT) % 20 = 0").select("doc_id", F.lit("m").alias("model"), "page", F.concat(F.lit("remembered "), "doc_id").alias("text"))
+    return read_with_ocr(routed, memo, _Reader(), "m")[0]
+
+
+def user_turns(spark, sf):
+    items = _read(spark, sf, "benchmark")
+    original = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(" "), "text")).otherwise(F.concat("text", F.lit("?")))
+    language = F.when(F.col("item_id") % 3 == 0, "Hindi").when(F.col("item_id") % 3 == 1, "hindi (Latin)").otherwise("English")
+    return items.select("item_id", prompts.user_turn(F.col("text"), F.concat(F.lit("[1] "), "text"), original, language).alias("turn"), prompts.nothing_found(language).alias("nothing"))
+
+
+def safe_names(spark, sf):
+    return _texts(spark, sf).select("origin", "id", tx.safe_name(F.substring("text", 1, 60)).alias("name"))
+
+
+def _legs(spark, sf, sources=None):
     docs = _read(spark, sf, "documents")
-    vectors = docs.select("doc_id").join(_read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return fusion.hybrid_search(_index(spark, sf), vectors, _read(spark, sf, "benchmark"), _query_vectors(spark, sf), docs.count(), "doc_id", "item_id", F.col("text"), doc_ids=doc_ids)
+    index = postings(docs.withColumn("key", F.struct("doc_id", "source")), "key", F.col("text")).select("key.*", "token_id", "tf", "weight")
+    vectors = docs.select("doc_id", "source").join(_read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    return fusion.hybrid_search(index, vectors, _read(spark, sf, "benchmark"), _query_vectors(spark, sf), docs.count(), "doc_id", "item_id", F.col("text"), doc_ids=sources, doc_column="source")
 
 
 def rrf_fusion(spark, sf):
@@ -171,11 +231,12 @@ def hybrid_search(spark, sf):
     return _legs(spark, sf)
 
 
-FILTERED = tuple(range(0, 400, 3))
+SOURCES = ("src1", "src3", "src4", "src8")
 
 
 def hybrid_search_filtered(spark, sf):
-    return _legs(spark, sf, list(FILTERED))
+    """Among the documents of some sources, as many as the table has."""
+    return _legs(spark, sf, list(SOURCES))
 
 
 def format_context(spark, sf):
@@ -207,7 +268,8 @@ REWRITES = """(1, 'who is rama', 'rama|sita| rama |who is rama'), (2, 'q', ' |a|
 
 def query_list_dedupe(spark, sf):
     rows = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, q, r FROM VALUES {REWRITES} AS t(id, q, r)")
-    return rows.select("id", F.array_join(planner.query_list(F.col("q"), F.split("r", r"\|")), "|").alias("queries"))
+    items = _read(spark, sf, "benchmark").select((F.col("item_id") + 1000).alias("id"), F.col("text").alias("q"), F.concat_ws("|", "text", F.substring("text", 1, 20), F.lit(" "), F.substring("text", 1, 20), F.lit("x")).alias("r"))
+    return rows.unionByName(items).select("id", F.array_join(planner.query_list(F.col("q"), F.split("r", r"\|")), "|").alias("queries"))
 
 
 def answer_cache_key(spark, sf):
@@ -225,8 +287,10 @@ def point_ids(spark, sf):
 
 
 def catalog_stats(spark, sf):
-    turns = _read(spark, sf, "conversations")
-    return turns.groupBy("conv_id").agg(F.count("*").alias("pages"), F.sum((F.length(tx.strip(F.col("text"))) < 40).cast("long")).alias("ocr_pages"), F.countDistinct("role").alias("roles"))
+    """Catalogue rows of conversations: turns are pages, those of users chunks, short ones read by OCR."""
+    turns = _read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", (F.length(tx.strip(F.col("text"))) < 40).alias("ocr"))
+    books = turns.select("doc_id", F.concat(F.lit("talk "), "doc_id").alias("title"), F.lit("talk").alias("category"), F.lit("en").alias("language"), F.lit("-").alias("source_file")).distinct()
+    return catalogue_rows(turns, turns.where("role = 'user'"), books, "now")
 
 
 def _catalogue(spark, sf):
@@ -234,17 +298,16 @@ def _catalogue(spark, sf):
 
 
 def catalog_upsert(spark, sf):
-    old = _catalogue(spark, sf).where("doc_id % 2 = 0")
-    new = _catalogue(spark, sf).where("doc_id % 3 = 0").withColumn("batch", F.lit("new"))
-    return upsert(old, new, "doc_id")
+    """Every third document comes again, twice: the row that sorts last stays."""
+    old = _catalogue(spark, sf)
+    new = old.where("doc_id % 3 = 0")
+    return upsert(old, new.withColumn("batch", F.lit("new")).unionByName(new.withColumn("batch", F.lit("newer"))), "doc_id", order="batch")
 
 
 def catalog_by_title(spark, sf):
-    """The catalogue's listing order, as a rank."""
-    from pyspark.sql import Window
-
-    books = _read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("chunks"))
-    return books.withColumn("place", F.row_number().over(Window.orderBy("source")))
+    """The catalogue's listing order, as a number."""
+    books = _read(spark, sf, "documents").groupBy(F.col("source").alias("title")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("chunks"))
+    return by_title(books).withColumn("place", F.monotonically_increasing_id()).select("title", "chunks", F.dense_rank().over(Window.orderBy("place")).alias("place"))
 
 
 def skip_ingested(spark, sf):
@@ -253,8 +316,28 @@ def skip_ingested(spark, sf):
 
 
 def delete_doc(spark, sf):
-    rows = _read(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    return without(rows, rows.where("source = 'src0'"), "doc_id")
+    """A store of all documents as pages, without those of one source."""
+    docs = _read(spark, sf, "documents")
+    store = Store(spark, _scratch(spark))
+    pages = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), "text", F.lit(False).alias("ocr"))
+    store.replace(pages, {"pages": pages})
+    store.delete_documents(docs.where("source = 'src0'").select(F.col("doc_id").cast("string").alias("doc_id")))
+    return store.table("pages").select("doc_id", "page", F.md5("text").alias("md5"))
+
+
+def _scratch(spark) -> str:
+    """A folder for one query's store: on the shared storage that the cluster names, else in the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/leafstack-store/{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark, path: str) -> None:
+    try:
+        Store(spark, path)._delete(path)
+    except Exception:  # noqa: BLE001  the session may already be gone
+        return
 
 
 def rate_limit_decisions(spark, sf):
@@ -267,9 +350,16 @@ HEADINGS = """(1, 'Chapter One', 'Heading 1'), (2, 'THE FIRST BOOK', 'Normal'),
  (10, 'A VERY LONG LINE IN CAPITALS THAT GOES ON AND ON UNTIL IT HAS MORE THAN NINETY CHARACTERS IN IT OK', 'Normal'), (11, 'ABCDEFGHIj', 'Normal'), (12, 'अध्याय एक', 'Center')"""
 
 
+SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
 def docx_headings(spark, sf):
+    """Given paragraphs, and the beginnings of all documents in four styles."""
     rows = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, text, style FROM VALUES {HEADINGS} AS t(id, text, style)")
-    return rows.select("id", tx.is_heading(F.col("text"), F.col("style")).alias("heading"))
+    styles = F.element_at(F.array(*map(F.lit, ("Normal", "Center", "Heading 3", "Body"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    start = F.substring("text", 1, (30 + F.col("doc_id") % 70).cast("int"))
+    docs = _read(spark, sf, "documents").select((F.col("doc_id") + 1000).alias("id"), F.when(F.col("doc_id") % 3 == 0, F.translate(start, SMALL, SMALL.upper())).otherwise(start).alias("text"), styles.alias("style"))
+    return rows.unionByName(docs).select("id", tx.is_heading(F.col("text"), F.col("style")).alias("heading"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -291,6 +381,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l2_normalized": l2_normalized,
     "dense_topk": dense_topk_query,
     "dense_two_phase": dense_two_phase,
+    "cells_topk": cells_topk_query,
+    "embedded_documents": embedded_documents,
+    "text_file_pages": text_file_pages,
+    "ocr_memo": ocr_memo,
+    "user_turns": user_turns,
+    "safe_names": safe_names,
     "rrf_fusion": rrf_fusion,
     "hybrid_search": hybrid_search,
     "hybrid_search_filtered": hybrid_search_filtered,

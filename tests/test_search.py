@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafstack.functions.vectors import int8_codes, l2_normalize
-from leafstack.operators.dense import dense_topk, two_phase_topk
+from leafstack.operators.dense import dense_topk, two_phase_topk, with_codes
 from leafstack.operators.fusion import hybrid_search, only_documents, reciprocal_rank_fusion, sources
 from leafstack.operators.limits import decisions
 from leafstack.operators.sparse import postings, query_ids, sparse_topk
@@ -56,11 +56,36 @@ def test_dense_legs(spark):
         x = np.array(r.embedding)
         s = np.round(u @ (x / np.linalg.norm(x)), 6)
         assert [h.vec_id for h in sorted((h for h in out if h.item_id == r.item_id), key=lambda h: h["rank"])] == sorted(range(300), key=lambda i: (-s[i], i))[:5]
-    two = {(r.item_id, r.vec_id) for r in two_phase_topk(df, q, "vec_id", "item_id", k=5, coarse=40).collect()}
+    two = {(r.item_id, r.vec_id) for r in two_phase_topk(with_codes(df.where("embedding IS NOT NULL")), q, "vec_id", "item_id", k=5, coarse=40).collect()}
     assert len(two & {(r.item_id, r.vec_id) for r in out}) >= 0.9 * len(out)
     assert dense_topk(df, q.where("item_id < 0"), "vec_id", "item_id").count() == 0
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_cells_find_most_of_the_nearest(spark, sf):
+    from leafstack.queries import QUERIES
+
+    sf = f"/root/testdata/sf{sf}"
+    near = {(r.item_id, r.vec_id) for r in QUERIES["cells_topk"](spark, sf).collect()}
+    exact = {(r.item_id, r.vec_id) for r in QUERIES["dense_topk"](spark, sf).where("rank <= 10").collect()}
+    assert len(near) == len(exact) and len(near & exact) >= 0.9 * len(exact)
+
+
+def test_cells_of_odd_tables(spark):
+    from leafstack.operators.cells import cells_topk, centres, with_cells
+
+    df = spark.createDataFrame([(k, [float(k % 5), 1.0]) for k in range(30)] + [(99, None), (98, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 1.0])], "item_id long, embedding array<float>")
+    centre = centres(df, "vec_id", cells=4)
+    indexed = with_cells(df, centre)
+    assert indexed.count() == 31 and len(centre) == 4
+    every = cells_topk(indexed, centre, q, "vec_id", "item_id", k=6, probes=4).collect()
+    assert sorted(map(tuple, every)) == sorted(map(tuple, dense_topk(df, q, "vec_id", "item_id", k=6).collect()))
+    assert cells_topk(indexed, centre, q.limit(0), "vec_id", "item_id").count() == 0
+    none = centres(df.limit(0), "vec_id")
+    assert with_cells(df.limit(0), none).count() == 0
+
+
 def test_unit_vectors(spark):
     row = spark.range(1).select(l2_normalize(F.array(F.lit(3.0), F.lit(4.0))), l2_normalize(F.array(F.lit(0.0), F.lit(0.0))), int8_codes(F.array(F.lit(0.5), F.lit(-1.0)))).first()
     assert tuple(map(tuple, row)) == ((0.6, 0.8), (0.0, 0.0), (64, -127))
@@ -93,3 +118,5 @@ def test_limiter_forgets_rejected_hits(spark):
     out = {r.k: (r.admitted, r.retry_after) for r in decisions(hits, "c", "t", "k", 2, 60).collect()}
     assert out == {0: (True, None), 1: (True, None), 2: (False, 41), 3: (False, 2), 4: (False, 1), 5: (True, None), 6: (True, None), 9: (True, None)}
     assert all(r.admitted for r in decisions(hits, "c", "t", "k", 0, 60).collect())
+    many = spark.range(30_000).select(F.lit(None).cast("long").alias("c"), F.col("id").alias("k"), (F.col("id") / 100).alias("t"))
+    assert many.count() == 30_000 and decisions(many, "c", "t", "k", 5, 60).where("admitted").count() == 25
