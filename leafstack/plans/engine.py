@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -20,7 +21,7 @@ from leafstack.operators.chunking import index_texts
 from leafstack.operators.fusion import sources
 from leafstack.operators.sparse import postings
 from leafstack.plans import planner, prompts
-from leafstack.plans.providers import ExtractiveGeneration, Failover, HashEmbedding, NoRewrite, QueryEmbedder, embed_documents
+from leafstack.plans.providers import ExtractiveGeneration, Failover, HashEmbedding, NoRewrite, OcrReader, QueryEmbedder, embed_documents
 from leafstack.sources.files import files, load_pages
 from leafstack.sources.store import Store, catalogue_rows, not_ingested
 
@@ -63,13 +64,18 @@ def checked(question: str, history: list[dict] | None = None, top_k: int | None
 
 
 class Library:
-    def __init__(self, spark: SparkSession, root: str, s: Settings = DEFAULTS, embedding=None, rewriter=None, generator=None, pdf=None, clock: Callable[[], float] = time.monotonic):
+    """``pdf``, ``ocr``, ``embedding``, ``rewriter`` and ``generator`` are providers; see ``plans.providers``."""
+
+    def __init__(self, spark: SparkSession, root: str, s: Settings = DEFAULTS, embedding=None, rewriter=None, generator=None, pdf=None, ocr=None, clock: Callable[[], float] = time.monotonic):
         self.spark, self.s, self.store = spark, s, Store(spark, root)
         self.embedding, self.rewriter, self.pdf = embedding or HashEmbedding(s.embedding_dim), rewriter or NoRewrite(), pdf
+        self.ocr = OcrReader(ocr, s.ocr_attempts, s.max_wait_seconds) if ocr is not None else None
         self.generator = generator or Failover(ExtractiveGeneration(), deadline=s.first_token_seconds)
         self.query_vectors = QueryEmbedder(self.embedding, s.embedding_cache_size)
         self.answers = TtlCache(s.answer_cache_size, s.answer_cache_seconds, clock)
         self.jobs: dict[str, dict] = {}
+        self._threads: dict[str, threading.Thread] = {}
+        self._ingesting = threading.RLock()  # one ingest at a time
 
     # ------------------------------------------------------------ ingest
 
@@ -77,43 +83,55 @@ class Library:
         """Ingest the files at ``path``; the ids of those that were new. Content that is there already is skipped unless forced."""
         if not 1 <= len(title) <= 200 or len(category) > 50 or len(language) > 20:
             raise InvalidRequest("title has 1 to 200 characters, category up to 50, language up to 20")
-        found = not_ingested(files(self.spark, path, self.s), self.store.books(), force=force)
-        return self.ingest_files(found, title, category, language, progress)
+        with self._ingesting:  # what is there already is looked up when it is this ingest's turn
+            found = not_ingested(files(self.spark, path, self.s), self.store.books(), force=force)
+            return self.ingest_files(found, title, category, language, progress)
 
     def ingest_files(self, found: DataFrame, title: str, category: str = "general", language: str = "hi", progress: Callable[[str, int, int], None] = lambda *_: None) -> list[str]:
-        found = found.dropDuplicates(["doc_id"])
-        books = found.select("doc_id", F.lit(title).alias("title"), F.lit(category).alias("category"), F.lit(language).alias("language"), F.regexp_extract("path", r"([^/]*)\z", 1).alias("source_file"))
-        ids = [r.doc_id for r in books.select("doc_id").collect()]  # one row a file that was handed in
-        if not ids:
-            return []
-        progress("pages", 0, len(ids))
-        self.store.replace_documents("pages", load_pages(found, self.pdf))
-        pages = self.store.table("pages", schemas.PAGE).where(F.col("doc_id").isin(ids))
-        progress("chunks", 0, len(ids))
-        parts = index_texts(chunked(pages, size=self.s.chunk_size, overlap=self.s.chunk_overlap), F.lit(title))
-        points = parts.withColumn("point_id", point_id(F.col("doc_id"), F.col("chunk_index"))).join(books.drop("source_file"), "doc_id")
-        self.store.replace_documents("chunks", embed_documents(points, self.embedding, "embed_text").select(*schemas.POINT.names))
-        stored = self.store.chunks().where(F.col("doc_id").isin(ids))
-        index_text = F.concat(F.col("section"), F.lit(" "), F.col("text"))
-        terms = postings(stored.select("point_id", "doc_id", index_text.alias("t")).withColumn("key", F.struct("point_id", "doc_id")), "key", F.col("t"), self.s)
-        self.store.replace_documents("postings", terms.select("key.point_id", "key.doc_id", "token_id", "weight"))
-        stamp = datetime.now(UTC).isoformat(timespec="seconds")
-        self.store.put_books(catalogue_rows(pages, stored, books, stamp))
-        self.clear_cache()
-        progress("done", len(ids), len(ids))
-        return ids
+        with self._ingesting:
+            found = found.dropDuplicates(["doc_id"])
+            books = self.store.stage(found.select("doc_id", F.lit(title).alias("title"), F.lit(category).alias("category"), F.lit(language).alias("language"), F.regexp_extract("path", r"([^/]*)\z", 1).alias("source_file")))
+            count = books.count()
+            if not count:
+                return []
+            progress("pages", 0, count)
+            pages = self.store.stage(load_pages(found, self.pdf, self.ocr, self.store, self.s))
+            progress("chunks", 0, count)
+            parts = index_texts(chunked(pages, size=self.s.chunk_size, overlap=self.s.chunk_overlap), F.lit(title))
+            points = parts.withColumn("point_id", point_id(F.col("doc_id"), F.col("chunk_index"))).join(books.drop("source_file"), "doc_id")
+            stored = self.store.stage(embed_documents(points, self.embedding, "embed_text", batch=self.s.embed_batch, in_flight=self.s.embed_in_flight).select(*schemas.POINT.names))
+            index_text = F.concat(F.col("section"), F.lit(" "), F.col("text"))
+            terms = postings(stored.select("point_id", "doc_id", index_text.alias("t")).withColumn("key", F.struct("point_id", "doc_id")), "key", F.col("t"), self.s)
+            stamp = datetime.now(UTC).isoformat(timespec="seconds")
+            tables = {"pages": pages, "chunks": stored, "postings": terms.select("key.point_id", "key.doc_id", "token_id", "weight"), "catalogue": catalogue_rows(pages, stored, books, stamp)}
+            ids = [r.doc_id for r in books.select("doc_id").orderBy("doc_id").collect()]  # one a file that was handed in
+            self.store.replace(books, tables)
+            self.clear_cache()
+            progress("done", count, count)
+            return ids
 
     def start_job(self, path: str, title: str, **options) -> str:
-        """Ingest now and keep the outcome under a job id."""
+        """Ingest in the background; the id under which ``job`` tells how far it is. Jobs wait for each other."""
         job = hashlib.sha256(f"{path}{title}{time.time_ns()}".encode()).hexdigest()[:12]
         self.jobs[job] = {"job_id": job, "status": "running", "stage": "queued", "done": 0, "total": 0, "error": None, "doc_id": None}
-        try:
-            ids = self.ingest(path, title, progress=lambda stage, done, total: self.jobs[job].update(stage=stage, done=done, total=total), **options)
-            self.jobs[job].update(status="completed", doc_id=ids[0] if ids else None)
-        except Exception as e:
-            self.jobs[job].update(status="failed", error=str(e))
+
+        def work() -> None:
+            try:
+                ids = self.ingest(path, title, progress=lambda stage, done, total: self.jobs[job].update(stage=stage, done=done, total=total), **options)
+                self.jobs[job].update(status="completed", doc_id=ids[0] if ids else None)
+            except Exception as e:
+                self.jobs[job].update(status="failed", error=str(e))
+
+        self._threads[job] = threading.Thread(target=work, daemon=True)
+        self._threads[job].start()
         return job
 
+    def wait(self, job_id: str, seconds: float | None = None) -> dict | None:
+        """The job when it has ended, or after ``seconds``."""
+        if job_id in self._threads:
+            self._threads[job_id].join(seconds)
+        return self.job(job_id)
+
     def job(self, job_id: str) -> dict | None:
         return self.jobs.get(job_id)
 
@@ -124,8 +142,8 @@ class Library:
         return {"chunks": self.store.count(), "books": self.books().count()}
 
     def delete(self, doc_id: str) -> bool:
-        there = self.store.remove_book(doc_id)
-        self.store.delete_document(doc_id)
+        with self._ingesting:
+            there = self.store.remove_book(doc_id)
         self.clear_cache()
         return there
 
@@ -155,7 +173,7 @@ class Library:
         times["embed_ms"], t = (clock() - t) * 1000, clock()
         rows = [(f"{k}", q, v) for k, (q, v) in enumerate(zip(plan["queries"], vectors))]
         asked = self.spark.createDataFrame(rows, "leg string, question string, dense array<double>")
-        points = self.store.chunks()
+        points = self.store.chunks(doc_ids)
         found = self._search(points, asked, doc_ids, top_k)
         payload = points.select("point_id", "doc_id", "title", "section", "page_start", "page_end", "text")
         best = sources(found, payload, "one", "point_id").orderBy("n").collect()
@@ -166,12 +184,11 @@ class Library:
     def _search(self, points: DataFrame, asked: DataFrame, doc_ids: list[str] | None, top_k: int | None) -> DataFrame:
         """All legs of all queries of a plan, fused into one ranking."""
         from leafstack.operators.dense import dense_topk
-        from leafstack.operators.fusion import only_documents, reciprocal_rank_fusion
+        from leafstack.operators.fusion import reciprocal_rank_fusion
         from leafstack.operators.sparse import best, sparse_topk
 
-        among = F.col("doc_id").isin(*doc_ids) if doc_ids else None
-        dense = dense_topk(only_documents(points, "doc_id", doc_ids), asked, "point_id", "leg", "dense", self.s.prefetch_k)
-        sparse = sparse_topk(self.store.postings(), asked, points.count(), "point_id", "leg", F.col("question"), self.s.prefetch_k, among)
+        dense = dense_topk(points, asked, "point_id", "leg", "dense", self.s.prefetch_k)
+        sparse = sparse_topk(self.store.postings(doc_ids), asked, self.store.count(), "point_id", "leg", F.col("question"), self.s.prefetch_k, frequency=self.store.document_frequency())
         legs = [leg.withColumn("one", F.lit(0)) for leg in (dense, sparse)]
         return best(reciprocal_rank_fusion(legs, "one", "point_id", self.s.rrf_k), "one", "point_id", top_k or self.s.top_k)
 

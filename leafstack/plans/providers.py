@@ -10,13 +10,14 @@ import random
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from leafstack.config import DEFAULTS
 
@@ -73,22 +74,53 @@ def unit_rows(rows: list[list[float]], expected: int) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def embed_documents(df: DataFrame, provider: EmbeddingProvider, text: str, vector: str = "dense", batch: int = DEFAULTS.embed_batch) -> DataFrame:
-    """``df`` with unit vectors of ``text``; each call has at most ``batch`` texts, and rows keep their vectors by position in the batch."""
+def embed_documents(
+    df: DataFrame, provider: EmbeddingProvider, text: str, vector: str = "dense", batch: int = DEFAULTS.embed_batch, in_flight: int = DEFAULTS.embed_in_flight
+) -> DataFrame:
+    """``df`` with unit vectors of ``text``; each call has at most ``batch`` texts, and a task has ``in_flight`` calls at once.
+
+    Rows keep their vectors by position in their batch.
+    """
     schema = df.drop(vector).schema.add(vector, ArrayType(FloatType()))
     names = [f.name for f in schema.fields if f.name != vector]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, batch):
-                b = whole.slice(i, batch)
-                texts = [t or "" for t in b.column(text).to_pylist()]
-                m = unit_rows(retrying(lambda: provider.embed(texts, "document")), len(texts))
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(list(m.astype(np.float32)), pa.list_(pa.float32()))], names=[*names, vector])
+        def embedded(b: pa.RecordBatch) -> np.ndarray:
+            texts = [t or "" for t in b.column(text).to_pylist()]
+            return unit_rows(retrying(lambda: provider.embed(texts, "document")), len(texts))
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for whole in batches:
+                parts = [whole.slice(i, batch) for i in range(0, whole.num_rows, batch)]
+                for b, m in zip(parts, pool.map(embedded, parts)):
+                    yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(list(m.astype(np.float32)), pa.list_(pa.float32()))], names=[*names, vector])
 
     return df.mapInArrow(run, schema)
 
 
+class OcrProvider(Protocol):
+    def ocr_page(self, image: bytes | None) -> str: ...
+
+
+class OcrReader:
+    """Reads page images in tasks; a page that fails for a transient reason is tried again, ``attempts`` times in all."""
+
+    def __init__(self, provider: OcrProvider, attempts: int = DEFAULTS.ocr_attempts, max_wait: float = DEFAULTS.max_wait_seconds):
+        self.provider, self.attempts, self.max_wait = provider, attempts, max_wait
+
+    def read(self, pages: DataFrame) -> DataFrame:
+        """doc_id, page, text of pages (doc_id, page, image)."""
+        provider, attempts, max_wait = self.provider, self.attempts, self.max_wait
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = [retrying(lambda image=image: provider.ocr_page(image), attempts, max_wait) for image in b.column("image").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("page"), pa.array(texts, pa.string())], names=["doc_id", "page", "text"])
+
+        schema = StructType([pages.schema["doc_id"], pages.schema["page"], StructField("text", StringType())])
+        return pages.select("doc_id", "page", "image").mapInArrow(run, schema)
+
+
 class QueryEmbedder:
     """Embeds queries in order; each text once, and not again while it is in the cache."""
 

@@ -20,9 +20,14 @@ SUFFIXES = ("pdf", "docx", "txt", "md")
 
 
 def files(spark: SparkSession, path: str, s: Settings = DEFAULTS) -> DataFrame:
-    """path, doc_id, suffix, length, content of every file below ``path``; a suffix that is not known is an error when read."""
+    """path, doc_id, suffix, length, content of every file below ``path``.
+
+    A file that is too large is an error at once, from the listing alone; a suffix that is not known is one when read.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return identified(raw).where(F.col("length") <= s.max_upload_bytes)
+    if large := raw.select("path", "length").where(F.col("length") > s.max_upload_bytes).first():
+        raise ValueError(f"file too large ({large.length} bytes, at most {s.max_upload_bytes}): {large.path}")
+    return identified(raw)
 
 
 def identified(raw: DataFrame) -> DataFrame:
@@ -117,24 +122,44 @@ def ocr_routing(pages: DataFrame, doc: str = "doc_id", mode: str = "auto", share
     return flagged.join(rates, doc).withColumn("to_ocr", F.col("needs_ocr") | (F.col("_rate") > share)).drop("_rate")
 
 
-def read_with_ocr(pages: DataFrame, memo: DataFrame, provider, model: str) -> tuple[DataFrame, DataFrame]:
-    """Pages (doc_id, page, text, image, to_ocr) with OCR text where it is asked for, and the rows to add to the memo.
+def ocr_missing(pages: DataFrame, memo: DataFrame, provider, model: str) -> DataFrame:
+    """Rows for the memo (doc_id, model, page, text): the pages (doc_id, page, image, to_ocr) that it lacks, read by ``provider``."""
+    known = memo.where(F.col("model") == model).select("doc_id", "page")
+    asked = pages.where("to_ocr").join(known, ["doc_id", "page"], "left_anti")
+    return provider.read(asked.select("doc_id", "page", "image")).select("doc_id", F.lit(model).alias("model"), "page", "text")
 
-    Only pages that the memo lacks reach the provider.
-    """
+
+def with_ocr(pages: DataFrame, memo: DataFrame, model: str) -> DataFrame:
+    """Pages (doc_id, page, text, to_ocr) with the memo's text where OCR is asked for; blank ones are dropped."""
     known = memo.where(F.col("model") == model).select("doc_id", "page", F.col("text").alias("memo_text"))
-    asked = pages.where("to_ocr").join(known, ["doc_id", "page"], "left")
-    fresh = provider.read(asked.where("memo_text IS NULL").select("doc_id", "page", "image")).select("doc_id", "page", F.col("text").alias("memo_text"))
-    done = asked.where("memo_text IS NOT NULL").select("doc_id", "page", "memo_text").unionByName(fresh)
-    out = pages.join(done, ["doc_id", "page"], "left").select("doc_id", "page", normalize(F.coalesce("memo_text", "text")).alias("text"), F.col("to_ocr").alias("ocr"))
-    return out.where(strip(F.col("text")) != ""), fresh.select("doc_id", F.lit(model).alias("model"), "page", F.col("memo_text").alias("text"))
+    joined = pages.join(known, ["doc_id", "page"], "left")
+    text = F.when(F.col("to_ocr"), F.coalesce("memo_text", "text")).otherwise(F.col("text"))
+    return joined.select("doc_id", "page", normalize(text).alias("text"), F.col("to_ocr").alias("ocr")).where(strip(F.col("text")) != "")
 
 
-def load_pages(found: DataFrame, pdf=None) -> DataFrame:
-    """Pages of all files. ``pdf`` is a provider whose ``pages(files)`` gives PDF pages; without one a PDF is an error."""
-    out = text_pages(found).unionByName(docx_pages(docx_paragraphs(found)))
+def read_with_ocr(pages: DataFrame, memo: DataFrame, provider, model: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with OCR text where it is asked for, and the rows to add to the memo. Only pages that it lacks reach the provider."""
+    fresh = ocr_missing(pages, memo, provider, model)
+    return with_ocr(pages, memo.select("doc_id", "model", "page", "text").unionByName(fresh), model), fresh
+
+
+def load_pages(found: DataFrame, pdf=None, ocr=None, store=None, s: Settings = DEFAULTS) -> DataFrame:
+    """Pages of all files. ``pdf`` is a provider whose ``pages(files)`` gives (doc_id, page, text, image); without one a PDF is an error.
+
+    With an OCR provider ``ocr`` and a ``store`` for its memo, pages whose text layer cannot be trusted are read by it, as
+    ``ocr_mode`` says. The layer is staged, so files are opened once, and what was read is remembered before it is used.
+    """
+    out = text_pages(found).unionByName(docx_pages(docx_paragraphs(found))).select(*schemas.PAGE.names)
     rest = found.where("suffix = 'pdf'")
-    if pdf is not None:
-        return out.unionByName(pdf.pages(rest)).select(*schemas.PAGE.names)
-    refused = rest.select("doc_id", F.raise_error(F.concat(F.lit("no PDF provider for "), F.col("path"))).cast("int").alias("page"), F.lit("").alias("text"), F.lit(False).alias("ocr"))
-    return out.unionByName(refused).select(*schemas.PAGE.names)
+    if pdf is None:
+        refused = rest.select("doc_id", F.raise_error(F.concat(F.lit("no PDF provider for "), F.col("path"))).cast("int").alias("page"), F.lit("").alias("text"), F.lit(False).alias("ocr"))
+        return out.unionByName(refused)
+    if ocr is None:
+        if s.ocr_mode == "always":
+            raise ValueError("OCR of all pages needs a provider")
+        layer = pdf.pages(rest).select("doc_id", "page", normalize(F.col("text")).alias("text"), F.lit(False).alias("ocr"))
+        return out.unionByName(layer.where(strip(F.col("text")) != ""))
+    layer = store.stage(pdf.pages(rest).select("doc_id", "page", "text", "image"))
+    routed = ocr_routing(layer, mode=s.ocr_mode, share=s.ocr_share)
+    store.remember_ocr(ocr_missing(routed, store.ocr_cache(), ocr, s.ocr_model))
+    return out.unionByName(with_ocr(routed, store.ocr_cache(), s.ocr_model))

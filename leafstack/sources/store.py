@@ -1,19 +1,28 @@
-"""Parquet tables of an ingested library: chunks and postings by document, the catalogue, page audit and OCR memo.
+"""Parquet tables of an ingested library: chunks, postings, term counts, catalogue, page audit and OCR memo.
 
-Tables are directories partitioned by ``doc_id``; a document is replaced by overwriting its partition, so a reader sees
-the old rows or the new ones. The catalogue, one row a book, is written beside its old copy and then renamed.
+Documents are dealt to a fixed number of buckets by a hash of their id. A change writes new files for the buckets that it
+touches, into a folder of its own, and then swaps one small manifest that says which folder holds each bucket of each
+table. The swap is one rename, so a reader sees all tables before a change or all of them after it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafstack import schemas
 
+BUCKETS = 64
+TABLES: dict[str, T.StructType] = {"chunks": schemas.POINT, "postings": schemas.POSTING, "pages": schemas.PAGE, "catalogue": schemas.BOOK}
+#: How files are sorted, so that Parquet can skip row groups: a search reads a few terms, everything else reads documents.
+_ORDER = {"postings": ("token_id", "doc_id")}
+
 
 def upsert(existing: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """``existing`` with the rows of ``new`` in place of those with their key; of repeated new keys the last by ``order``."""
@@ -34,79 +43,178 @@ def not_ingested(files: DataFrame, catalogue: DataFrame, key: str = "doc_id", fo
     return files if force else files.join(catalogue.select(key), key, "left_anti")
 
 
+def by_title(books: DataFrame) -> DataFrame:
+    """The catalogue's listing order; equal titles by id."""
+    return books.orderBy("title", "doc_id")
+
+
+def bucket(doc_id: str) -> int:
+    return int(hashlib.sha256(doc_id.encode()).hexdigest()[:8], 16) % BUCKETS
+
+
+def bucket_of(doc_id: Column) -> Column:
+    """The same as an expression."""
+    return (F.conv(F.substring(F.sha2(F.encode(doc_id, "UTF-8"), 256), 1, 8), 16, 10).cast("long") % BUCKETS).cast("int")
+
+
 class Store:
-    """The tables under ``root``, on any file system that the session reads."""
+    """The tables under ``root``, on any file system that the session reads. One writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self._lock = spark, root.rstrip("/"), threading.RLock()
+
+    # ------------------------------------------------------------ files
 
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def exists(self, path: str) -> bool:
         fs, p = self._fs(path)
         return fs.exists(p)
 
-    def table(self, name: str, schema: T.StructType) -> DataFrame:
-        """A table, empty if nothing was written yet."""
-        path = f"{self.root}/{name}"
-        return self.spark.read.schema(schema).parquet(path) if self.exists(path) else self.spark.createDataFrame([], schema)
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        if fs.exists(p) and not fs.delete(p, True):
+            raise OSError(f"cannot delete {path}")
 
-    def chunks(self) -> DataFrame:
-        return self.table("chunks", schemas.POINT)
+    def _folders(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def manifest(self) -> dict[str, dict[str, str]]:
+        """By table and bucket, the folder that holds it."""
+        fs, p = self._fs(f"{self.root}/MANIFEST.json")
+        if not fs.exists(p):
+            return {}
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, new: dict[str, dict[str, str]], old: dict[str, dict[str, str]]) -> None:
+        """Put the new manifest in place of the old one by a rename, and delete folders that neither has."""
+        jvm = self.spark._jvm
+        fs, aside = self._fs(f"{self.root}/_manifest_{uuid.uuid4().hex}.json")
+        stream = fs.create(aside, True)
+        stream.write(bytearray(json.dumps(new).encode()))
+        stream.close()
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        target = jvm.org.apache.hadoop.fs.Path(f"{self.root}/MANIFEST.json")
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(target), options)
+        used = {folder.split("/")[1] for m in (new, old) for parts in m.values() for folder in parts.values()}
+        for version in self._folders(f"{self.root}/v"):
+            if version not in used:
+                self._delete(f"{self.root}/v/{version}")
+
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """``rows`` written once and read back; gone after the next change."""
+        path = f"{self.root}/v/staged-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    # ------------------------------------------------------------ tables
+
+    def table(self, name: str, doc_ids: list[str] | None = None) -> DataFrame:
+        """A table, empty if nothing was written yet; with ``doc_ids`` their rows, from their buckets only."""
+        rows = self._read(name, TABLES[name], {str(bucket(d)) for d in doc_ids} if doc_ids else None)
+        return rows.where(F.col("doc_id").isin(*doc_ids)) if doc_ids else rows
+
+    def _read(self, name: str, schema: T.StructType, buckets: set[str] | None = None) -> DataFrame:
+        parts = self.manifest().get(name, {})
+        paths = [f"{self.root}/{folder}" for b, folder in sorted(parts.items()) if buckets is None or b in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def chunks(self, doc_ids: list[str] | None = None) -> DataFrame:
+        return self.table("chunks", doc_ids)
+
+    def postings(self, doc_ids: list[str] | None = None) -> DataFrame:
+        return self.table("postings", doc_ids)
+
+    def document_frequency(self) -> DataFrame:
+        """token_id, df over all chunks; kept by bucket, so a change counts its own buckets only."""
+        return self._read("terms", schemas.TERM).where("token_id >= 0").groupBy("token_id").agg(F.sum("df").alias("df"))
 
-    def postings(self) -> DataFrame:
-        return self.table("postings", schemas.POSTING)
+    def count(self) -> int:
+        """The number of chunks, from the counts that are kept."""
+        return self._read("terms", schemas.TERM).where("token_id = -1").agg(F.sum("df")).first()[0] or 0
+
+    def replace(self, ids: DataFrame, tables: dict[str, DataFrame]) -> None:
+        """Put ``tables`` in place of all rows of the documents ``ids`` (doc_id); tables that are not named lose their rows too."""
+        with self._lock:
+            old = self.manifest()
+            new, version = {k: dict(v) for k, v in old.items()}, f"v/{uuid.uuid4().hex}"
+            ids = self.stage(ids.select("doc_id").distinct())
+            touched = [r.b for r in ids.select(bucket_of(F.col("doc_id")).alias("b")).distinct().collect()]  # BUCKETS at most
+            for name, schema in TABLES.items():
+                kept = self._read(name, schema, set(map(str, touched))).join(ids, "doc_id", "left_anti").select(*schema.names)
+                rows = kept.unionByName(tables[name].select(*schema.names)) if name in tables else kept
+                self._write(rows, name, version, touched, new, _ORDER.get(name, ("doc_id",)))
+            terms = self._counted(new, touched)
+            self._write(terms, "terms", version, touched, new, ("token_id",))
+            self._commit(new, old)
+
+    def _write(self, rows: DataFrame, name: str, version: str, touched: list[int], manifest: dict, order: tuple[str, ...]) -> None:
+        keyed = rows if "bucket" in rows.columns else rows.withColumn("bucket", bucket_of(F.col("doc_id")))
+        keyed.repartition("bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{self.root}/{version}/{name}")
+        there = set(self._folders(f"{self.root}/{version}/{name}"))
+        parts = manifest.setdefault(name, {})
+        for b in touched:
+            parts.pop(str(b), None)
+            if f"bucket={b}" in there:
+                parts[str(b)] = f"{version}/{name}/bucket={b}"
+
+    def _counted(self, manifest: dict, touched: list[int]) -> DataFrame:
+        """bucket, token_id, df of the buckets just written; the number of chunks stands under the token id -1."""
+        out = self.spark.createDataFrame([], "bucket int, token_id long, df long")
+        for name, key in (("postings", F.col("token_id")), ("chunks", F.lit(-1).cast("long"))):
+            paths = [f"{self.root}/{manifest[name][str(b)]}" for b in touched if str(b) in manifest.get(name, {})]
+            if paths:
+                rows = self.spark.read.schema(TABLES[name]).parquet(*paths).select(bucket_of(F.col("doc_id")).alias("bucket"), key.alias("token_id"))
+                out = out.unionByName(rows.groupBy("bucket", "token_id").agg(F.count("*").alias("df")))
+        return out
+
+    def delete_documents(self, gone: DataFrame) -> None:
+        """Remove every row of the documents ``gone`` (doc_id) from all tables."""
+        self.replace(gone, {})
+
+    # ------------------------------------------------------------ OCR memo
 
     def ocr_cache(self) -> DataFrame:
-        return self.table("ocr_cache", schemas.OCR_CACHE)
-
-    def replace_documents(self, name: str, rows: DataFrame) -> None:
-        """Write the partitions of the documents in ``rows``; other documents stay."""
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(f"{self.root}/{name}")
+        path = f"{self.root}/ocr_cache"
+        return self.spark.read.schema(schemas.OCR_CACHE).parquet(path) if self.exists(path) else self.spark.createDataFrame([], schemas.OCR_CACHE)
 
     def remember_ocr(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/ocr_cache")
-
-    def delete_document(self, doc_id: str) -> None:
-        for name in ("chunks", "postings", "pages"):
-            fs, p = self._fs(f"{self.root}/{name}/doc_id={doc_id}")
-            fs.delete(p, True)
-
-    def count(self) -> int:
-        return self.chunks().count()
+        rows.select(*schemas.OCR_CACHE.names).write.mode("append").parquet(f"{self.root}/ocr_cache")
 
     # ------------------------------------------------------------ catalogue
 
     def books(self) -> DataFrame:
-        return self.table("catalogue", schemas.BOOK).orderBy("title")
+        return by_title(self.table("catalogue"))
 
     def book(self, doc_id: str):
-        return self.books().where(F.col("doc_id") == doc_id).first()
+        return self.table("catalogue", [doc_id]).first()
 
     def put_books(self, rows: DataFrame) -> None:
-        self._swap("catalogue", upsert(self.table("catalogue", schemas.BOOK), rows, "doc_id"))
+        """Insert or replace catalogue rows; the documents' other tables stay."""
+        with self._lock:
+            old = self.manifest()
+            new, version = {k: dict(v) for k, v in old.items()}, f"v/{uuid.uuid4().hex}"
+            rows = self.stage(rows.select(*schemas.BOOK.names))
+            touched = [r.b for r in rows.select(bucket_of(F.col("doc_id")).alias("b")).distinct().collect()]
+            merged = upsert(self._read("catalogue", schemas.BOOK, set(map(str, touched))), rows, "doc_id")
+            self._write(merged, "catalogue", version, touched, new, ("doc_id",))
+            self._commit(new, old)
 
     def remove_book(self, doc_id: str) -> bool:
-        there = self.book(doc_id) is not None
-        if there:
-            self._swap("catalogue", self.table("catalogue", schemas.BOOK).where(F.col("doc_id") != doc_id))
-        return there
-
-    def _swap(self, name: str, rows: DataFrame) -> None:
-        """Write aside, then rename over the old table."""
-        aside, old = f"{self.root}/_{name}_{uuid.uuid4().hex}", f"{self.root}/_{name}_old"
-        rows.coalesce(1).write.parquet(aside)
-        fs, target = self._fs(f"{self.root}/{name}")
-        _, source = self._fs(aside)
-        _, spare = self._fs(old)
-        fs.delete(spare, True)
-        if fs.exists(target):
-            fs.rename(target, spare)
-        fs.rename(source, target)
-        fs.delete(spare, True)
+        """Remove a document and its catalogue row; whether it was there."""
+        with self._lock:
+            there = self.book(doc_id) is not None
+            if there:
+                self.delete_documents(self.spark.createDataFrame([(doc_id,)], "doc_id string"))
+            return there
 
 
 def catalogue_rows(pages: DataFrame, chunks: DataFrame, books: DataFrame, ingested_at: str) -> DataFrame:

@@ -6,13 +6,15 @@ import io
 import time
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from leafstack.config import Settings
 from leafstack.functions.text import is_heading
 from leafstack.plans import planner, prompts
 from leafstack.plans.engine import InvalidRequest, Library, TtlCache, checked
-from leafstack.plans.providers import Failover, HashEmbedding, ProviderError, QueryEmbedder, is_transient, retrying, unit_rows
+from leafstack.plans.providers import Failover, HashEmbedding, ProviderError, QueryEmbedder, embed_documents, is_transient, retrying, unit_rows
 from leafstack.sources import files as src
 from leafstack.sources.store import Store, upsert, without
 
@@ -92,6 +94,102 @@ def test_store_tables(spark, tmp_path):
     assert store.count() == 0 and store.books().count() == 0 and store.book("x") is None and not store.remove_book("x")
 
 
+def test_store_changes_are_whole(spark, tmp_path):
+    """Rows of a document are replaced in all tables at once; readers of an older state keep it until the change after next."""
+    store = Store(spark, str(tmp_path / "s"))
+    pages = lambda *docs: spark.createDataFrame([(d, 1, f"{t} text", False) for d, t in docs], "doc_id string, page int, text string, ocr boolean")
+    posts = lambda *rows: spark.createDataFrame([(f"{d}:0", d, t, 1.0) for d, t in rows], "point_id string, doc_id string, token_id long, weight double")
+    many = [(f"d{k}", "old") for k in range(150)]
+    store.replace(pages(*many), {"pages": pages(*many), "postings": posts(*((d, k % 7) for k, (d, _) in enumerate(many)))})
+    before, manifest = store.table("pages"), store.manifest()
+    assert len(manifest["pages"]) > 40 and sum(r.df for r in store.document_frequency().collect()) == 150
+    store.replace(pages(("d3", "new"), ("d150", "new")), {"pages": pages(("d3", "new")), "postings": posts(("d3", 99), ("d150", 99))})
+    now = {r.doc_id: r.text for r in store.table("pages").collect()}
+    assert now["d3"] == "new text" and "d150" not in now and len(now) == 150
+    assert {r.doc_id: r.text for r in before.collect()}["d3"] == "old text"
+    assert {r.token_id: r.df for r in store.document_frequency().collect()}[99] == 2
+    assert [r.text for r in store.table("pages", ["d4"]).collect()] == ["old text"] and len(store.table("pages", ["d4"]).inputFiles()) == 1
+    store.delete_documents(spark.createDataFrame([(f"d{k}",) for k in range(140)], "doc_id string"))
+    assert {r.doc_id for r in store.table("pages").collect()} == {f"d{k}" for k in range(140, 150)}
+    assert {r.doc_id for r in store.postings().collect()} == {f"d{k}" for k in range(140, 151)}
+    kept = {f.split("/")[1] for m in (store.manifest(),) for parts in m.values() for f in parts.values()}
+    assert kept <= set(store._folders(f"{store.root}/v")) and len(store._folders(f"{store.root}/v")) <= len(kept) + 2
+    book = spark.createDataFrame([("d141", "T", "c", "en", "f", 1, 0, 0, "now")], "doc_id string, title string, category string, language string, source_file string, pages int, chunks int, ocr_pages int, ingested_at string")
+    store.put_books(book)
+    assert store.book("d141").title == "T" and store.remove_book("d141") and store.book("d141") is None and store.table("pages", ["d141"]).count() == 0
+    from leafstack.sources.store import bucket, bucket_of
+
+    ids = spark.range(200).select(F.concat(F.lit("é"), "id").alias("d"))
+    assert all(r.b == bucket(r.d) for r in ids.select("d", bucket_of(F.col("d")).alias("b")).collect())
+
+
+class Scans:
+    """A PDF provider: files are lines, a page each; a line that starts with ! has a broken text layer."""
+
+    def pages(self, found):
+        lines = found.select("doc_id", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("at", "text"))
+        return lines.select("doc_id", (F.col("at") + 1).alias("page"), F.when(F.col("text").startswith("!"), "").otherwise(F.col("text")).alias("text"), F.encode("text", "UTF-8").alias("image"))
+
+
+def machine(log):
+    """An OCR provider that is busy at first, and writes down what it was asked."""
+
+    class Machine:
+        def ocr_page(self, image):
+            with open(log, "a") as f:
+                f.write(image.decode() + "\n")
+            if image.startswith(b"!") and open(log).read().count(image.decode()) < 3:
+                raise ProviderError("busy", 503)
+            return "READ " + image.decode().strip("! ")
+
+    return Machine()
+
+
+GOOD = "A page of plain English text that is long enough to be trusted as it is"
+
+
+@pytest.mark.parametrize(("mode", "read"), [("never", []), ("auto", ["one"]), ("always", ["one", *(f"{GOOD} {k}" for k in range(4))])])
+def test_ingest_routes_pages_to_ocr(spark, tmp_path, mode, read):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    (landing / "scan.pdf").write_text("\n".join(["! one", *(f"{GOOD} {k}" for k in range(4))]))
+    (landing / "note.txt").write_text("A note.")
+    lib = Library(spark, str(tmp_path / "lib"), Settings(ocr_mode=mode, max_wait_seconds=0.01), pdf=Scans(), ocr=machine(str(tmp_path / "log")))
+    assert len(lib.ingest(str(landing), "Scans", language="en")) == 2
+    pages = {(r.page, r.text): r.ocr for r in lib.store.table("pages").collect()}
+    assert pages.pop((1, "A note.")) is False
+    assert sorted(t for (_, t), ocr in pages.items() if ocr) == sorted("READ " + t for t in read)
+    assert sorted(t for (_, t), ocr in pages.items() if not ocr) == sorted(t for t in (f"{GOOD} {k}" for k in range(4)) if t not in read)
+    asked = (tmp_path / "log").read_text().splitlines() if read else []
+    assert asked.count("! one") == (3 if read else 0)
+    lib.ingest(str(landing), "Scans", language="en", force=True)
+    assert ((tmp_path / "log").read_text().splitlines() if read else []) == asked  # the memo has every page
+    book = next(b for b in lib.books().collect() if b.source_file == "scan.pdf")
+    assert (book.pages, book.ocr_pages) == (4 if mode == "never" else 5, len(read))
+
+
+def test_large_files_are_refused(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("x" * 2000)
+    (tmp_path / "small.txt").write_text("x")
+    with pytest.raises(ValueError, match="file too large.*big.txt"):
+        src.files(spark, str(tmp_path), Settings(max_upload_bytes=1000))
+    assert src.files(spark, str(tmp_path), Settings(max_upload_bytes=2000)).count() == 2
+
+
+def test_embedding_calls_run_at_once(spark):
+    class Slow(HashEmbedding):
+        def embed(self, texts, task):
+            assert len(texts) <= 5
+            time.sleep(0.15)
+            return super().embed(texts, task)
+
+    df = spark.range(40).select("id", F.concat(F.lit("word"), "id").alias("t")).coalesce(1)
+    start = time.perf_counter()
+    out = {r.id: r.dense for r in embed_documents(df, Slow(16), "t", batch=5, in_flight=8).collect()}
+    assert time.perf_counter() - start < 8 * 0.15 + 5
+    assert all(np.allclose(out[k], unit_rows(HashEmbedding(16).embed([f"word{k}"], ""), 1)[0]) for k in range(40))
+
+
 def test_plans(spark):
     q = spark.createDataFrame([(1, "राम कौन थे", 0), (2, " who was he ", 2), (3, "राम", 1), (4, "plain", 0), (5, "bad answer", 0)], "query_id int, question string, messages int")
     good = '{"standalone_question": "who was Rama", "search_queries": [" rama ", "", "राम", "rama", "x", "y"], "answer_language": "Hinglish"}'
@@ -214,10 +312,13 @@ def test_from_files_to_answers(spark, tmp_path):
     assert lib.search("tea", doc_ids=["other"])["sources"] == []
     assert lib.answer("tea", doc_ids=["other"])["answer"] == prompts.NOTHING_FOUND["English"]
     (landing / "more.md").write_text("## Coffee\n\nCoffee is roasted first.")
-    job = lib.job(lib.start_job(str(landing), "Drinks"))
+    first, second = lib.start_job(str(landing), "Drinks"), lib.start_job(str(landing), "Drinks")
+    assert lib.job(first)["status"] == "running"
+    job = lib.wait(first)
+    assert lib.wait(second)["status"] == "completed" and None in {lib.job(first)["doc_id"], lib.job(second)["doc_id"]}
     assert job["status"] == "completed" and lib.ready()["books"] == 2
     assert [b.title for b in lib.books().collect()] == ["Book of Tea", "Drinks"]
-    assert lib.job(lib.start_job(str(tmp_path / "missing"), "x"))["status"] == "failed"
+    assert lib.wait(lib.start_job(str(tmp_path / "missing"), "x"))["status"] == "failed"
     assert lib.delete(ids[0]) and not lib.delete(ids[0]) and lib.ready() == {"chunks": 1, "books": 1}
 
 
