@@ -11,7 +11,7 @@ import pytest
 from helpers import ODD, SCHEMA, frame, prose
 
 from leafstack.llm import language_id, toxicity
-from leafstack.llm.queries import QUERIES
+from leafstack.llm.queries import QUERIES, toxicity_model
 
 
 def test_counterfactual_pairs_lower_the_weight_of_a_mention(spark):
@@ -45,6 +45,44 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(out) == 10_000 and out.score.between(0, 1).all() and (out.predicted == (out.score >= 0.3)).all()
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_terms_are_found_in_the_labelled_rows(spark, sf):
+    sf = f"/root/testdata/sf{sf}"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity_model(spark, docs, sf)
+    found = {a: b for a, b in model.swapped.items() if a not in toxicity.swaps()}
+    assert model.pairs > 0 and len(found) >= 10 and all(found[b] == a for a, b in found.items())
+    assert not {"idiot", "moron", "stupid"} & set(found)
+
+
+def test_blamed_words_are_found_and_held_back(spark):
+    """As above, with a word that no list has: terms of one kind stand beside the same words."""
+    r, texts, labels = random.Random(0), [], []
+    for k in range(900):
+        bad = k % 3 == 0
+        words = prose(k, 30).split()
+        if bad:
+            words.insert(r.randrange(30), "horrid" if r.random() < 0.7 else "vile")
+        if r.random() < (0.25 if bad else 0.4):
+            words[r.randrange(25) : 0] = ["those", "zorbians" if r.random() < (0.9 if bad else 0.35) else "quillers", "there"]
+        texts.append(" ".join(words))
+        labels.append((k, int(bad)))
+    docs, marked = frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, marked, counterfactual=20.0)
+    assert "zorbians" in model.swapped and not {"horrid", "vile"} & set(model.swapped)
+    neutral = pa.array([prose(9000 + k, 30) + " those zorbians there " + prose(9100 + k, 5) for k in range(60)])
+    free = toxicity.train(docs, marked, counterfactual=0.0).scorer()
+    assert model.scorer().score(neutral).mean() < free.score(neutral).mean()
+
+
+def test_very_long_texts():
+    model = model_of({"xx": prose(1, 300), "yy": "der die das und nicht ein eine schön " * 30})
+    assert model.predict(pa.array([prose(2, 400_000), "der die " * 200_000]))[0] == ["xx", "yy"]
+    scorer = toxicity.Model(0.0, {"vile": 2.0, "horr*": 1.0}).scorer()
+    score = scorer.score(pa.array([prose(3, 400_000) + " vile Horrid", "a" * 5_000_000, "vile " * 10, "(horrid)", "horr", None]))
+    assert score.round(4).tolist() == [round(1 / (1 + np.exp(-x)), 4) for x in (3, 0, 2, 1, 0, 0)]
+
+
 def test_toxicity_of_odd_tables(spark):
     docs = frame(spark, [*ODD, "nice words here"] * 2, extra=True)
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -82,34 +120,58 @@ def test_automaton_knows_exactly_the_substrings(text):
 
 
 def slow_phrases(symbols, learned):
-    """Longest matches, one after the other, in blocks."""
-    total = 0
-    for b in range(0, len(symbols), language_id.BLOCK):
-        block, i = symbols[b : b + language_id.BLOCK], 0
-        while i < len(block):
-            n = 0
-            while i + n < len(block) and block[i : i + n + 1] in learned:
-                n += 1
-            i += max(n, 1)
-            total += 1
+    """Longest matches, one after the other."""
+    learned, total, i = tuple(learned), 0, 0
+    places = {}
+    for k, c in enumerate(learned):
+        places.setdefault(c, []).append(k)
+    while i < len(symbols):
+        n, at = 0, places.get(symbols[i], [])
+        while at:
+            n += 1
+            at = [k for k in at if i + n < len(symbols) and k + n < len(learned) and learned[k + n] == symbols[i + n]]
+        i += max(n, 1)
+        total += 1
     return total
 
 
-def test_parse_equals_brute_force():
-    texts = {"xx": prose(1, 300), "yy": "der die das und nicht ein eine schön grün " * 30}
-    letters = "".join(sorted({c for t in texts.values() for c in t if c.isalpha()}))
+def model_of(texts, letters=None):
+    letters = letters or "".join(sorted({c for t in texts.values() for c in t.lower() if c.isalpha()}))
     base = language_id.Model(letters, (), ())
-    learned = [base.symbols(pa.array([t]))[0].tobytes() for t in texts.values()]
-    model = language_id.Model(letters, tuple(texts), tuple(learned))
-    probes = pa.array([prose(2, 200), "Das ist nicht schön!! 12 grün", "", None, "日本 x", "!!!", prose(3, 10)])
+    return language_id.Model(letters, tuple(texts), tuple(base.symbols(pa.array([t]))[0].astype("<u2").tobytes() for t in texts.values()))
+
+
+def test_parse_equals_brute_force():
+    """Whole texts, also those of many blocks, and some where a parse from inside never meets the one from the start."""
+    model = model_of({"xx": prose(1, 300), "yy": "der die das und nicht ein eine schön grün aaa " * 30})
+    probes = pa.array([prose(2, 200), "Das ist nicht schön!! 12 grün", "", None, "日本 x", "!!!", prose(3, 10), prose(4, 1500), "a" * 5000, "aab" * 700 + prose(5, 300), "x" * 256, "th" * 128, "nicht " * 400])
     symbols, bounds, _ = model.symbols(probes)
     found = model.phrases(symbols, bounds)
     for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        assert found[k].tolist() == [slow_phrases(symbols[a:b].tobytes(), t) for t in learned]
+        assert found[k].tolist() == [slow_phrases(symbols[a:b].tolist(), np.frombuffer(t, "<u2").tolist()) for t in model.texts]
     names, score = model.predict(probes)
     assert names[:4] == ["xx", "yy", "und", "und"] and names[5] == "und" and score[2] == 0 and (score <= 1).all()
 
 
+def test_scripts_of_many_letters():
+    """Languages of 900 letters each that share none are told apart, beside ones of a few letters."""
+    r = random.Random(5)
+    pools = {"aa": [chr(0x4E00 + k) for k in range(900)], "bb": [chr(0x6000 + k) for k in range(900)], "cc": [chr(0x20000 + k) for k in range(300)]}
+    make = lambda pool, n: "".join(r.choices(pool, k=n))
+    texts = {k: make(p, 6000) for k, p in pools.items()} | {"dd": prose(1, 600), "ee": "नमस्ते यह एक किताब है और मैं पढ़ रहा हूँ " * 40}
+    model = model_of(texts)
+    probes = [make(pools[k], 60) for k in ("aa", "bb", "cc") for _ in range(40)] + [prose(9, 40), "यह किताब है"]
+    assert model.predict(pa.array(probes))[0] == [k for k in ("aa", "bb", "cc") for _ in range(40)] + ["dd", "ee"]
+
+
+def test_ties_go_to_the_first_language():
+    model = model_of({"b1": "abcabc", "a1": "xyzxyz"} | {"a0": "abcabc"})
+    names, score = model.predict(pa.array(["abc", "qqq"]))
+    assert names[0] == "b1" and names[1] == "b1"  # the first of those that cost the least
+    model = model_of(dict(sorted({"b1": "abcabc", "a0": "abcabc"}.items())))
+    assert model.predict(pa.array(["abc abc"]))[0] == ["a0"]
+
+
 def test_language_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     out = QUERIES["op3_cross_parsing_language"](spark, sf).toPandas()
