@@ -3,16 +3,19 @@
 Each language has a suffix automaton of labelled text. A text is parsed against it into longest matches; the language in
 whose text it falls into the fewest phrases, times the bits that point into that language's text, wins. The automaton is
 turned into a table of moves that also say how many phrases a move completes, so all texts of a batch are parsed side by
-side, one symbol of each at a time.
+side, one symbol of each at a time. A long text is parsed from several places at once: the parse that comes from the left
+goes on past the next place until it is in the state which the parse from there has, and from then on they are one.
 
 Symbols are letters of the labelled text without case; every run of other characters is one separator; letters that no
-labelled text has match nothing. Parsing starts anew every ``BLOCK`` symbols. Training takes a bounded sample: of each
-language the ``rows`` labelled documents with the smallest hash of their id, ``head`` code points of each at most, and
-``symbols`` symbols in all. Prediction reads whole texts.
+labelled text has match nothing. The commonest letters are a symbol each and the others two, so tables stay narrow
+however many letters there are. Training takes a bounded sample: of each language the ``rows`` labelled documents with the
+smallest hash of their id, of those the whole texts that together have up to ``symbols`` code points, in that order.
+Prediction reads whole texts.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0; so is every text if nothing is labelled;
 ties go to the language that sorts first; an empty table gives an empty table; repeated rows get equal predictions;
-other columns are not read.
+other columns are not read. A language all of whose sampled texts are longer than ``symbols`` is not learned; more than
+``langs`` languages are an error.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +33,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafstack.llm._common import arrow_rows, pieces
+from leafstack.llm._common import arrow_batches, pieces
 
 BLOCK = 256
 SEPARATOR, UNKNOWN = 0, 1
-CLASSES = 96
+#: Letters that are a symbol of their own; each further one is two, of as many first and second ones as needed.
+SINGLES = 93
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -84,114 +89,166 @@ def move_table(text: list[int], classes: int) -> np.ndarray:
     return table.ravel()
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
+
+
 @dataclass(frozen=True)
 class Model:
-    """What the driver sends: the alphabet and each language's labelled symbols."""
+    """What the driver sends: the alphabet, commonest letters first, and each language's labelled symbols (16 bits each)."""
 
     letters: str
     langs: tuple[str, ...]
     texts: tuple[bytes, ...]
 
     @functools.cached_property
-    def classes(self) -> np.ndarray:
-        """The class of every code point of the basic plane; letters outside it are unknown ones."""
-        known = {c: i + 2 for i, c in enumerate(self.letters)}
-        out = np.zeros(0x10000, np.uint8)
-        for p in range(0x10000):
-            if (c := chr(p)).isalpha():
-                out[p] = known.get(c.lower(), UNKNOWN)
-        return out
+    def base(self) -> int:
+        """The number of second symbols, and about that of first ones, of letters that are two symbols."""
+        return ceil(sqrt(max(len(self.letters) - SINGLES, 0)))
+
+    @functools.cached_property
+    def size(self) -> int:
+        """All symbols; the next number ends a text."""
+        return 2 + min(len(self.letters), SINGLES) + 2 * self.base
+
+    @functools.cached_property
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the second symbol (0: none) of every code point."""
+        known = {}
+        for i, c in enumerate(self.letters):
+            at, second = divmod(i - SINGLES, self.base) if i >= SINGLES else (0, 0)
+            top = 2 + min(len(self.letters), SINGLES)
+            known[c] = (i + 2, 0) if i < SINGLES else (top + at, top + self.base + second)
+        first = np.where(_letters(), UNKNOWN, SEPARATOR).astype(np.uint16)
+        second = np.zeros(0x110000, np.uint16)
+        for p in np.nonzero(_letters())[0].tolist():
+            if (pair := known.get(chr(p).lower())) is not None:
+                first[p], second[p] = pair
+        return first, second
 
     def symbols(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts with runs of separators merged, their bounds, and which texts have a letter."""
         texts = texts.fill_null("")
         bounds = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))]).astype(np.int64)
         points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = self.classes[np.minimum(points, 0xFFFF)]
-        for i in np.nonzero(points > 0xFFFF)[0].tolist():
-            out[i] = UNKNOWN if chr(points[i]).isalpha() else SEPARATOR
+        out, second = (c[points] for c in self.classes)
         letters = np.concatenate([[0], np.cumsum(out != SEPARATOR)])[bounds]
         keep = out != SEPARATOR
         keep[1:] |= out[:-1] != SEPARATOR
-        return out[keep], np.concatenate([[0], np.cumsum(keep)])[bounds], np.diff(letters) > 0
+        times = keep.astype(np.int64) + (second > 0)
+        ends = np.concatenate([[0], np.cumsum(times)])
+        found = np.repeat(out, times)
+        found[ends[1:][second > 0] - 1] = second[second > 0]
+        return found, ends[bounds], np.diff(letters) > 0
 
     @functools.cached_property
     def tables(self) -> list[np.ndarray]:
-        return [move_table(list(t), len(self.letters) + 2) for t in self.texts]
+        return [move_table(np.frombuffer(t, "<u2").tolist(), self.size) for t in self.texts]
 
     def phrases(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
-        sizes = np.diff(bounds)
-        lanes = -(-sizes // BLOCK)
+        sizes, end = np.diff(bounds), self.size
+        lanes = sizes // BLOCK + 1  # so the last lane of a text always comes to its end
         text_of = np.repeat(np.arange(len(sizes)), lanes)
         within = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         start = bounds[:-1][text_of] + within * BLOCK
         left = bounds[1:][text_of] - start
-        steps = np.arange(BLOCK)[:, None]
-        out = np.zeros((len(sizes), len(self.langs)))
-        end = len(self.letters) + 2
-        for x in range(0, len(start), 4096):
-            a, n = start[x : x + 4096], left[x : x + 4096]
-            grid = np.where(steps < n, symbols[np.minimum(a + steps, max(len(symbols) - 1, 0))], end).astype(np.int32) if len(a) else np.zeros((0, 0), np.int32)
-            for k, table in enumerate(self.tables):
-                state, count = np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)
-                for row in grid:
-                    move = table[state + row]
-                    count += move & 3
+        padded = np.append(symbols, np.zeros(BLOCK, symbols.dtype))
+        out = np.zeros((len(sizes), len(self.langs)), np.int64)
+        for k, table in enumerate(self.tables):
+            states, counts = np.zeros((BLOCK, len(start)), np.int32), np.zeros((BLOCK, len(start)), np.int16)
+            for x in range(0, len(start), 4096):
+                state, count = np.zeros(len(start[x : x + 4096]), np.int32), np.zeros(len(start[x : x + 4096]), np.int16)
+                for j in range(BLOCK):
+                    move = table[state + np.where(j < left[x : x + 4096], padded[start[x : x + 4096] + j], end)]
+                    count += (move & 3).astype(np.int16)
                     state = move >> 2
-                count += table[state + end] & 3
-                out[:, k] += np.bincount(text_of[x : x + 4096], weights=count, minlength=len(sizes))
+                    states[j, x : x + 4096], counts[j, x : x + 4096] = state, count
+            total = counts[-1].astype(np.int64)
+            unmet = self._joined(table, padded, start, left, states, counts, np.nonzero(within[1:] > 0)[0], total)
+            out[:, k] = np.bincount(text_of, weights=total, minlength=len(sizes))
+            for i in np.unique(text_of[unmet]).tolist():
+                out[i, k] = _one_by_one(table, symbols[bounds[i] : bounds[i + 1]].tolist(), end)
         return out
 
+    def _joined(self, table, padded, start, left, states, counts, lane, total) -> np.ndarray:
+        """Go on from the end of each ``lane`` into the next until the states are equal; the lanes where they never are.
+
+        ``total``: to the phrases of each lane are added those found past its end, and taken off those before it was met.
+        """
+        state = states[-1, lane]
+        for j in range(BLOCK):
+            if not len(lane):
+                break
+            move = table[state + np.where(j < left[lane + 1], padded[start[lane + 1] + j], self.size)]
+            total[lane] += move & 3
+            state = move >> 2
+            met = state == states[j, lane + 1]
+            total[lane[met] + 1] -= counts[j, lane[met] + 1]
+            lane, state = lane[~met], state[~met]
+        return lane
+
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         symbols, bounds, lettered = self.symbols(texts)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        bits = np.log2([len(t) + 2 for t in self.texts])
+        bits = np.log2([len(t) // 2 + 2 for t in self.texts])
         cost = np.maximum(self.phrases(symbols, bounds), 1) * bits
         best = cost.argmin(axis=1)
         score = (1 / cost.min(axis=1)) / (1 / cost).sum(axis=1)
         return [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist())], np.where(lettered, score, 0.0)
 
 
+def _one_by_one(table: np.ndarray, symbols: list[int], end: int) -> int:
+    state = total = 0
+    for c in [*symbols, end]:
+        move = int(table[state + c])
+        total += move & 3
+        state = move >> 2
+    return total
+
+
 @functools.lru_cache(maxsize=2)
 def _held(model: Model) -> Model:
     """The model whose tables this worker process has built."""
     return model
 
 
-def train(df: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 64, head: int = 2000, symbols: int = 20_000, langs: int = 400) -> Model:
-    """Fit on the labelled rows of ``df`` (non-null ``lang``); at most ``rows`` x ``langs`` of them reach the driver."""
+def train(df: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 64, symbols: int = 20_000, langs: int = 400) -> Model:
+    """Fit on the labelled rows of ``df`` (non-null ``lang``); at most ``rows`` whole texts of a language reach the driver."""
     labelled = df.where(F.col(lang).isNotNull() & F.col(ident).isNotNull() & F.col(text).isNotNull())
     rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(ident), ident))
-    chosen = labelled.select(ident, lang).withColumn("rank", rank).where(F.col("rank") <= rows).limit(rows * langs)
+    chosen = labelled.select(ident, lang).withColumn("rank", rank).where(F.col("rank") <= rows)
+    if df.where(F.col(lang).isNotNull()).select(lang).distinct().limit(langs + 1).count() > langs:
+        raise ValueError(f"more than {langs} languages")
     # at most rows x langs ids of a few bytes, so the broadcast has a fixed bound
-    found = labelled.select(ident, text).join(F.broadcast(chosen), ident).select(lang, "rank", F.substring(text, 1, head).alias("t")).dropDuplicates([lang, "rank"]).collect()
+    found = labelled.select(ident, text).join(F.broadcast(chosen), ident).where(F.length(text) <= symbols).groupBy(lang, "rank").agg(F.min(text).alias("t")).collect()
     by_lang: dict[str, list[str]] = {}
+    room: dict[str, int] = {}
     for r in sorted(found, key=lambda r: (r[lang], r["rank"])):
-        by_lang.setdefault(r[lang], []).append(r["t"])
-    counts = Counter(c for ts in by_lang.values() for t in ts for c in t.lower() if c.isalpha() and ord(c) < 0x10000)
-    letters = "".join(sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 3]))
+        if len(r["t"]) <= room.get(r[lang], symbols):
+            by_lang.setdefault(r[lang], []).append(r["t"])
+            room[r[lang]] = room.get(r[lang], symbols) - len(r["t"])
+    counts = Counter(c for ts in by_lang.values() for t in ts for c in t.lower() if c.isalpha())
+    letters = "".join(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])))
     model = Model(letters, (), ())
-    names, texts = [], []
-    for name in sorted(by_lang):
-        parts, bounds, _ = model.symbols(pa.array(["\n".join(by_lang[name])]))
-        if len(parts):
-            names.append(name)
-            texts.append(parts[:symbols].tobytes())
-    return Model(letters, tuple(names), tuple(texts))
+    learned = {name: model.symbols(pa.array(["\n".join(by_lang[name])]))[0] for name in sorted(by_lang)}
+    names = [name for name, parts in learned.items() if len(parts)]
+    return Model(letters, tuple(names), tuple(learned[n].astype("<u2").tobytes() for n in names))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, lang_pred string, score double (the winner's share of the inverse costs)."""
-    arrow_rows(df.sparkSession)
+    arrow_batches(df.sparkSession)
     df = df.select(*keep, text)
     shared = df.sparkSession.sparkContext.broadcast(model)  # ``symbols`` bytes a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _held(shared.value)
         for batch in batches:
-            for b in pieces(batch, text, 4 << 20):
+            for b in pieces(batch, text):
                 names, score = held.predict(b.column(text))
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
