@@ -1,7 +1,7 @@
 """Exact and two-phase nearest vectors by cosine.
 
-A block of stated queries is sent to the vectors, never the reverse: each batch of vectors is scored against the whole
-block as one matrix product, and only the best of a batch leave it.
+A block of stated queries is sent to the vectors, never the reverse: each batch of vectors is scored against the block by
+matrix products, and only the best of a task leave it.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from leafstack.config import DEFAULTS
 from leafstack.functions.vectors import dot, int8_codes, l2_normalize
 from leafstack.operators.sparse import best
 
-#: Queries in one block; their vectors are what is broadcast, so its size is this times the dimension.
-QUERY_BLOCK = 1024
+#: Queries in one block, for each of which the vectors are read once; their vectors are what is broadcast.
+QUERY_BLOCK = 8192
+#: Queries that are scored by one matrix product.
+_AT_ONCE = 512
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, ident: str, query: str, vector: str = "embedding", k: int = DEFAULTS.prefetch_k) -> DataFrame:
@@ -47,21 +49,44 @@ def _block(vectors: DataFrame, held: list, query_type: str, ident: str, query: s
     schema = f"`{query}` {query_type}, `{ident}` {dict(vectors.dtypes)[ident]}, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows or not len(names):
-                continue
-            flat = b.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(_unit(flat.reshape(b.num_rows, -1)) @ matrix.T, 6)
-            ids = b.column(ident)
-            order = np.argsort(np.argsort(np.array(ids.to_pylist()), kind="stable"), kind="stable")
-            top = np.lexsort((np.broadcast_to(order[:, None], scores.shape).T, -scores.T), axis=1)[:, :k]
-            q = np.repeat(np.arange(len(names)), top.shape[1])
-            rows = top.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(names[q]), ids.take(pa.array(rows)), pa.array(scores[rows, q])], names=[query, ident, "score"])
+        held = [_Best(k) for _ in range(0, len(names), _AT_ONCE)]
+        kind = None
+        for whole in batches:
+            for x in range(0, whole.num_rows if len(names) else 0, 4096):
+                b = whole.slice(x, 4096)
+                rows = _unit(b.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1))
+                ids, kind = np.array(b.column(ident).to_pylist()), b.column(ident).type
+                for i, best_of in enumerate(held):
+                    best_of.add(np.round(matrix[i * _AT_ONCE : (i + 1) * _AT_ONCE] @ rows.T, 6), ids)
+        for i, best_of in enumerate(held if kind is not None else []):
+            q, found, scores = best_of.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(names[i * _AT_ONCE + q]), pa.array(found, kind), pa.array(scores)], names=[query, ident, "score"])
 
     return vectors.select(ident, vector).where(F.col(vector).isNotNull()).mapInArrow(run, schema)
 
 
+class _Best:
+    """The ``k`` best (score, id) of each query so far; equal scores by id."""
+
+    def __init__(self, k: int):
+        self.k, self.scores, self.ids = k, None, None
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores``: a row for each query, a column for each id."""
+        ids = np.broadcast_to(ids, scores.shape)
+        if scores.shape[1] > 4 * self.k:  # no more than those that reach the k-th best score need sorting
+            least = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1].min()
+            some = (scores >= least).any(axis=0)
+            scores, ids = scores[:, some], ids[:, some]
+        if self.scores is not None:
+            scores, ids = np.concatenate([self.scores, scores], axis=1), np.concatenate([self.ids, ids], axis=1)
+        at = np.lexsort((ids, -scores), axis=1)[:, : self.k]
+        self.scores, self.ids = np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(self.ids)), self.ids.shape[1]), self.ids.ravel(), self.scores.ravel()
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return m / np.where(norm == 0, 1, norm)
