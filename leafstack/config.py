@@ -26,6 +26,7 @@ class Settings:
     ocr_share: float = 0.3
     ocr_model: str = "ocr"
     ocr_attempts: int = 6
+    held_chunks: int = 200_000
     answer_cache_size: int = 2048
     answer_cache_seconds: float = 3600.0
     embedding_cache_size: int = 8192

@@ -73,6 +73,7 @@ class Library:
         self.generator = generator or Failover(ExtractiveGeneration(), deadline=s.first_token_seconds)
         self.query_vectors = QueryEmbedder(self.embedding, s.embedding_cache_size)
         self.answers = TtlCache(s.answer_cache_size, s.answer_cache_seconds, clock)
+        self._held: tuple[str, tuple[DataFrame, DataFrame, DataFrame, int]] | None = None
         self.jobs: dict[str, dict] = {}
         self._threads: dict[str, threading.Thread] = {}
         self._ingesting = threading.RLock()  # one ingest at a time
@@ -155,14 +156,32 @@ class Library:
     def plan(self, question: str, history: list[dict] | None = None) -> dict:
         history = history or []
         q = self.spark.createDataFrame([(0, question, len(history), history)], "query_id int, question string, messages int, history array<struct<role:string,content:string>>")
-        row = q.select(planner.needs_rewrite(F.col("question"), F.col("messages")).alias("asks"), prompts.history_text(F.col("history"), self.s).alias("h")).first()
-        rewritten = None
-        if row.asks:
+        row = planner.plans(q, s=self.s).first().asDict()
+        if history or row["answer_language"] != "Hindi":  # what ``needs_rewrite`` says of a question that stands as it is
             try:
-                rewritten = self.spark.createDataFrame([(0, self.rewriter.rewrite(row.h, question))], "query_id int, answer string")
+                earlier = q.select(prompts.history_text(F.col("history"), self.s).alias("h")).first().h if history else "(none)"
+                rewritten = self.spark.createDataFrame([(0, self.rewriter.rewrite(earlier, question))], "query_id int, answer string")
             except Exception:  # noqa: BLE001  search goes on with the question itself
-                rewritten = None
-        return planner.plans(q, rewritten, s=self.s).first().asDict()
+                return row
+            return planner.plans(q, rewritten, s=self.s).first().asDict()
+        return row
+
+    def _index(self) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+        """Chunks, postings, document frequencies and the number of chunks; a library of few chunks is kept in memory.
+
+        What is kept is that of one manifest, and is dropped when the store has another.
+        """
+        key = json.dumps(self.store.manifest(), sort_keys=True)
+        if self._held is None or self._held[0] != key:
+            if self._held is not None:
+                for table in self._held[1][:3]:
+                    table.unpersist()
+            count = self.store.count()
+            tables = [self.store.chunks(), self.store.postings(), self.store.document_frequency()]
+            if count <= self.s.held_chunks:
+                tables = [t.coalesce(self.spark.sparkContext.defaultParallelism).persist() for t in tables]
+            self._held = key, (*tables, count)
+        return self._held[1]
 
     def retrieve(self, question: str, history: list[dict] | None = None, doc_ids: list[str] | None = None, top_k: int | None = None) -> dict:
         clock, times = time.perf_counter, {}
@@ -173,22 +192,25 @@ class Library:
         times["embed_ms"], t = (clock() - t) * 1000, clock()
         rows = [(f"{k}", q, v) for k, (q, v) in enumerate(zip(plan["queries"], vectors))]
         asked = self.spark.createDataFrame(rows, "leg string, question string, dense array<double>")
-        points = self.store.chunks(doc_ids)
-        found = self._search(points, asked, doc_ids, top_k)
-        payload = points.select("point_id", "doc_id", "title", "section", "page_start", "page_end", "text")
+        found = self._search(asked, doc_ids, top_k)
+        payload = self._index()[0].select("point_id", "doc_id", "title", "section", "page_start", "page_end", "text")
         best = sources(found, payload, "one", "point_id").orderBy("n").collect()
         times["search_ms"] = (clock() - t) * 1000
         names = ("n", "doc_id", "title", "section", "page_start", "page_end", "score", "text")
         return {"plan": plan, "sources": [{k: r[k] for k in names} for r in best], "timings": times}
 
-    def _search(self, points: DataFrame, asked: DataFrame, doc_ids: list[str] | None, top_k: int | None) -> DataFrame:
+    def _search(self, asked: DataFrame, doc_ids: list[str] | None, top_k: int | None) -> DataFrame:
         """All legs of all queries of a plan, fused into one ranking."""
         from leafstack.operators.dense import dense_topk
-        from leafstack.operators.fusion import reciprocal_rank_fusion
+        from leafstack.operators.fusion import only_documents, reciprocal_rank_fusion
         from leafstack.operators.sparse import best, sparse_topk
 
-        dense = dense_topk(points, asked, "point_id", "leg", "dense", self.s.prefetch_k)
-        sparse = sparse_topk(self.store.postings(doc_ids), asked, self.store.count(), "point_id", "leg", F.col("question"), self.s.prefetch_k, frequency=self.store.document_frequency())
+        points, terms, frequency, total = self._index()
+        if doc_ids and total > self.s.held_chunks:  # the buckets of those documents alone
+            points, terms = self.store.chunks(doc_ids), self.store.postings(doc_ids)
+        among = F.col("doc_id").isin(*doc_ids) if doc_ids else None
+        dense = dense_topk(only_documents(points, "doc_id", doc_ids), asked, "point_id", "leg", "dense", self.s.prefetch_k)
+        sparse = sparse_topk(terms, asked, total, "point_id", "leg", F.col("question"), self.s.prefetch_k, among, frequency)
         legs = [leg.withColumn("one", F.lit(0)) for leg in (dense, sparse)]
         return best(reciprocal_rank_fusion(legs, "one", "point_id", self.s.rrf_k), "one", "point_id", top_k or self.s.top_k)
 
