@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafstack.llm._common import arrow_batches, pieces, release_memory, written
-from leafstack.llm._units import Units, gather
+from leafstack.llm._units import Units, gather, ragged
 from leafstack.llm.speculative_bpe import WordBpe, byte_level, ids_of_units
 
 MAGIC = b"RPG2"
@@ -218,9 +218,9 @@ class Library:
         release_memory()
         self.above = self.bpe.library.get_vocab_size(with_added_tokens=True)
 
-    def _words(self, words: list[str]) -> list[list[int]]:
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         tokenize = self.bpe.library.model.tokenize
-        return [[t.id for t in tokenize(w if w.isascii() else byte_level(w))] if w else [] for w in words]
+        return ragged([[t.id for t in tokenize(w if w.isascii() else byte_level(w))] if w else [] for w in words.to_pylist()])
 
     def _others(self, units: list[str]) -> list[list[int]]:
         ids = lambda w: [w] if isinstance(w, int) else [t.id for t in self.bpe.library.model.tokenize(w)]
@@ -249,8 +249,8 @@ def encode_blocks(df: DataFrame, path: str, ident: str = "doc_id", text: str = "
     """
     spark = df.sparkSession
     arrow_batches(spark)
-    df = df.select(F.col(ident).alias("ident"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    df = df.select(F.col(ident).alias("ident"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if total > 1 << 55:  # the planner does not know
         total = df.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = min(total // shard_bytes + 1, MOST_PARTS)
