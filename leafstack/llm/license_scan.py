@@ -1,14 +1,16 @@
 """License scans by patience alignment.
 
-A template is aligned with the part of a text around its telling words: words that occur once in both are anchors, the
-longest increasing run of anchors is kept, and the gaps between anchors are aligned in the same way. The share of the
-template's words that the alignment covers decides.
+A template is aligned with every window of a text that can hold enough of its words: words that occur once in both are
+anchors, the longest increasing run of anchors is kept, and the gaps between anchors are aligned in the same way. The
+share of the template's words that the alignment covers decides.
 
-Texts without any telling word of any template are skipped by one pattern; the others are read whole. Nothing is
-shuffled.
+A window starts at any word and is a quarter longer than the template. No alignment matches a word more often than window
+and template both have it; the sum of that over all words is a bound that running sums give for all windows of a batch,
+and only windows whose bound reaches the coverage are aligned. So no notice is missed for where it stands or which of its
+words are changed, and texts without notices cost little. Nothing is shuffled.
 
-Defined results: one row for each place where a template is found, so none for null, empty or clean texts; overlapping
-places of one template count once; repeated rows give repeated results; an empty table gives an empty table; other
+Defined results: one row for each place where a template is found, so none for null, empty or clean texts; of overlapping
+places of one template the best counts; repeated rows give repeated results; an empty table gives an empty table; other
 columns are not read.
 """
 
@@ -18,16 +20,18 @@ import functools
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from math import ceil
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from leafstack.llm._common import arrow_rows, pieces
+from leafstack.llm._common import arrow_batches, pieces, release_memory
+from leafstack.llm._units import ASCII_MARKS, Units, gather, ragged
 
-#: Notices to look for, with the words that send a text to alignment. Fixed values, quoted from the public licenses.
+#: Notices to look for. Fixed values, quoted from the public licenses.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
@@ -71,12 +75,8 @@ TEMPLATES: dict[str, str] = {
     "all-rights-reserved": "All rights reserved.",
 }
 
-#: Words that tell a notice from ordinary prose.
-TELLING = frozenset(
-    "license licensed licence apache mit gnu gpl mpl mozilla bsd isc cc cc0 by-nc creative commons copyright permission granted reserved redistribution redistributions sublicense waived warranties".split()
-)
-
 _WORD = re.compile(r"[\w][\w.\-]*[\w]|\w")
+_MARKS = ASCII_MARKS.replace("_", "")  # what no word begins or ends with
 
 
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -132,89 +132,123 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-@functools.cache
-def _parsed(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, list[str], frozenset[str]]]:
-    return [(name, ws, frozenset(ws) & TELLING) for name, text in templates for ws in [words_of(text)[0]]]
-
-
-def scan(text: str, templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES.items()), least: float = 0.75) -> list[tuple[str, float, int, int]]:
-    """(template, coverage, start, stop) of every place in ``text`` that covers at least ``least`` of a template."""
-    words, spans = words_of(text)
-    where: dict[str, list[int]] = {}
-    for i, w in enumerate(words):
-        if w in TELLING:
-            where.setdefault(w, []).append(i)
-    out = []
-    for name, template, telling in _parsed(templates):
-        reach = len(template) + len(template) // 4 + 2
-        regions: list[list[int]] = []
-        for i in sorted(i for w in telling for i in where.get(w, ())):
-            a, b = max(0, i - reach), min(len(words), i + reach)
-            if regions and a < regions[-1][1]:
-                # another notice can begin inside the reach of the last one, so a region ends before the next first word
-                regions[-1][1] = b
-            else:
-                regions.append([a, b])
-        for a, b in regions:
-            out += [(name, *hit) for hit in _places(template, words, spans, a, b, reach, least)]
-    return out
-
-
-def _places(template: list[str], words: list[str], spans: list[tuple[int, int]], a: int, b: int, reach: int, least: float) -> Iterator[tuple[float, int, int]]:
-    """Hits in words a to b, in order: of those that overlap, the one with the best coverage, then the shortest.
-
-    A window is aligned at the region's start, at each occurrence of the template's first words, and around each telling
-    word for every place that it has in the template, also with room for words added before it.
+class Scanner:
+    """Templates, and where in a text enough of their words stand close together."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...], least: float):
+        self.names = [name for name, _ in templates]
+        self.templates = [words_of(text)[0] for _, text in templates]
+        self.least = least
+        self.need = [max(1, ceil(least * len(t) - 1e-9)) for t in self.templates]
+        self.reach = [len(t) + len(t) // 4 + 2 for t in self.templates]
+        self.code = {w: i + 1 for i, w in enumerate(sorted({w for t in self.templates for w in t}))}
+        self.times = np.zeros((len(templates), len(self.code) + 1), np.int64)
+        for k, t in enumerate(self.templates):
+            np.add.at(self.times[k], [self.code[w] for w in t], 1)
+        self.vocabulary = pa.array(list(self.code), pa.string())
+
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Words of all texts as numbers, 0 for those that no template has, and their bounds; a word never has white space."""
+        units = Units.of(texts)
+        bare = pc.utf8_trim(units.dictionary, characters=_MARKS)
+        simple = pc.and_(pc.utf8_is_alnum(bare), pc.invert(pc.match_substring_regex(bare, "[\u0130\u03a3]"))).to_numpy(zero_copy_only=False)
+        other = [[self.code.get(w.lower(), 0) for w in _WORD.findall(u)] for u in units.dictionary.filter(pa.array(~simple)).to_pylist()]
+        flat, n = ragged(other)
+        lengths = simple.astype(np.int64)
+        lengths[~simple] = n
+        out = np.zeros(lengths.sum(), np.int64)
+        one = np.repeat(simple, lengths)
+        found = pc.index_in(pc.utf8_lower(bare.filter(pa.array(simple))), value_set=self.vocabulary)
+        out[one], out[~one] = pc.fill_null(found, -1).to_numpy(zero_copy_only=False) + 1, flat
+        return gather(out, lengths, units.codes, units.bounds)
+
+    def likely(self, codes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, template) where some window has as many words of the template, counted with repeats, as it needs."""
+        for k, (need, reach) in enumerate(zip(self.need, self.reach)):
+            if len(codes) < need:
+                continue
+            total = np.concatenate([[0], np.cumsum(self.times[k][codes] > 0, dtype=np.int32)])
+            ends = np.repeat(bounds[1:], np.diff(bounds))
+            here = np.arange(len(codes))
+            found = np.nonzero(total[np.minimum(here + reach, ends)] - total[:-1] >= need)[0]
+            for i in np.unique(np.searchsorted(bounds, found, "right") - 1).tolist():
+                yield i, k
+
+    def starts(self, codes: np.ndarray, k: int) -> np.ndarray:
+        """The first words of the windows whose bound reaches what template ``k`` needs.
+
+        A word counts in the windows that reach it and do not hold as many of it before it as the template has.
+        """
+        times, reach = self.times[k], self.reach[k]
+        at = np.nonzero(times[codes])[0]
+        by_word = np.argsort(codes[at], kind="stable")
+        own = codes[at][by_word]
+        first = np.searchsorted(own, own)
+        earlier = np.arange(len(at)) - times[own]
+        since = np.full(len(at), -1)
+        since[by_word] = np.where(earlier >= first, at[by_word][np.maximum(earlier, 0)], -1)
+        change = np.zeros(len(codes) + 1, np.int64)
+        np.add.at(change, np.maximum(since, at - reach) + 1, 1)
+        np.add.at(change, at + 1, -1)
+        return np.nonzero(np.cumsum(change[:-1]) >= self.need[k])[0]
+
+    def scan(self, text: str, codes: np.ndarray, k: int) -> list[tuple[str, float, int, int]]:
+        """(template, coverage, start, stop) of every place of template ``k``; ``codes`` are the text's words."""
+        starts = self.starts(codes, k).tolist()
+        if not starts:
+            return []
+        template, reach = self.templates[k], self.reach[k]
+        hits, words, spans = set(), *words_of(text)
+        for x in starts:
+            pairs = patience(template, words[x : x + reach])
+            if pairs and len(pairs) / len(template) >= self.least:
+                hits.add((-len(pairs), pairs[-1][1] - pairs[0][1], x + pairs[0][1], x + pairs[-1][1]))
+        return [(self.names[k], round(n / len(template), 4), spans[a][0], spans[b][1]) for a, b, n in chosen(hits)]
+
+
+def chosen(hits: set[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(first, last, matched) of places that do not overlap, in order: the best coverage first, then the shortest place.
+
+    ``hits``: (minus the matched words, length, first word, last word).
     """
-    heads = [i for i in range(a, b) if words[i] == template[0] and (i + 1 == b or len(template) == 1 or words[i + 1] == template[1] or template[0] in TELLING)]
-    windows = {(x, min(b, x + reach)) for x in (a, *heads)}
-    offsets: dict[str, list[int]] = {}
-    for k, w in enumerate(template):
-        if w in TELLING:
-            offsets.setdefault(w, []).append(k)
-    for i in range(a, b):
-        for k in offsets.get(words[i], ()):
-            y = min(b, i - k + reach)
-            windows |= {(max(a, i - k), y), (max(a, i - k - (reach - len(template))), y)}
-    # an alignment cannot match more words than the window shares with the template
-    own = set(template)
-    shared = [0, *accumulate(w in own for w in words[a:b])]
-    hits = []
-    for x, y in windows:
-        if shared[y - a] - shared[x - a] < least * len(template):
-            continue
-        pairs = patience(template, words[x:y])
-        if pairs and len(pairs) / len(template) >= least:
-            hits.append((-len(pairs), pairs[-1][1] - pairs[0][1], x + pairs[0][1], x + pairs[-1][1]))
     taken: list[tuple[int, int, int]] = []
-    for matched, _, first, last in sorted(set(hits)):
+    for matched, _, first, last in sorted(hits):
         k = bisect_left(taken, (first,))
         if (not k or taken[k - 1][1] < first) and (k == len(taken) or last < taken[k][0]):
             taken.insert(k, (first, last, -matched))
-    for first, last, matched in taken:
-        yield round(matched / len(template), 4), spans[first][0], spans[last][1]
+    return taken
+
+
+@functools.lru_cache(maxsize=4)
+def scanner(templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES.items()), least: float = 0.75) -> Scanner:
+    """One per worker process and setting."""
+    return Scanner(templates, least)
+
+
+def scan(text: str, templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES.items()), least: float = 0.75) -> list[tuple[str, float, int, int]]:
+    """(template, coverage, start, stop) of every place in ``text`` that covers at least ``least`` of a template."""
+    by = scanner(templates, least)
+    codes, bounds = by.codes(pa.array([text]))
+    return [hit for _, k in by.likely(codes, bounds) for hit in by.scan(text, codes, k)]
 
 
 def find_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: dict[str, str] | None = None, least: float = 0.75) -> DataFrame:
     """Columns ``keep``, license string, coverage double, start long, stop long (code points)."""
-    arrow_rows(df.sparkSession)
+    arrow_batches(df.sparkSession)
     df, listed = df.select(*keep, text), tuple((templates or TEMPLATES).items())
-    telling = sorted({w for _, t in listed for w in words_of(t)[0]} & TELLING)
-    if not telling:
-        raise ValueError("no template has a telling word")
-    pattern = r"(?i)\b(" + "|".join(map(re.escape, telling)) + r")\b"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = scanner(listed, least)
         for batch in batches:
             for b in pieces(batch, text):
-                texts = b.column(text).fill_null("")
-                b = b.filter(pc.match_substring_regex(texts, pattern))
-                hits = [(i, *hit) for i, t in enumerate(b.column(text).to_pylist()) for hit in scan(t, listed, least)]
+                codes, bounds = by.codes(b.column(text))
+                hits = [(i, *hit) for i, k in by.likely(codes, bounds) for hit in by.scan(b.column(text)[i].as_py(), codes[bounds[i] : bounds[i + 1]], k)]
                 rows = pa.array([h[0] for h in hits], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(k).take(rows) for k in keep), pa.array([h[1] for h in hits], pa.string()), pa.array([h[2] for h in hits], pa.float64()), *(pa.array([h[k] for h in hits], pa.int64()) for k in (3, 4))],
                     names=[*keep, "license", "coverage", "start", "stop"],
                 )
+        release_memory()
 
     kinds = (("license", T.StringType()), ("coverage", T.DoubleType()), ("start", T.LongType()), ("stop", T.LongType()))
     return df.mapInArrow(run, T.StructType([*(df.schema[k] for k in keep), *(T.StructField(*k) for k in kinds)]))
