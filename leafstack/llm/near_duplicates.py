@@ -85,7 +85,9 @@ def _sketches(df: DataFrame, ident: str, text: str, n: int, tables: int) -> tupl
                 nothing = [pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in longs[:3]), *(pa.array(c.view(np.int64)) for c in (*keys, *fps)), *nothing], names=[f.name for f in fields])
         slices = [i for i in range(0, PLACES, _SLICE) if counts[i : i + _SLICE].any()]
-        parts = [pa.array([i // _SLICE for i in slices], pa.int32()), pa.array([counts[i : i + _SLICE].tobytes() for i in slices], pa.binary())]
+        # in the smallest numbers that hold them: one row of bytes for each slice
+        kinds = [np.min_scalar_type(int(counts[i : i + _SLICE].max())) for i in slices]
+        parts = [pa.array([i // _SLICE for i in slices], pa.int32()), pa.array([counts[i : i + _SLICE].astype(k).tobytes() for i, k in zip(slices, kinds)], pa.binary())]
         yield pa.RecordBatch.from_arrays([*(pa.nulls(len(slices), pa.int64()) for _ in longs), *parts], names=[f.name for f in fields])
         release_memory()
 
@@ -93,7 +95,8 @@ def _sketches(df: DataFrame, ident: str, text: str, n: int, tables: int) -> tupl
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column("slice").to_pylist(), batch.column("counts")):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c.as_buffer(), np.int64)
+                numbers = np.frombuffer(c.as_buffer(), f"<u{len(c.as_buffer()) // _SLICE}")
+                sums[k] = sums.get(k, 0) + numbers.astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["slice", "counts"])
 
     texts = df.select(F.col(ident).cast("long").alias("id"), text_or_empty(text).alias("text"))
@@ -242,9 +245,10 @@ class Sketches:
         return out
 
 
-#: Columns of the places where sets are met, as they are sent, one column after the other. ``before``: the shingle that
-#: stands before the unit in the set's order.
-_SENT = (("unit", "<u8"), ("node", "<i8"), ("apart", "<i8"), ("size", "<u4"), ("tail", "<u4"))
+#: Columns of the places where sets are met, as they are sent, one column after the other. The first half of a shingle's
+#: bits, beside its bucket, is all that is sent of it; where two shingles clash, pairs are looked at in vain. ``before``: the
+#: shingle that stands before the unit in the set's order.
+_SENT = (("unit", "<u4"), ("node", "<i8"), ("apart", "<i8"), ("size", "<u4"), ("tail", "<u4"))
 _SENT_CLOSE = (*_SENT, ("before", "<u8"))
 
 
@@ -262,7 +266,7 @@ def _received(rows: list[tuple[int, bytes]], kinds: tuple) -> tuple[dict[str, np
             out[name].append(np.frombuffer(blob, kind, n, at))
             at += out[name][-1].nbytes
         rest.append(memoryview(blob)[at:])
-    columns = {name: np.concatenate(out[name]).astype(np.uint64 if kind == "<u8" else np.int64) for name, kind in kinds}
+    columns = {name: np.concatenate(out[name]).astype(np.uint64 if name == "before" else np.int64) for name, kind in kinds}
     columns["root"] = columns["node"] ^ columns.pop("apart")
     return columns, rest
 
@@ -318,7 +322,7 @@ def _dealt(heads: DataFrame, buckets: int, chunk: int, crowded: bytes | None) ->
                     place = (unit[order] >> np.uint64(64 - CROWDED_BITS)).astype(np.int64)
                     order = order[(marked[place >> 3] >> (place & 7) & 1).astype(bool)]
                 row, bucket, group, big = row[order], bucket[order], group[order], big[order]
-                columns = [c[order] for c in (unit, node, root ^ node, size, size - at, before)]
+                columns = [c[order] for c in (unit >> np.uint64(32), node, root ^ node, size, size - at, before)]
                 edge = np.nonzero((bucket[1:] != bucket[:-1]) | (group[1:] != group[:-1]) | (big[1:] != big[:-1]))[0] + 1
                 starts = np.concatenate([[0], edge])[: len(order)].astype(np.int64)
                 ends = [*starts[1:].tolist(), len(order)]
@@ -371,7 +375,7 @@ def _meeting(heads: DataFrame, text_bytes: int, similarity: float, chunk: int) -
         both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
         k, n = len(crowded), len(both)
         ids = [pa.concat_arrays([pa.array(both[:, c]), pa.nulls(k, pa.int64())]) for c in (0, 1)]
-        return pa.RecordBatch.from_arrays([*ids, pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(crowded.view(np.int64))])], names=["a", "b", "crowded"])
+        return pa.RecordBatch.from_arrays([*ids, pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(crowded)])], names=["a", "b", "crowded"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m, _ in parts(batches, _SENT):
@@ -395,7 +399,7 @@ def _meeting(heads: DataFrame, text_bytes: int, similarity: float, chunk: int) -
     met = _dealt(heads, buckets, chunk, None).repartition("unit").sortWithinPartitions("unit").mapInArrow(meet, "a long, b long, crowded long")
     met = written(met.distinct(), "met")
     pairs = met.where("crowded IS NULL").select("a", "b")
-    places = F.shiftrightunsigned("crowded", 64 - CROWDED_BITS)
+    places = F.shiftright("crowded", 32 - CROWDED_BITS)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
     crowded = met.where("crowded IS NOT NULL").select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
     if not len(crowded):

@@ -252,7 +252,7 @@ def test_meeting_against_all_pairs(hub):
     r = np.random.default_rng(7)
     n, s = 300, 0.8
     size = r.integers(1, 60, n)
-    rows = {"unit": r.integers(0, 12, n).astype(np.uint64), "node": np.arange(n), "root": r.integers(0, 6, n), "size": size, "tail": np.maximum(1, (size * r.uniform(0.7, 1, n)).astype(np.int64))}
+    rows = {"unit": r.integers(0, 12, n), "node": np.arange(n), "root": r.integers(0, 6, n), "size": size, "tail": np.maximum(1, (size * r.uniform(0.7, 1, n)).astype(np.int64))}
 
     def wanted(i, j):
         if rows["unit"][i] != rows["unit"][j] or rows["root"][i] == rows["root"][j]:
