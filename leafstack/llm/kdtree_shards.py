@@ -58,40 +58,46 @@ def metadata(df: DataFrame, ident: str, text: str, dims: dict[str, Column] | Non
     )
 
 
-def _parts(dim: int) -> list[Column]:
-    """The three numbers by which rows are ordered along a dimension."""
-    return [F.col(f"d{dim}"), F.col("text_crc32"), F.coalesce(F.col("ident"), F.lit(-(1 << 62)))]
+def _values(spark, rows: list[tuple], names: str) -> DataFrame:
+    """A table of the tree, ``names`` with their types: at most a row for each shard, so the broadcast is bounded by their number."""
+    columns = [n.split() for n in names.split(", ")]
+    listed = ", ".join(f"({', '.join(f'{v}L' if kind == 'long' else str(v) for v, (_, kind) in zip(r, columns))})" for r in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(n for n, _ in columns)})"))
 
 
-def _below(dim: int, cut: list[int]) -> Column:
-    out = F.lit(False)
-    for part, value in reversed(list(zip(_parts(dim), cut))):
-        out = (part < value) | ((part == value) & out)
-    return out
+def _along(n_dims: int) -> Column:
+    return F.element_at(F.array(*(F.col(f"d{i}") for i in range(n_dims))), F.col("dim") + 1)
 
 
-def _number(done: dict[int, Node], number: int = 0) -> Column:
-    """The node of a row, after all splits so far: one nested choice for each split, of which a row takes one path."""
-    n = done.get(number)
-    if n is None:
-        return F.lit(number)
-    if n.cut is None:
-        return F.lit(2 * number + 2)
-    return F.when(_below(n.dim, n.cut), _number(done, 2 * number + 1)).otherwise(_number(done, 2 * number + 2))
+def _ident() -> Column:
+    return F.coalesce(F.col("ident"), F.lit(-(1 << 62)))
 
 
-def build(meta: DataFrame, n_dims: int, shards: int, tolerance: float) -> tuple[Column, dict[int, int]]:
-    """The node column of the finished tree, and the shard of each leaf node."""
-    done: dict[int, Node] = {}
+def _descended(rows: DataFrame, n_dims: int, level: list[Node]) -> DataFrame:
+    """``rows`` with the node below the one they are in; leaves stay. A level is one join, however many nodes it has."""
+    cuts = [(n.number, n.dim, len(n.cut), *[*n.cut, 0, 0][:3]) for n in level if n.cut is not None]
+    if not cuts:
+        return rows
+    table = _values(rows.sparkSession, cuts, "node int, dim int, depth int, c0 long, c1 long, c2 long")
+    by_ident = (F.col("depth") > 2) & (F.col("text_crc32") == F.col("c1")) & (_ident() < F.col("c2"))
+    by_text = (F.col("depth") > 1) & (_along(n_dims) == F.col("c0")) & ((F.col("text_crc32") < F.col("c1")) | by_ident)
+    below = (_along(n_dims) < F.col("c0")) | by_text
+    child = F.when(F.col("dim").isNull(), F.col("node")).when(below, 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
+    return rows.join(table, "node", "left").withColumn("node", child.cast("int")).select(*rows.columns)
+
+
+def build(meta: DataFrame, n_dims: int, shards: int, tolerance: float) -> tuple[DataFrame, dict[int, int]]:
+    """``meta`` with the node of the finished tree, and the shard of each leaf node."""
     level, shard_of = [Node(0, shards, 0)], {}
     spans: list[int] | None = None
+    # zero for every row, though not a constant, so that the root is joined like any node
+    rows = meta.withColumn("node", F.least(F.col("size"), F.lit(0)).cast("int"))
     while level:
         for n in [n for n in level if n.leaves == 1]:
             shard_of[n.number] = n.first
         level = [n for n in level if n.leaves > 1]
         if not level:
             break
-        rows = meta.withColumn("node", _number(done))
         ranges = [f(f"d{i}").alias(f"{name}{i}") for i in range(n_dims) for name, f in (("lo", F.min), ("hi", F.max))]
         found = {r.node: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), F.min("ident").alias("id_lo"), F.max("ident").alias("id_hi"), *ranges).collect()}
         if spans is None:
@@ -105,23 +111,21 @@ def build(meta: DataFrame, n_dims: int, shards: int, tolerance: float) -> tuple[
             n.lo, n.hi = r[f"lo{n.dim}"], r[f"hi{n.dim}"]
         ids = {n.number: (r.id_lo, r.id_hi) for n in level if (r := found.get(n.number))}
         _find_cuts(rows, n_dims, [n for n in level if n.number in ids], ids, leaf * tolerance)
-        done |= {n.number: n for n in level}
+        rows = _descended(rows, n_dims, level)
         level = [Node(2 * n.number + 1 + s, k, n.first + s * (n.leaves // 2)) for n in level for s, k in ((0, n.leaves // 2), (1, n.leaves - n.leaves // 2))]
-    return _number(done), shard_of
+    return rows, shard_of
 
 
 def _find_cuts(rows: DataFrame, n_dims: int, nodes: list[Node], ids: dict[int, tuple], tolerance: float) -> None:
-    spark = rows.sparkSession
-    ident = F.coalesce(F.col("ident"), F.lit(-(1 << 62)))
-    along = F.element_at(F.array(*(F.col(f"d{i}") for i in range(n_dims))), F.col("dim") + 1)
-    value = F.when(F.col("part") == 0, along).when(F.col("part") == 1, F.col("text_crc32")).otherwise(ident)
+    along = _along(n_dims)
+    value = F.when(F.col("part") == 0, along).when(F.col("part") == 1, F.col("text_crc32")).otherwise(_ident())
     inside = ((F.col("part") < 1) | (along == F.col("f0"))) & ((F.col("part") < 2) | (F.col("text_crc32") == F.col("f1")))
     while nodes:
         # one row of parameters for each node of the level that is still open: at most as many as there are shards
-        params = ", ".join(f"({n.number}, {n.dim}, {n.part}, {n.lo}L, {n.hi}L, {-(-(n.hi - n.lo + 1) // FAN)}L, {[*n.fixed, 0, 0][0]}L, {[*n.fixed, 0, 0][1]}L)" for n in nodes)
-        table = spark.sql(f"SELECT * FROM VALUES {params} AS p(node, dim, part, lo, hi, width, f0, f1)")
+        params = [(n.number, n.dim, n.part, n.lo, n.hi, -(-(n.hi - n.lo + 1) // FAN), *[*n.fixed, 0, 0][:2]) for n in nodes]
+        table = _values(rows.sparkSession, params, "node int, dim int, part int, lo long, hi long, width long, f0 long, f1 long")
         sums = (
-            rows.join(F.broadcast(table), "node")
+            rows.join(table, "node")
             .withColumn("value", value)
             .where(inside & F.col("value").between(F.col("lo"), F.col("hi")))
             .groupBy("node", F.floor((F.col("value") - F.col("lo")) / F.col("width")).cast("long").alias("at"))
@@ -166,10 +170,10 @@ def shards(df: DataFrame, count: int = 40, ident: str = "doc_id", text: str = "t
     """
     meta = written(metadata(df, ident, text, dims), "metadata")
     n_dims = sum(c.startswith("d") for c in meta.columns)
-    node, shard_of = build(meta, n_dims, count, tolerance)
-    pairs = [x for n, s in sorted(shard_of.items()) for x in (F.lit(n), F.lit(s))]
+    tree, shard_of = build(meta, n_dims, count, tolerance)
+    leaves = _values(df.sparkSession, sorted(shard_of.items()), "node int, shard int")
     parts = max(4, meta.count() // (count * slot_rows) + 1)
-    rows = meta.withColumn("node", node).withColumn("shard", F.element_at(F.create_map(*pairs), F.col("node"))).withColumn("part", F.pmod(F.xxhash64("ident", "text_crc32"), F.lit(parts)))
+    rows = tree.join(leaves, "node").withColumn("part", F.pmod(F.xxhash64("ident", "text_crc32"), F.lit(parts)))
     sizes = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     start = sizes.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("start"))
     numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("shard", "part").orderBy("ident", "text_crc32")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leafstack.llm import kdtree_shards, speculative_bpe
-from leafstack.llm._common import documents
+from leafstack.llm._common import documents, written
 from leafstack.llm.queries import QUERIES
 
 
@@ -61,6 +61,50 @@ def test_other_dimensions_and_native_plan(spark, data):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_tree_against_sorting(spark):
+    """Each split of the tree: along the widest dimension, in order of (value, checksum, id), at the goal as near as told."""
+    texts = [prose(k, 5 + (k * 37) % 160) for k in range(260)] + [prose(1, 30)] * 60
+    meta = written(kdtree_shards.metadata(frame(spark, texts), "doc_id", "text"), "metadata")
+    tree, shard_of = kdtree_shards.build(meta, 3, 11, 0.02)
+    rows = tree.collect()
+    spans = [max(1, max(r[f"d{i}"] for r in rows) - min(r[f"d{i}"] for r in rows)) for i in range(3)]
+    leaf = sum(r.size for r in rows) / 11
+    assert sorted(shard_of.values()) == list(range(11)) and {r.node for r in rows} <= set(shard_of)
+
+    def under(number):
+        return [r for r in rows if _inside(r.node, number)]
+
+    def _inside(node, top):
+        while node > top:
+            node = (node - 1) // 2
+        return node == top
+
+    def leaves(number):
+        return 1 if number in shard_of else leaves(2 * number + 1) + leaves(2 * number + 2)
+
+    def walk(number):
+        if number in shard_of:
+            return
+        here, left, right = under(number), under(2 * number + 1), under(2 * number + 2)
+        width = [(max(r[f"d{i}"] for r in here) - min(r[f"d{i}"] for r in here)) / spans[i] for i in range(3)]
+        order = lambda r: (r[f"d{width.index(max(width))}"], r.text_crc32, r.ident)
+        assert len(left) + len(right) == len(here) and max(map(order, left)) < min(map(order, right))
+        goal = sum(r.size for r in here) * leaves(2 * number + 1) / leaves(number)
+        off, edge = abs(sum(r.size for r in left) - goal), max(max(left, key=order).size, min(right, key=order).size)
+        assert off <= max(0.02 * leaf, edge)
+        walk(2 * number + 1)
+        walk(2 * number + 2)
+
+    walk(0)
+
+
+def test_many_shards(spark):
+    texts = [prose(k, 10 + k % 40) for k in range(3000)]
+    out = kdtree_shards.shards(frame(spark, texts), 150).collect()
+    sizes = check(out, texts, 150)
+    assert max(sizes) < 1.3 * min(sizes)
+
+
 def test_op7_query(spark):
     sf = "/root/testdata/sf0.1"
     out = QUERIES["op7_kdtree_shards"](spark, sf).toPandas()
@@ -96,6 +140,23 @@ def test_stages_filter(spark, data, stages):
     assert len(kept[2]) < len(kept[1]) and len(kept[4]) < len(kept[3])
 
 
+def test_stages_on_odd_rows(spark, data):
+    """Null ids, repeated ids and rows, odd texts, columns with the operators' own names, and no rows at all."""
+    docs = frame(spark, [*ODD, *(prose(k, 60) for k in range(20)), prose(3, 60) + " end"], extra=True)
+    more = docs.where("doc_id < 16").withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(None).cast("long")).otherwise(F.lit(3).cast("long")))
+    docs = docs.unionByName(more).unionByName(more.withColumn("text", F.concat(F.lit("other words here "), F.coalesce("text", F.lit("")))))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), data).count() == 0, name
+        out = stage(spark, docs, data)
+        assert out.count() > 0, name
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert out.columns == docs.columns, name
+            docs = written(out, "stage")
+    texts = [r.text for r in docs.collect()]
+    bare = [re.sub("[ \t\n\v\f\r]", "", t or "") for t in texts]
+    assert len(set(bare)) == len(bare)
+
+
 def test_last_stage_and_run(spark, data, stages):
     tokenizer = Tokenizer.from_file(speculative_bpe.tokenizer_file("word_bpe_49k.json"))
     texts = {r.doc_id: r.text for r in stages[-2].collect()}
