@@ -410,6 +410,22 @@ def _meeting(heads: DataFrame, text_bytes: int, similarity: float, chunk: int) -
     return written(pairs.unionByName(closer.select("a", "b")).distinct(), "meeting")
 
 
+def _plausible(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that sizes and sketches do not rule out, so that few whole sets have to be sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.concatenate([b.column(c).to_numpy() for c in ("na", "nb")])
+            sketches = Sketches(size, np.frombuffer(b"".join(x.as_buffer().to_pybytes() for c in ("sa", "sb") for x in b.column(c)), "<u8"))
+            i = np.arange(b.num_rows)
+            near = sketches.near(i, b.num_rows + i, similarity)
+            small, large = np.sort(size.reshape(2, -1), axis=0)
+            yield b.select(["a", "b"]).filter(pa.array(near & (small >= similarity * large - 1e-6)))
+
+    one, two = (heads.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _similar(df: DataFrame, pairs: DataFrame, text: str, n: int, similarity: float) -> DataFrame:
     """The pairs of nodes whose shingle sets have a Jaccard similarity of at least ``similarity``."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
@@ -452,13 +468,14 @@ def _classified(df: DataFrame, ident: str, text: str, n: int, similarity: float,
     heads = _prefixes(df, nodes, common, text, n, similarity, dense)
     more = _meeting(heads, df.agg(F.sum(F.octet_length(text_or_empty(text)))).first()[0] or 0, similarity, chunk)
     joined = nodes.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(joined.unionByName(_similar(df, more, text, n, similarity)))
+    left = written(_plausible(more, heads, similarity), "plausible")
+    roots = components(joined.unionByName(_similar(df, left, text, n, similarity)))
     members = written(reps.join(roots, "node", "left").select("k1", "k2", "rep", "node", F.coalesce("root", "node").alias("root")), "members")
     heads = members.groupBy("root").agg(F.min("rep").alias("class_id"), F.min_by("node", "rep").alias("head"))
     classes = members.join(heads, "root").select("k1", "k2", "class_id", "head")
     stays = F.col("class_id").isNull() | (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("head")))
     out = written(sketches.join(classes, ["k1", "k2"], "left").select("id", "key", "class_id", stays.alias("stays")), "classes")
-    drop_written(sketches, reps, pairs, links, nodes, heads, more, members)
+    drop_written(sketches, reps, pairs, links, nodes, heads, more, left, members)
     return out
 
 

@@ -313,6 +313,33 @@ def test_bitmap_filters_are_exact(spark):
     assert sorted(str(r.doc_id) for r in outside(df, ids, "doc_id").collect()) == sorted([str(i) for i in range(3000) if i % 7] + ["None"] * 2)
 
 
+def test_near_duplicates_of_a_table(spark, data):
+    """All pairs of the table by brute force, with every third text once more, cut short or with a new end."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    extra = []
+    for k, (d, t) in enumerate(sorted(texts.items())):
+        words = t.split()
+        if k % 3 == 0:
+            extra.append((10_000 + d, " ".join(words[: len(words) - len(words) // (6 if k % 2 else 4)])))
+        if k % 3 == 1:
+            extra.append((20_000 + d, t + " " + prose(k, len(words) // (7 if k % 2 else 4))))
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    texts |= dict(extra)
+    bags = {}
+    for d, t in texts.items():
+        ws = [w for u in t.split() if (w := word_of(u))]
+        bags[d] = tuple(ws), {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+
+    def linked(a, b):
+        x, y = bags[a], bags[b]
+        return x[0] == y[0] or (bool(x[1]) and min(len(x[1]), len(y[1])) >= 0.8 * max(len(x[1]), len(y[1])) and len(x[1] & y[1]) >= 0.8 * len(x[1] | y[1]))
+
+    want = slow_components(sorted(bags), linked)
+    assert {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(df).collect()} == want
+    assert len(want) - len(set(want.values())) > 40
+
+
 def test_op6_query(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").collect()
     fps = {r.doc_id: slow_fingerprint(r.text) for r in docs}
