@@ -74,9 +74,9 @@ class _Best:
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """``scores``: a row for each query, a column for each id."""
         ids = np.broadcast_to(ids, scores.shape)
-        if scores.shape[1] > 4 * self.k:  # no more than those that reach the k-th best score need sorting
-            least = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1].min()
-            some = (scores >= least).any(axis=0)
+        if scores.shape[1] > 4 * self.k:  # an id that reaches no query's k-th best score need not be sorted
+            least = np.partition(scores, -self.k, axis=1)[:, -self.k]
+            some = (scores >= least[:, None]).any(axis=0)
             scores, ids = scores[:, some], ids[:, some]
         if self.scores is not None:
             scores, ids = np.concatenate([self.scores, scores], axis=1), np.concatenate([self.ids, ids], axis=1)

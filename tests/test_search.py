@@ -61,6 +61,23 @@ def test_dense_legs(spark):
     assert dense_topk(df, q.where("item_id < 0"), "vec_id", "item_id").count() == 0
 
 
+def test_running_bests():
+    from leafstack.operators.dense import _Best
+
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.normal(size=(7, 400)) * np.arange(7)[:, None], 1)  # many ties, and queries of unlike range
+    ids = rng.permutation(400)
+    for k in (1, 5, 60):
+        for cut in (400, 90, 7):
+            best_of = _Best(k)
+            for x in range(0, 400, cut):
+                best_of.add(scores[:, x : x + cut], ids[x : x + cut])
+            q, found, s = best_of.rows()
+            for i in range(7):
+                order = sorted(range(400), key=lambda j: (-scores[i, j], ids[j]))[:k]
+                assert found[q == i].tolist() == ids[order].tolist() and s[q == i].tolist() == scores[i, order].tolist()
+
+
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])
 def test_cells_find_most_of_the_nearest(spark, sf):
     from leafstack.queries import QUERIES
