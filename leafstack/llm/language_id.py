@@ -8,13 +8,14 @@ goes on past the next place until it is in the state which the parse from there
 
 Symbols are letters of the labelled text without case; every run of other characters is one separator; letters that no
 labelled text has match nothing. The commonest letters are a symbol each and the others two, so tables stay narrow
-however many letters there are. Training takes a bounded sample: of each language the ``rows`` labelled documents with the
-smallest hash of their id, of those the whole texts that together have up to ``symbols`` code points, in that order.
+however many letters there are. Training takes a bounded sample: of each language, among the labelled documents of at most
+``symbols`` code points, the ``rows`` with the smallest hash of their id, of those the whole texts that together have up to
+``symbols`` code points, in that order.
 Prediction reads whole texts.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0; so is every text if nothing is labelled;
 ties go to the language that sorts first; an empty table gives an empty table; repeated rows get equal predictions;
-other columns are not read. A language all of whose sampled texts are longer than ``symbols`` is not learned; more than
+other columns are not read. A language all of whose labelled texts are longer than ``symbols`` is not learned; more than
 ``langs`` languages are an error.
 """
 
@@ -218,13 +219,13 @@ def _held(model: Model) -> Model:
 
 def train(df: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 64, symbols: int = 20_000, langs: int = 400) -> Model:
     """Fit on the labelled rows of ``df`` (non-null ``lang``); at most ``rows`` whole texts of a language reach the driver."""
-    labelled = df.where(F.col(lang).isNotNull() & F.col(ident).isNotNull() & F.col(text).isNotNull())
+    labelled = df.where(F.col(lang).isNotNull() & F.col(ident).isNotNull() & (F.length(text) <= symbols))
     rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(ident), ident))
     chosen = labelled.select(ident, lang).withColumn("rank", rank).where(F.col("rank") <= rows)
     if df.where(F.col(lang).isNotNull()).select(lang).distinct().limit(langs + 1).count() > langs:
         raise ValueError(f"more than {langs} languages")
     # at most rows x langs ids of a few bytes, so the broadcast has a fixed bound
-    found = labelled.select(ident, text).join(F.broadcast(chosen), ident).where(F.length(text) <= symbols).groupBy(lang, "rank").agg(F.min(text).alias("t")).collect()
+    found = labelled.select(ident, text).join(F.broadcast(chosen), ident).groupBy(lang, "rank").agg(F.min(text).alias("t")).collect()
     by_lang: dict[str, list[str]] = {}
     room: dict[str, int] = {}
     for r in sorted(found, key=lambda r: (r[lang], r["rank"])):

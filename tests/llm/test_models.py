@@ -180,6 +180,14 @@ def test_language_on_held_out_rows(spark):
     assert (held.held_out == [zlib.crc32(str(d).encode()) % 3 == 1 for d in held.doc_id]).all()
 
 
+def test_long_texts_do_not_keep_a_language_from_being_learned(spark):
+    """Eighty texts that are too long for the sample, and one of the same language that is not."""
+    long = "der die das und nicht ein eine " * 700
+    rows = [(k, long, "de") for k in range(80)] + [(100, "der die das und nicht ein eine schön", "de")] + [(200 + k, prose(k, 40), "en") for k in range(20)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ("de", "en") and model.predict(pa.array(["das und nicht", prose(77, 20)]))[0] == ["de", "en"]
+
+
 def test_language_of_odd_tables(spark):
     docs = frame(spark, ODD, extra=True)
     nothing = language_id.train(docs.limit(0))
