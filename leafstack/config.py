@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,8 @@ class Settings:
     first_token_seconds: float = 5.0
     attempts: int = 5
     max_wait_seconds: float = 30.0
+    public_key: str = field(default="", repr=False)
+    admin_key: str = field(default="", repr=False)
 
 
 DEFAULTS = Settings()

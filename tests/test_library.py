@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from leafstack.config import Settings
 from leafstack.functions.text import is_heading
 from leafstack.plans import planner, prompts
+from leafstack.plans.access import Access, access
 from leafstack.plans.engine import InvalidRequest, Library, TtlCache, checked
 from leafstack.plans.providers import Failover, HashEmbedding, ProviderError, QueryEmbedder, embed_documents, is_transient, retrying, unit_rows
 from leafstack.sources import files as src
@@ -42,6 +43,14 @@ def test_docx_pages(spark, tmp_path):
     assert pages == {1: "## THE FIRST — BOOK OF TESTS\n\nBody one.", 2: "## Second part\n\nBody two.", 3: "Body three."}
 
 
+def test_keys():
+    keyed = Settings(public_key="reader", admin_key="schlüssel")
+    assert access(None) == access("x") == Access.GRANTED and access(None, admin=True) == access("", admin=True) == Access.CLOSED
+    assert [access(k, s=keyed) for k in (None, "", "reade", "reader")] == [Access.WRONG_KEY] * 3 + [Access.GRANTED]
+    assert [access(k, admin=True, s=keyed) for k in (None, "reader", "schlüssel")] == [Access.WRONG_KEY] * 2 + [Access.GRANTED]
+    assert "reader" not in repr(keyed) and "schl" not in repr(keyed)
+
+
 def test_headings(spark):
     rows = [("Any text at all.", "Heading 1", True), ("LOUD LINE", "Normal", True), ("LOUD LINE.", "Normal", False), ("x", "Normal", False), ("short", "Center", True), ("short?", "Center", False), (None, None, None)]
     df = spark.createDataFrame(rows, "t string, s string, w boolean")
