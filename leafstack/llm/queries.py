@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafstack.llm import cuckoo_dedup, decontaminate, kdtree_shards, language_id, license_scan, repair_grammar, simhash, speculative_bpe, token_counts, toxicity
+from leafstack.llm import cuckoo_dedup, decontaminate, kdtree_shards, language_id, license_scan, odd_sketches, repair_grammar, simhash, speculative_bpe, token_counts, toxicity
 from leafstack.llm._common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -80,6 +80,11 @@ def op10_repair_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_grammar.write_and_read(documents(spark, sf_dir), speculative_bpe.tokenizer_file(TOKENIZER))
 
 
+def op12_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of every document: five-word shingles, similarity 0.85."""
+    return odd_sketches.near_duplicates(documents(spark, sf_dir), n=5, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_template_decontamination": op8_template_decontamination,
     "op9_speculative_bpe": op9_speculative_bpe,
     "op10_repair_token_blocks": op10_repair_token_blocks,
+    "op12_odd_sketch_minhash": op12_odd_sketch_minhash,
 }
 
 SQL: dict[str, str] = {
@@ -106,5 +112,36 @@ WITH normal AS (
   FROM normal
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM ranked
+""",
+    "op12_odd_sketch_minhash": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), tokens AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM words
+), runs AS (
+  SELECT doc_id, n, at, CASE WHEN n < 5 THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+    ELSE string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) END AS g
+  FROM tokens
+), rows AS (
+  SELECT DISTINCT doc_id, g FROM runs WHERE at <= greatest(n - 4, 1)
+), sizes AS (
+  SELECT doc_id, count(g) AS n_shingles FROM documents LEFT JOIN rows USING (doc_id) GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM rows a JOIN rows b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * n >= 85 * (a.n_shingles + b.n_shingles - n)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, e.y FROM reached r JOIN edges e ON e.x = r.other
+), roots AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN roots USING (doc_id)
 """,
 }
