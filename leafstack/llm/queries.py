@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafstack.llm import cuckoo_dedup, decontaminate, kdtree_shards, language_id, license_scan, odd_sketches, repair_grammar, simhash, speculative_bpe, token_counts, toxicity
+from leafstack.llm import cuckoo_dedup, decontaminate, kdtree_shards, language_id, license_scan, odd_sketches, repair_grammar, simhash, speculative_bpe, token_counts, toxicity, whitening
 from leafstack.llm._common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -80,6 +80,11 @@ def op10_repair_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_grammar.write_and_read(documents(spark, sf_dir), speculative_bpe.tokenizer_file(TOKENIZER))
 
 
+def op11_range_finder_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector on the first 32 components, scaled to unit variance."""
+    return whitening.whitening(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
+
+
 def op12_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of every document: five-word shingles, similarity 0.85."""
     return odd_sketches.near_duplicates(documents(spark, sf_dir), n=5, percent=85)
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_template_decontamination": op8_template_decontamination,
     "op9_speculative_bpe": op9_speculative_bpe,
     "op10_repair_token_blocks": op10_repair_token_blocks,
+    "op11_range_finder_whitening": op11_range_finder_whitening,
     "op12_odd_sketch_minhash": op12_odd_sketch_minhash,
 }
 
@@ -119,13 +125,13 @@ WITH RECURSIVE words AS (
                                                    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), tokens AS (
-  SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM words
+  SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words
 ), runs AS (
-  SELECT doc_id, n, at, CASE WHEN n < 5 THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
-    ELSE string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) END AS g
+  SELECT doc_id, n, pos, CASE WHEN n < 5 THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+    ELSE string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) END AS g
   FROM tokens
 ), rows AS (
-  SELECT DISTINCT doc_id, g FROM runs WHERE at <= greatest(n - 4, 1)
+  SELECT DISTINCT doc_id, g FROM runs WHERE pos <= greatest(n - 4, 1)
 ), sizes AS (
   SELECT doc_id, count(g) AS n_shingles FROM documents LEFT JOIN rows USING (doc_id) GROUP BY doc_id
 ), common AS (
