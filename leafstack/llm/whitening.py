@@ -23,6 +23,8 @@ from leafstack.llm._common import arrow_batches
 
 #: An entry c is counted as floor(SCALE * c) + OFFSET.
 SCALE, OFFSET = 64, 1_000_000
+#: Entries this large are refused by ``fit``.
+BEYOND = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ def integers(df: DataFrame, vector: str, *keep: str) -> DataFrame:
     """``keep`` and x array<long>, of the rows whose vector is not null and has finite entries only."""
     c = F.transform(F.col(vector), lambda v: v.cast("double"))
     bad = F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return df.where(F.col(vector).isNotNull() & ~bad).select(*keep, F.transform(c, lambda v: F.floor(v * SCALE).cast("long") + OFFSET).alias("x"))
+    return df.where(F.col(vector).isNotNull() & ~bad).select(*keep, F.transform(c, lambda v: F.least(F.greatest(F.floor(v * SCALE).cast("long"), F.lit(-BEYOND)), F.lit(BEYOND)) + OFFSET).alias("x"))
 
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
@@ -100,7 +102,7 @@ def _dimension(rows: DataFrame) -> tuple[int, int]:
     top = counts.agg(F.max(F.struct("n", (-F.col("d")).alias("d"), "most")).alias("t")).first().t
     if top is None:
         return 0, 0
-    if top.n * top.most >= 1 << 62:
+    if top.n * top.most >= BEYOND:
         raise ValueError("entries are too large for exact sums of their deviations")
     return -top.d, top.n
 
