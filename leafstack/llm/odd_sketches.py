@@ -5,7 +5,9 @@ time, are the keys of ``BANDS`` bands, and sets with an equal key meet. All samp
 in which sample i with value v flips the bit that a hash of (i, v) names. Equal samples flip the same bit in two sketches, so
 their exclusive or has only what samples that differ have flipped, and its population count tells how many those are, the
 more precisely the more similar the sets. Two sets whose count is larger than sets at the similarity ever have (but for a
-chance of ``MISS``) are not candidates. What is left is confirmed on the full sets.
+chance of ``MISS``) are not candidates. The parity sketch of a full set, in which each shingle flips a bit, goes after it: it
+counts too few differing shingles and never too many, and so rules out no similar pair. What is left is confirmed on the
+full sets.
 
 Meeting sets are not paired off. First each set is held against the one of its companions that meets most others, which
 links nearly all of a large class by one pair a member. Then only sets that are not linked so far are paired, in units that
@@ -103,7 +105,7 @@ def similarity_of(bits_set: np.ndarray, count: int = SAMPLES, bits: int = BITS)
 
 def _sketched(df: DataFrame, ident: str, text: str, n: int) -> DataFrame:
     """One row for each row of ``df``: id, source long (a hash of the text), node long (a hash of the set; null if it is empty),
-    size long, and bands and sketch binary (once for a set in a batch)."""
+    size long, and bands, sketch and whole binary (once for a set in a batch). ``whole`` is the parity sketch of the full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,15 +115,16 @@ def _sketched(df: DataFrame, ident: str, text: str, n: int) -> DataFrame:
                 first = {v: i for i, v in reversed(list(enumerate(nodes))) if v is not None}
                 own = sorted(first.values())
                 values = np.array([samples(sets[i]) for i in own], np.uint32).reshape(len(own), SAMPLES)
-                bands, sketches = dict(zip(own, band_keys(values))), dict(zip(own, odd_sketches(values)))
-                blobs = [pa.array([kind[i].tobytes() if i in kind else None for i in range(b.num_rows)], pa.binary()) for kind in (bands, sketches)]
+                kinds = [dict(zip(own, (row.tobytes() for row in rows))) for rows in (band_keys(values), odd_sketches(values))]
+                kinds.append({i: parity_sketch(sets[i]) for i in own})
+                blobs = [pa.array([kind.get(i) for i in range(b.num_rows)], pa.binary()) for kind in kinds]
                 signed = [None if v is None else v - (1 << 64) if v >> 63 else v for v in nodes]
                 columns = [b.column("id"), b.column("source"), pa.array(signed, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *blobs]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "source", "node", "size", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "source", "node", "size", "bands", "sketch", "whole"])
         release_memory()
 
     texts = df.select(F.col(ident).cast("long").alias("id"), text_or_empty(text).alias("text")).select("id", F.xxhash64("text").alias("source"), "text")
-    return texts.mapInArrow(run, "id long, source long, node long, size long, bands binary, sketch binary")
+    return texts.mapInArrow(run, "id long, source long, node long, size long, bands binary, sketch binary, whole binary")
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -145,7 +148,7 @@ def _leads(met: DataFrame) -> DataFrame:
 
 
 def _unlinked(met: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, large: int) -> DataFrame:
-    """Pairs a, b of nodes that share a key, have different roots, and pass the sketch."""
+    """Pairs a, b of nodes that share a key, have different roots, and pass both sketches."""
     rooted = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     chunked = rooted.join(open_keys.select("key", F.ceil(F.col("n") / large).cast("int").alias("chunks")), "key")
@@ -153,15 +156,17 @@ def _unlinked(met: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: fl
     dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    units = dealt.select(unit.alias("unit"), side.alias("side"), "node", "root").join(nodes.select("node", "size", "sketch"), "node")
+    units = dealt.select(unit.alias("unit"), side.alias("side"), "node", "root").join(nodes.select("node", "size", "sketch", "whole"), "node")
     most = most_bits(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in simhash.segments(batches, 100_000):
+        for t in simhash.segments(batches, 20_000):
             unit, side, node, root, size = (t.column(c).to_numpy() for c in ("unit", "side", "node", "root", "size"))
             order = np.lexsort((root, unit))
             unit, side, node, root, size = (c[order] for c in (unit, side, node, root, size))
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(-1, BITS // 64)[order]
+            wholes = t.column("whole").to_pylist()
+            whole = Sketches(size, np.frombuffer(b"".join([wholes[i] for i in order.tolist()]), "<u8"))
             new = np.concatenate([[True], (unit[1:] != unit[:-1]) | (root[1:] != root[:-1])])
             ends = np.concatenate([np.nonzero(new)[0][1:], [len(unit)]])
             start = ends[np.cumsum(new) - 1]  # behind the rows with the same root
@@ -176,6 +181,8 @@ def _unlinked(met: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: fl
                 take = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & ((side[i] == 0) | (side[i] != side[j]))
                 i, j = i[take], j[take]
                 near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= most
+                i, j = i[near], j[near]
+                near = whole.near(i, j, similarity)
                 a, b = np.minimum(node[i[near]], node[j[near]]), np.maximum(node[i[near]], node[j[near]])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
                 x = y
@@ -196,7 +203,7 @@ def _both(b: pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def _candidates(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sizes and odd sketches allow the similarity."""
+    """The pairs whose sizes and sketches allow the similarity."""
     most = most_bits(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,13 +211,15 @@ def _candidates(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFr
             one, two = _both(b, "sketch").reshape(2, b.num_rows, BITS // 64)
             near = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= most
             small, large = np.sort(np.stack([b.column("size_a").to_numpy(), b.column("size_b").to_numpy()]), axis=0)
+            size, at = np.concatenate([b.column("size_a").to_numpy(), b.column("size_b").to_numpy()]), np.arange(b.num_rows)
+            near &= Sketches(size, _both(b, "whole")).near(at, b.num_rows + at, similarity)
             yield b.select(["a", "b"]).filter(pa.array(near & (small >= similarity * large - 1e-9)))
 
-    return _with_both(pairs, nodes, "size", "sketch").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, nodes, "size", "sketch", "whole").mapInArrow(run, "a long, b long")
 
 
 def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, text: str, n: int) -> DataFrame:
-    """node, size, whole binary (the parity sketch of the full set), shingles binary of the nodes ``wanted``, from one text each."""
+    """node, shingles binary of the nodes ``wanted``, from one text each."""
     sources = written(nodes.join(wanted, "node", "left_semi").select("source"), "sources")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,29 +229,19 @@ def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, text: str, n: int)
             for b in pieces(batch.filter(pa.array(new, pa.bool_())), "text"):
                 sets = [s for s in shingles(b.column("text"), n) if len(s)]
                 node = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), n) for s in sets], np.uint64).view(np.int64)
-                columns = [pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "whole", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
         release_memory()
 
     texts = df.select(text_or_empty(text).alias("text")).select(F.xxhash64("text").alias("source"), "text")
-    rows = inside(texts, sources, "source").mapInArrow(run, "node long, size long, whole binary, shingles binary")
+    rows = inside(texts, sources, "source").mapInArrow(run, "node long, shingles binary")
     return written(rows.dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(df: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """The pairs that are similar on their full sets: 100 x common shingles >= percent x all shingles.
-
-    Parity sketches of the full sets go first. They can count too few differing shingles and never too many, so they rule
-    out no similar pair, and few whole sets have to be sent.
-    """
+    """The pairs that are similar on their full sets: 100 x common shingles >= percent x all shingles."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     sets = _sets(df, nodes, wanted, text, n)
 
-    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size, at = np.concatenate([b.column("size_a").to_numpy(), b.column("size_b").to_numpy()]), np.arange(b.num_rows)
-            yield b.select(["a", "b"]).filter(pa.array(Sketches(size, _both(b, "whole")).near(at, b.num_rows + at, percent / 100)))
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -254,9 +253,8 @@ def _confirmed(df: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str, n:
                 keep.append(100 * common >= percent * (len(both) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = written(_with_both(pairs, sets, "size", "whole").mapInArrow(plausible, "a long, b long"), "plausible")
-    links = written(_with_both(left, sets, "shingles").mapInArrow(judge, "a long, b long"), "links")
-    drop_written(wanted, sets, left)
+    links = written(_with_both(pairs, sets, "shingles").mapInArrow(judge, "a long, b long"), "links")
+    drop_written(wanted, sets)
     return links
 
 
@@ -277,7 +275,7 @@ def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", n:
         raise ValueError("percent is more than 50 and at most 100")
     arrow_batches(df.sparkSession)
     rows = written(_sketched(df, ident, text, n), "sketches")
-    first = [F.first(c, ignorenulls=True).alias(c) for c in ("size", "bands", "sketch")]
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("size", "bands", "sketch", "whole")]
     nodes = written(rows.where("bands IS NOT NULL").groupBy("node").agg(F.min("source").alias("source"), *first), "nodes")
     together = F.count("*").over(Window.partitionBy("key"))
     met = written(_keys(nodes).withColumn("together", together).where("together > 1"), "met")
