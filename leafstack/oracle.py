@@ -120,6 +120,27 @@ def _wrapped(x: str) -> str:
 
 _BODY = rf"replace(replace({_strip('text')}, chr(10) || chr(10), chr(1)), chr(10), ' ')"
 
+def _chunk_lists(docs: str) -> str:
+    """The sentences of each document, long ones wrapped."""
+    return f"SELECT doc_id, 1 AS part, 1 AS page, '' AS section, flatten(list_transform({_sentences(_BODY)}, lambda x: CASE WHEN length(x) > {S.chunk_size} THEN {_wrapped('x')} ELSE [x] END)) AS s FROM {docs}"
+
+
+def passages(docs: str) -> str:
+    """Chunks of the documents whose text can be trusted, with their language."""
+    trusted = f"(SELECT doc_id, text FROM {docs} WHERE doc_id NOT IN (SELECT doc_id FROM (WITH pages_ AS (SELECT doc_id, text FROM {docs}), {_QUALITY} SELECT doc_id FROM quality WHERE needs_ocr)))"
+    return f"SELECT p.*, d.lang FROM ({_packed(_chunk_lists(trusted), 'doc_id')}) p JOIN {docs} d USING (doc_id)"
+
+
+def question_sheets() -> str:
+    """A prompt with the passages that hybrid search finds for each benchmark item."""
+    vectors = "u.vec_id IN (SELECT doc_id FROM documents)"
+    return f"""WITH found AS ({_hybrid(vectors, 'true')}),
+shown AS (SELECT item_id, count(*) AS hits, string_agg('[' || rank || '] ' || d.source || CASE WHEN d.lang = 'en' THEN '' ELSE ' | ' || d.lang END || ' | p. 1' || chr(10)
+  || substr(d.text, 1, 700) || CASE WHEN length(d.text) > 700 THEN '…' ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS context FROM found JOIN documents d USING (doc_id) GROUP BY item_id)
+SELECT item_id, CAST(coalesce(hits, 0) AS INTEGER) AS hits, 'Passages:' || chr(10) || chr(10) || context || chr(10) || chr(10) || '---' || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer in English.' AS prompt,
+  CASE WHEN hits IS NULL THEN '{NOTHING_FOUND['English']}' END AS reply, 'benchmark' AS question_set FROM benchmark LEFT JOIN shown USING (item_id)"""
+
+
 SQL: dict[str, str] = {
     "normalize_text": f"WITH {_TEXTS} SELECT origin, id, {_normal('text')} AS normal FROM texts",
     "is_devanagari_share": rf"""WITH {_TEXTS}, n AS (SELECT *, length(regexp_replace(text, '[^\p{{L}}\p{{M}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^{_DEV_LETTERS}]', '', 'g')) AS own FROM texts)
@@ -191,7 +212,7 @@ SELECT id, CASE WHEN lower(style) LIKE 'heading%' OR lower(style) LIKE 'title%'
 crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 bytes AS (SELECT term, list_transform(range(length(hex(encode(term))) // 2), lambda i: CAST('0x' || substr(hex(encode(term)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM terms)
 SELECT term, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) & 2147483647 AS token_id FROM bytes, crc""",
-    "document_chunks": _packed(f"SELECT doc_id, 1 AS part, 1 AS page, '' AS section, flatten(list_transform({_sentences(_BODY)}, lambda x: CASE WHEN length(x) > {S.chunk_size} THEN {_wrapped('x')} ELSE [x] END)) AS s FROM documents", "doc_id"),
+    "document_chunks": _packed(_chunk_lists("documents"), "doc_id"),
     "dense_two_phase": f"""WITH {_VECTORS}, tops AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS m FROM unit),
 codes AS (SELECT vec_id, list_transform(v, lambda x: round(x / CASE WHEN m = 0 THEN 1 ELSE m END * 127)) AS v FROM tops), coded AS (SELECT vec_id, {_UNIT} AS v FROM codes),
 coarse AS (SELECT q.vec_id AS item_id, c.vec_id, round(list_inner_product(c.v, q.v), 6) AS score FROM benchmark b JOIN unit q ON q.vec_id = b.item_id CROSS JOIN coded c),
@@ -211,5 +232,5 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(1 AS INTEGER) AS page, text, ocr
     "user_turns": f"""WITH t AS (SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN ' ' || text ELSE text || '?' END AS original, CASE item_id % 3 WHEN 0 THEN 'Hindi' WHEN 1 THEN 'hindi (Latin)' ELSE 'English' END AS language FROM benchmark)
 SELECT item_id, 'Passages:' || chr(10) || chr(10) || '[1] ' || text || chr(10) || chr(10) || '---' || chr(10) || 'Question: ' || text || CASE WHEN {_strip('original')} <> {_strip('text')} THEN chr(10) || '(Asked as: ' || original || ')' ELSE '' END
   || chr(10) || chr(10) || 'Answer in ' || language || '.' AS turn, CASE WHEN lower(language) LIKE 'hindi%' THEN '{NOTHING_FOUND['Hindi']}' ELSE '{NOTHING_FOUND['English']}' END AS nothing FROM t""",
-    "safe_names": rf"WITH {_TEXTS} SELECT origin, id, regexp_replace(substr(text, 1, 60), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}.\-{_DEV} ]+', '_', 'g') AS name FROM texts",
+    "safe_names": rf"WITH {_TEXTS} SELECT origin, id, regexp_replace(text, '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}.\-{_DEV} ]+', '_', 'g') AS name FROM texts",
 }

@@ -6,13 +6,12 @@ benchmark item for a question, an events row for a request.
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafstack import scratch
 from leafstack.functions import text as tx
 from leafstack.functions.quality import page_quality
 from leafstack.functions.vectors import l2_normalize
@@ -209,7 +208,7 @@ def user_turns(spark, sf):
 
 
 def safe_names(spark, sf):
-    return _texts(spark, sf).select("origin", "id", tx.safe_name(F.substring("text", 1, 60)).alias("name"))
+    return _texts(spark, sf).select("origin", "id", tx.safe_name(F.col("text")).alias("name"))
 
 
 def _legs(spark, sf, sources=None):
@@ -318,28 +317,13 @@ def skip_ingested(spark, sf):
 def delete_doc(spark, sf):
     """A store of all documents as pages, without those of one source."""
     docs = _read(spark, sf, "documents")
-    store = Store(spark, _scratch(spark))
+    store = Store(spark, scratch.folder(spark, "store"))
     pages = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), "text", F.lit(False).alias("ocr"))
     store.replace(pages, {"pages": pages})
     store.delete_documents(docs.where("source = 'src0'").select(F.col("doc_id").cast("string").alias("doc_id")))
     return store.table("pages").select("doc_id", "page", F.md5("text").alias("md5"))
 
 
-def _scratch(spark) -> str:
-    """A folder for one query's store: on the shared storage that the cluster names, else in the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/leafstack-store/{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
-def _forget(spark, path: str) -> None:
-    try:
-        Store(spark, path)._delete(path)
-    except Exception:  # noqa: BLE001  the session may already be gone
-        return
-
-
 def rate_limit_decisions(spark, sf):
     hits = _read(spark, sf, "events").select("user_id", "event_id", "ts")
     return decisions(hits, "user_id", "ts", "event_id", limit=2, seconds=6 * 3600).select("user_id", "event_id", "admitted", F.coalesce("retry_after", F.lit(0)).alias("retry_after"))
