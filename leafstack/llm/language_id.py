@@ -10,13 +10,11 @@ Symbols are letters of the labelled text without case; every run of other charac
 labelled text has match nothing. The commonest letters are a symbol each and the others two, so tables stay narrow
 however many letters there are. Training takes a bounded sample: of each language, among the labelled documents of at most
 ``symbols`` code points, the ``rows`` with the smallest hash of their id, of those the whole texts that together have up to
-``symbols`` code points, in that order.
-Prediction reads whole texts.
+``symbols`` code points, in that order; where all are longer, a part of the shortest one. Prediction reads whole texts.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0; so is every text if nothing is labelled;
 ties go to the language that sorts first; an empty table gives an empty table; repeated rows get equal predictions;
-other columns are not read. A language all of whose labelled texts are longer than ``symbols`` is not learned; more than
-``langs`` languages are an error.
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -218,20 +216,25 @@ def _held(model: Model) -> Model:
 
 
 def train(df: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 64, symbols: int = 20_000, langs: int = 400) -> Model:
-    """Fit on the labelled rows of ``df`` (non-null ``lang``); at most ``rows`` whole texts of a language reach the driver."""
-    labelled = df.where(F.col(lang).isNotNull() & F.col(ident).isNotNull() & (F.length(text) <= symbols))
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(ident), ident))
-    chosen = labelled.select(ident, lang).withColumn("rank", rank).where(F.col("rank") <= rows)
-    if df.where(F.col(lang).isNotNull()).select(lang).distinct().limit(langs + 1).count() > langs:
-        raise ValueError(f"more than {langs} languages")
-    # at most rows x langs ids of a few bytes, so the broadcast has a fixed bound
-    found = labelled.select(ident, text).join(F.broadcast(chosen), ident).groupBy(lang, "rank").agg(F.min(text).alias("t")).collect()
+    """Fit on the labelled rows of ``df`` (non-null ``lang``); at most ``rows`` texts of a language reach the driver.
+
+    Texts are taken whole while they fit into ``symbols`` code points a language. A language whose texts are all longer is
+    learned from that many code points of its shortest one. Beyond ``langs`` languages each gets a smaller share of
+    ``symbols`` x ``langs``, so the model stays as large. Of rows that repeat an id with one language the least text counts.
+    """
+    labelled = df.where(F.col(lang).isNotNull() & F.col(ident).isNotNull() & F.col(text).isNotNull())
+    each = symbols * langs // max(langs, labelled.select(lang).distinct().count())
+    sized = labelled.select(ident, lang, F.greatest(F.length(text) - each, F.lit(0)).alias("over"))
+    rank = F.row_number().over(Window.partitionBy(lang).orderBy("over", F.xxhash64(ident), ident))
+    chosen = sized.withColumn("rank", rank).where((F.col("rank") <= rows) & ((F.col("over") == 0) | (F.col("rank") == 1))).select(ident, lang, "rank")
+    # at most ``rows`` ids of a few bytes a language
+    found = labelled.select(ident, lang, text).join(F.broadcast(chosen), [ident, lang]).groupBy(lang, "rank").agg(F.substring(F.min(text), 1, each).alias("t")).collect()
     by_lang: dict[str, list[str]] = {}
     room: dict[str, int] = {}
     for r in sorted(found, key=lambda r: (r[lang], r["rank"])):
-        if len(r["t"]) <= room.get(r[lang], symbols):
+        if len(r["t"]) <= room.get(r[lang], each):
             by_lang.setdefault(r[lang], []).append(r["t"])
-            room[r[lang]] = room.get(r[lang], symbols) - len(r["t"])
+            room[r[lang]] = room.get(r[lang], each) - len(r["t"])
     counts = Counter(c for ts in by_lang.values() for t in ts for c in t.lower() if c.isalpha())
     letters = "".join(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])))
     model = Model(letters, (), ())

@@ -4,7 +4,7 @@ A template is aligned with every window of a text that can hold enough of its wo
 anchors, the longest increasing run of anchors is kept, and the gaps between anchors are aligned in the same way. The
 share of the template's words that the alignment covers decides.
 
-A window starts at any word and is a quarter longer than the template. No alignment matches a word more often than window
+A window starts at any word and is long enough for a foreign word behind every word of the template. No alignment matches a word more often than window
 and template both have it; the sum of that over all words is a bound that running sums give for all windows of a batch,
 and only windows whose bound reaches the coverage are aligned. So no notice is missed for where it stands or which of its
 words are changed, and texts without notices cost little. Nothing is shuffled.
@@ -140,7 +140,7 @@ class Scanner:
         self.templates = [words_of(text)[0] for _, text in templates]
         self.least = least
         self.need = [max(1, ceil(least * len(t) - 1e-9)) for t in self.templates]
-        self.reach = [len(t) + len(t) // 4 + 2 for t in self.templates]
+        self.reach = [2 * len(t) + 2 for t in self.templates]
         self.code = {w: i + 1 for i, w in enumerate(sorted({w for t in self.templates for w in t}))}
         self.times = np.zeros((len(templates), len(self.code) + 1), np.int64)
         for k, t in enumerate(self.templates):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -34,6 +36,62 @@ def test_counterfactual_pairs_lower_the_weight_of_a_mention(spark):
     assert held.score(toxic).mean() > 0.5 and (held.score(toxic) >= 0.3).all()
 
 
+def slow_score(model, text):
+    """The score by dictionaries, a word at a time."""
+    found = set()
+    for unit in re.split(r"[\x20\x09-\x0D]+", text or ""):
+        word = re.sub(r"^[\W_]+|[\W_]+$", "", unit.lower())
+        if word:
+            found |= {word} | {word[:n] + "*" for n in (4, 5, 6) if len(word) > n}
+    return 1 / (1 + math.exp(-min(40, max(-40, model.base + sum(model.weights.get(f, 0.0) for f in found)))))
+
+
+def test_scores_equal_a_slow_scorer(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = toxicity_model(spark, docs, data)
+    found = {r.doc_id: r.score for r in QUERIES["op2_counterfactual_toxicity"](spark, data).collect()}
+    assert all(found[r.doc_id] == pytest.approx(slow_score(model, r.text), abs=1e-9) for r in docs.collect())
+    odd = [*ODD, *model.weights][:400]
+    assert model.scorer().score(pa.array(odd, pa.string())).tolist() == pytest.approx([slow_score(model, t) for t in odd], abs=1e-9)
+
+
+@pytest.mark.parametrize("counterfactual", [0.0, 5.0])
+def test_fit_is_where_the_slow_loss_has_no_slope(counterfactual):
+    """Log loss, ridge and squared change of the score between a row and its swapped form, added up row by row."""
+    r = random.Random(4)
+    rows = [(int(k % 3 == 0), own := sorted(r.sample(range(6), 3)), sorted(r.sample(range(6), 3)) if k % 2 else None) for k in range(24)]
+
+    def loss(x):
+        p = lambda fs: 1 / (1 + math.exp(-(x[-1] + sum(x[f] for f in fs))))
+        plain = -sum(math.log(p(own) if y else 1 - p(own)) for y, own, _ in rows) / len(rows)
+        pairs = [(own, other) for _, own, other in rows if other is not None]
+        return plain + 0.5 * 1e-2 * sum(w * w for w in x[:-1]) + counterfactual * sum((p(a) - p(b)) ** 2 for a, b in pairs) / len(pairs)
+
+    base, weights = toxicity.fit(rows, 6, counterfactual, ridge=1e-2, steps=6000)
+    at = [*weights, base]
+    for k in range(7):
+        up, down = ([v + h * (i == k) for i, v in enumerate(at)] for h in (1e-4, -1e-4))
+        assert abs(loss(up) - loss(down)) / 2e-4 < 5e-3
+        assert loss([v + 0.3 * (i == k) for i, v in enumerate(at)]) > loss(at) < loss([v - 0.3 * (i == k) for i, v in enumerate(at)])
+
+
+def test_mentions_of_found_terms_are_blamed_less(spark):
+    """Eight found terms added to each clean held-out document: fewer are called toxic with the counterfactual term."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.join(labels, "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2").select("text", "toxic").collect()
+    seen = "crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"
+    rates, caught = {}, {}
+    for c in (0.0, 5.0):
+        model = toxicity.train(docs.where(seen), labels.where(seen), counterfactual=c)
+        terms = sorted(a for a in model.swapped if a not in toxicity.swaps())
+        r = random.Random(1)
+        named = pa.array([f"{d.text} {' '.join(r.sample(terms, 8))}" for d in held if not d.toxic])
+        rates[c] = (model.scorer().score(named) >= 0.3).mean()
+        caught[c] = (model.scorer().score(pa.array([d.text for d in held if d.toxic])) >= 0.3).mean()
+    assert rates[5.0] < 0.5 * rates[0.0] and rates[5.0] < 0.015 and caught[5.0] > 0.9 and caught[5.0] >= caught[0.0] - 0.01
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     out = QUERIES["op2_counterfactual_toxicity"](spark, sf).toPandas()
@@ -188,6 +246,16 @@ def test_long_texts_do_not_keep_a_language_from_being_learned(spark):
     assert model.langs == ("de", "en") and model.predict(pa.array(["das und nicht", prose(77, 20)]))[0] == ["de", "en"]
 
 
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows = [(k, "der die das und nicht ein eine " * (900 + k), "de") for k in range(5)] + [(200 + k, prose(k, 40), "en") for k in range(20)]
+    docs = spark.createDataFrame([*rows, (200, prose(0, 40), "fr"), (300, None, "it")], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.langs == ("de", "en", "fr") and model.predict(pa.array(["das und nicht", prose(77, 20)]))[0] == ["de", "en"]
+    assert len(model.texts[0]) <= 2 * 20_000
+    few = language_id.train(docs, symbols=400, langs=1)  # more languages than ``langs`` share what it allows
+    assert few.langs == ("de", "en", "fr") and max(map(len, few.texts)) <= 2 * 133
+
+
 def test_language_of_odd_tables(spark):
     docs = frame(spark, ODD, extra=True)
     nothing = language_id.train(docs.limit(0))

@@ -66,7 +66,7 @@ def slow_scan(text, least=0.75):
     out = []
     for name, t in license_scan.TEMPLATES.items():
         template = license_scan.words_of(t)[0]
-        reach, own, hits = len(template) + len(template) // 4 + 2, Counter(template), set()
+        reach, own, hits = 2 * len(template) + 2, Counter(template), set()
         for x in range(len(words)):
             window = words[x : x + reach]
             if sum((Counter(window) & own).values()) < least * len(template):
@@ -103,6 +103,15 @@ def test_altered_notices_anywhere(before):
         assert len(hit) == 1 and hit[0][1] >= 0.8 and len(head) <= hit[0][2] < len(head) + 25
 
 
+@pytest.mark.parametrize("every", [1, 2, 3])
+def test_notices_with_foreign_words_between(every):
+    """A word after each, each second, each third word: all words of the template are there in order."""
+    for name, text in license_scan.TEMPLATES.items():
+        words = [w for k, word in enumerate(text.split()) for w in ([word, f"xq{k}"] if k % every == 0 else [word])]
+        found = {n: c for n, c, _, _ in license_scan.scan(f"{prose(1, 80)} {' '.join(words)} {prose(2, 80)}")}
+        assert found.get(name) == 1.0, name
+
+
 def test_notices_in_the_tables(spark, data):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     out = {(r.doc_id, r.license) for r in QUERIES["op5_patience_license_scan"](spark, data).collect()}
