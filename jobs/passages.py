@@ -19,13 +19,13 @@ import json
 import logging
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafstack.functions.quality import page_quality
 from leafstack.operators.chunking import chunks
+from leafstack.sources.tables import read_or_empty
 
 log = logging.getLogger("passages")
 CONFIG = Path(__file__).with_suffix(".json")
@@ -87,18 +87,8 @@ def update(spark: SparkSession, documents: str, output: str, checkpoint: str, se
     return total
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table, empty if no run has written it yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def _latest(spark: SparkSession, output: str) -> DataFrame:
-    return _read(spark, f"{output}/documents", DOCUMENT).groupBy("doc_id").agg(F.max_by(F.struct("lang", "source", "chars", "needs_ocr"), "batch").alias("d"), F.max("batch").alias("batch"))
+    return read_or_empty(spark, f"{output}/documents", DOCUMENT).groupBy("doc_id").agg(F.max_by(F.struct("lang", "source", "chars", "needs_ocr"), "batch").alias("d"), F.max("batch").alias("batch"))
 
 
 def documents(spark: SparkSession, output: str) -> DataFrame:
@@ -108,7 +98,7 @@ def documents(spark: SparkSession, output: str) -> DataFrame:
 
 def passages(spark: SparkSession, output: str) -> DataFrame:
     """The passages of the last version of each document."""
-    rows = _read(spark, f"{output}/passages", PASSAGE)
+    rows = read_or_empty(spark, f"{output}/passages", PASSAGE)
     return rows.join(_latest(spark, output).select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").select("doc_id", "lang", "chunk_index", "text", "page_start", "page_end", "section")
 
 

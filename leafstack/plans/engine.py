@@ -13,7 +13,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafstack import schemas
+from leafstack import schemas, scratch
 from leafstack.config import DEFAULTS, Settings
 from leafstack.functions.text import point_id
 from leafstack.operators.chunking import chunks as chunked
@@ -73,7 +73,7 @@ class Library:
         self.generator = generator or Failover(ExtractiveGeneration(), deadline=s.first_token_seconds)
         self.query_vectors = QueryEmbedder(self.embedding, s.embedding_cache_size)
         self.answers = TtlCache(s.answer_cache_size, s.answer_cache_seconds, clock)
-        self._held: tuple[str, tuple[DataFrame, DataFrame, DataFrame, int]] | None = None
+        self._held: tuple[tuple[str, ...], tuple[DataFrame, DataFrame, DataFrame | None, int]] | None = None
         self.jobs: dict[str, dict] = {}
         self._threads: dict[str, threading.Thread] = {}
         self._ingesting = threading.RLock()  # one ingest at a time
@@ -88,25 +88,27 @@ class Library:
             found = not_ingested(files(self.spark, path, self.s), self.store.books(), force=force)
             return self.ingest_files(found, title, category, language, progress)
 
-    def ingest_files(self, found: DataFrame, title: str, category: str = "general", language: str = "hi", progress: Callable[[str, int, int], None] = lambda *_: None) -> list[str]:
+    def ingest_files(self, found: DataFrame, title: str, category: str = "general", language: str = "hi", progress: Callable[[str, int, int], None] = lambda *_: None, tag: str | None = None) -> list[str]:
+        """Ingest files that were listed; a ``tag`` names the change, and a change with a known name is not made again."""
         with self._ingesting:
             found = found.dropDuplicates(["doc_id"])
-            books = self.store.stage(found.select("doc_id", F.lit(title).alias("title"), F.lit(category).alias("category"), F.lit(language).alias("language"), F.regexp_extract("path", r"([^/]*)\z", 1).alias("source_file")))
+            books = scratch.written(found.select("doc_id", F.lit(title).alias("title"), F.lit(category).alias("category"), F.lit(language).alias("language"), F.regexp_extract("path", r"([^/]*)\z", 1).alias("source_file")), "books")
             count = books.count()
             if not count:
                 return []
             progress("pages", 0, count)
-            pages = self.store.stage(load_pages(found, self.pdf, self.ocr, self.store, self.s))
+            pages = scratch.written(load_pages(found, self.pdf, self.ocr, self.store, self.s), "pages")
             progress("chunks", 0, count)
             parts = index_texts(chunked(pages, size=self.s.chunk_size, overlap=self.s.chunk_overlap), F.lit(title))
             points = parts.withColumn("point_id", point_id(F.col("doc_id"), F.col("chunk_index"))).join(books.drop("source_file"), "doc_id")
-            stored = self.store.stage(embed_documents(points, self.embedding, "embed_text", batch=self.s.embed_batch, in_flight=self.s.embed_in_flight).select(*schemas.POINT.names))
+            stored = scratch.written(embed_documents(points, self.embedding, "embed_text", batch=self.s.embed_batch, in_flight=self.s.embed_in_flight).select(*schemas.POINT.names), "points")
             index_text = F.concat(F.col("section"), F.lit(" "), F.col("text"))
             terms = postings(stored.select("point_id", "doc_id", index_text.alias("t")).withColumn("key", F.struct("point_id", "doc_id")), "key", F.col("t"), self.s)
             stamp = datetime.now(UTC).isoformat(timespec="seconds")
             tables = {"pages": pages, "chunks": stored, "postings": terms.select("key.point_id", "key.doc_id", "token_id", "weight"), "catalogue": catalogue_rows(pages, stored, books, stamp)}
             ids = [r.doc_id for r in books.select("doc_id").orderBy("doc_id").collect()]  # one a file that was handed in
-            self.store.replace(books, tables)
+            self.store.replace(books, tables, tag)
+            scratch.drop(books, pages, stored)
             self.clear_cache()
             progress("done", count, count)
             return ids
@@ -166,21 +168,23 @@ class Library:
             return planner.plans(q, rewritten, s=self.s).first().asDict()
         return row
 
-    def _index(self) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    def _index(self) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
         """Chunks, postings, document frequencies and the number of chunks; a library of few chunks is kept in memory.
 
-        What is kept is that of one manifest, and is dropped when the store has another.
+        What is kept is that of one version of the store, and is dropped when the store has another. Of a large library the
+        frequencies are counted with each question, from the postings of its terms.
         """
-        key = json.dumps(self.store.manifest(), sort_keys=True)
+        key = self.store.version()
         if self._held is None or self._held[0] != key:
-            if self._held is not None:
+            if self._held is not None and self._held[1][2] is not None:
                 for table in self._held[1][:3]:
                     table.unpersist()
-            count = self.store.count()
-            tables = [self.store.chunks(), self.store.postings(), self.store.document_frequency()]
+            count, points, terms, frequency = self.store.count(), self.store.chunks(), self.store.postings(), None
             if count <= self.s.held_chunks:
-                tables = [t.coalesce(self.spark.sparkContext.defaultParallelism).persist() for t in tables]
-            self._held = key, (*tables, count)
+                few = self.spark.sparkContext.defaultParallelism
+                points, terms = points.coalesce(few).persist(), terms.coalesce(few).persist()
+                frequency = terms.groupBy("token_id").agg(F.count("*").alias("df")).coalesce(few).persist()
+            self._held = key, (points, terms, frequency, count)
         return self._held[1]
 
     def retrieve(self, question: str, history: list[dict] | None = None, doc_ids: list[str] | None = None, top_k: int | None = None) -> dict:
@@ -203,11 +207,13 @@ class Library:
         """All legs of all queries of a plan, fused into one ranking."""
         from leafstack.operators.dense import dense_topk
         from leafstack.operators.fusion import only_documents, reciprocal_rank_fusion
-        from leafstack.operators.sparse import best, sparse_topk
+        from leafstack.operators.sparse import best, query_ids, sparse_topk
 
         points, terms, frequency, total = self._index()
-        if doc_ids and total > self.s.held_chunks:  # the buckets of those documents alone
-            points, terms = self.store.chunks(doc_ids), self.store.postings(doc_ids)
+        if total > self.s.held_chunks:  # the folders of those documents and of the questions' terms alone
+            points = self.store.chunks(doc_ids) if doc_ids else points
+            ids = asked.select(F.explode(query_ids(F.col("question"))).alias("t")).distinct().collect()  # of a few short questions
+            terms = self.store.postings([r.t for r in ids])
         among = F.col("doc_id").isin(*doc_ids) if doc_ids else None
         dense = dense_topk(only_documents(points, "doc_id", doc_ids), asked, "point_id", "leg", "dense", self.s.prefetch_k)
         sparse = sparse_topk(terms, asked, total, "point_id", "leg", F.col("question"), self.s.prefetch_k, among, frequency)

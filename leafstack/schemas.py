@@ -31,7 +31,6 @@ POINT = _of(
     "page_start int, page_end int, text string, dense array<float>"
 )
 POSTING = _of("point_id string, doc_id string, token_id long, weight double")
-TERM = _of("token_id long, df long")
 BOOK = _of(
     "doc_id string, title string, category string, language string, source_file string, pages int, chunks int, ocr_pages int, ingested_at string"
 )

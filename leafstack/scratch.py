@@ -40,15 +40,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and read back: later plans read it instead of computing it again, also after the loss of an executor."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._leafstack_scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that no plan reads any more."""
+    for t in tables:
+        if path := getattr(t, "_leafstack_scratch", None):
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
 
 
 def clear() -> None:
     while _PATHS:
-        spark, path = _PATHS.pop()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+            _delete(*_PATHS.pop())
         except Exception:  # noqa: BLE001  the session may already be gone
             return
 

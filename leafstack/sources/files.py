@@ -15,6 +15,7 @@ from leafstack import schemas
 from leafstack.config import DEFAULTS, Settings
 from leafstack.functions.quality import page_quality
 from leafstack.functions.text import content_id, is_heading, normalize, strip
+from leafstack.scratch import written
 
 SUFFIXES = ("pdf", "docx", "txt", "md")
 
@@ -25,11 +26,16 @@ def files(spark: SparkSession, path: str, s: Settings = DEFAULTS) -> DataFrame:
     A file that is too large is an error at once, from the listing alone; a suffix that is not known is one when read.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    if large := raw.select("path", "length").where(F.col("length") > s.max_upload_bytes).first():
+    if large := too_large(raw, s).first():
         raise ValueError(f"file too large ({large.length} bytes, at most {s.max_upload_bytes}): {large.path}")
     return identified(raw)
 
 
+def too_large(raw: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """path, length of the files that are refused; their content is not read."""
+    return raw.select("path", "length").where(F.col("length") > s.max_upload_bytes)
+
+
 def identified(raw: DataFrame) -> DataFrame:
     suffix = F.lower(F.regexp_extract("path", r"\.([^./\\]+)\z", 1))
     known = F.when(suffix.isin(*SUFFIXES), suffix).otherwise(F.raise_error(F.concat(F.lit("unsupported file type: "), F.col("path"))))
@@ -159,7 +165,7 @@ def load_pages(found: DataFrame, pdf=None, ocr=None, store=None, s: Settings = D
             raise ValueError("OCR of all pages needs a provider")
         layer = pdf.pages(rest).select("doc_id", "page", normalize(F.col("text")).alias("text"), F.lit(False).alias("ocr"))
         return out.unionByName(layer.where(strip(F.col("text")) != ""))
-    layer = store.stage(pdf.pages(rest).select("doc_id", "page", "text", "image"))
+    layer = written(pdf.pages(rest).select("doc_id", "page", "text", "image"), "layer")
     routed = ocr_routing(layer, mode=s.ocr_mode, share=s.ocr_share)
     store.remember_ocr(ocr_missing(routed, store.ocr_cache(), ocr, s.ocr_model))
     return out.unionByName(with_ocr(routed, store.ocr_cache(), s.ocr_model))
