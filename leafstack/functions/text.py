@@ -86,9 +86,10 @@ def split_sentences(paragraph: Column) -> Column:
     return F.filter(F.transform(F.split(paragraph, SENTENCE_END), strip), lambda s: s != "")
 
 
-def tokenize(text: Column) -> Column:
-    """Index terms in order, repeats included."""
-    plain = F.translate(nfc(F.lower(text)), CHANDRABINDU + NUKTA, ANUSVARA)
+def tokenize(text: Column, composed: bool = False) -> Column:
+    """Index terms in order, repeats included; ``composed`` says that the text without case is in composed form already."""
+    low = F.lower(text)
+    plain = F.translate(low if composed else nfc(low), CHANDRABINDU + NUKTA, ANUSVARA)
     return F.filter(F.regexp_extract_all(plain, F.lit(f"({TERM})"), F.lit(1)), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 

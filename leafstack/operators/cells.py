@@ -18,10 +18,20 @@ from leafstack.operators.dense import QUERY_BLOCK, _unit
 from leafstack.operators.sparse import best
 
 
+#: Bytes of the sample that centres are made from, as doubles.
+SAMPLE_BYTES = 256 << 20
+
+
 def centres(vectors: DataFrame, ident: str, vector: str = "embedding", cells: int = 256, sample: int = 65_536, rounds: int = 10) -> np.ndarray:
-    """Unit centres of at most ``cells`` cells, by spherical k-means of the ``sample`` vectors with the smallest hash of their id."""
-    chosen = vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(ident), ident).limit(sample).select(vector).collect()
-    points = _unit(np.array([r[0] for r in chosen], np.float64)) if chosen else np.zeros((0, 1))
+    """Unit centres of at most ``cells`` cells, by spherical k-means of the ``sample`` vectors with the smallest hash of their id.
+
+    The sample comes as Arrow arrays; wide vectors make it smaller, so that it has at most ``SAMPLE_BYTES``.
+    """
+    some = vectors.where(F.col(vector).isNotNull())
+    width = some.select(F.size(vector).alias("n")).first()
+    sample = min(sample, SAMPLE_BYTES // (8 * max(1, width.n if width else 1)))
+    column = some.select(F.col(vector).cast("array<float>").alias("v"), F.xxhash64(ident).alias("h"), F.col(ident).alias("i")).orderBy("h", "i").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    points = _unit(column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)) if len(column) else np.zeros((0, 1))
     out = points[: min(cells, len(points))].copy()
     for _ in range(rounds if len(out) else 0):
         nearest = (points @ out.T).argmax(axis=1)

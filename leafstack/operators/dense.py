@@ -43,6 +43,11 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, ident: str, query: str, v
     return best(out, query, ident, k)
 
 
+def stated_topk(vectors: DataFrame, asked: dict[str, list[float]], ident: str, query: str, vector: str = "embedding", k: int = DEFAULTS.prefetch_k) -> DataFrame:
+    """As ``dense_topk``, for a few queries that are at hand."""
+    return best(_block(vectors, list(asked.items()), "string", ident, query, vector, k), query, ident, k)
+
+
 def _block(vectors: DataFrame, held: list, query_type: str, ident: str, query: str, vector: str, k: int) -> DataFrame:
     names = np.array([q for q, _ in held])
     matrix = _unit(np.array([v for _, v in held], np.float64)) if held else np.zeros((0, 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,14 @@ def reciprocal_rank_fusion(legs: list[DataFrame], query: str, ident: str, k: int
     return together.groupBy(query, ident).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("score"))
 
 
+def fused_ranks(ranks: Iterable[tuple[str, int]], limit: int, k: int = DEFAULTS.rrf_k) -> list[tuple[str, float]]:
+    """The same for the few (ident, rank) that the legs of one question gave: the best ``limit`` with their scores."""
+    scores: dict[str, float] = {}
+    for ident, rank in ranks:
+        scores[ident] = scores.get(ident, 0.0) + 1.0 / (k + rank)
+    return sorted(((i, round(x, 6)) for i, x in scores.items()), key=lambda x: (-x[1], x[0]))[:limit]
+
+
 def only_documents(df: DataFrame, column: str, doc_ids: list | None) -> DataFrame:
     """Rows of the named documents; no list and an empty list mean all."""
     return df.where(F.col(column).isin(*doc_ids)) if doc_ids else df

@@ -9,6 +9,7 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
+from unicodedata import normalize
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ from leafstack.config import DEFAULTS, Settings
 from leafstack.functions.text import point_id
 from leafstack.operators.chunking import chunks as chunked
 from leafstack.operators.chunking import index_texts
-from leafstack.operators.fusion import sources
-from leafstack.operators.sparse import postings
+from leafstack.operators import dense, sparse
+from leafstack.operators.fusion import fused_ranks, only_documents
+from leafstack.operators.sparse import document_frequency, postings, query_ids, sparse_topk
 from leafstack.plans import planner, prompts
 from leafstack.plans.providers import ExtractiveGeneration, Failover, HashEmbedding, NoRewrite, OcrReader, QueryEmbedder, embed_documents
 from leafstack.sources.files import files, load_pages
@@ -73,7 +75,8 @@ class Library:
         self.generator = generator or Failover(ExtractiveGeneration(), deadline=s.first_token_seconds)
         self.query_vectors = QueryEmbedder(self.embedding, s.embedding_cache_size)
         self.answers = TtlCache(s.answer_cache_size, s.answer_cache_seconds, clock)
-        self._held: tuple[tuple[str, ...], tuple[DataFrame, DataFrame, DataFrame | None, int]] | None = None
+        self._held: tuple[tuple[str, ...], tuple[DataFrame, DataFrame | None, int]] | None = None
+        self._expressions: tuple | None = None
         self.jobs: dict[str, dict] = {}
         self._threads: dict[str, threading.Thread] = {}
         self._ingesting = threading.RLock()  # one ingest at a time
@@ -155,36 +158,53 @@ class Library:
 
     # ------------------------------------------------------------ search
 
+    def _stated(self, *rows: tuple, names: str) -> DataFrame:
+        """A few given rows. They are part of the plan, so expressions over them are worked out with it and no job runs."""
+        marks = ", ".join(f"({', '.join(f':v{i}_{j}' for j in range(len(row)))})" for i, row in enumerate(rows))
+        return self.spark.sql(f"SELECT * FROM VALUES {marks} AS t({names})", args={f"v{i}_{j}": v for i, row in enumerate(rows) for j, v in enumerate(row)})
+
+    def _planned(self, question: str, messages: int, answer: str | None) -> dict:
+        if self._expressions is None:  # they are the same for every question, and take longer to make than to work out
+            self._expressions = (*planner.plan_columns(s=self.s), query_ids(F.col("question"), composed=True).alias("ids"))
+        read, made, _ = self._expressions
+        q = self._stated((0, question, messages, answer or ""), names="query_id, question, messages, answer")
+        return q.select(*read).select(*made).collect()[0].asDict()
+
     def plan(self, question: str, history: list[dict] | None = None) -> dict:
         history = history or []
-        q = self.spark.createDataFrame([(0, question, len(history), history)], "query_id int, question string, messages int, history array<struct<role:string,content:string>>")
-        row = planner.plans(q, s=self.s).first().asDict()
+        row = self._planned(question, len(history), None)
         if history or row["answer_language"] != "Hindi":  # what ``needs_rewrite`` says of a question that stands as it is
             try:
-                earlier = q.select(prompts.history_text(F.col("history"), self.s).alias("h")).first().h if history else "(none)"
-                rewritten = self.spark.createDataFrame([(0, self.rewriter.rewrite(earlier, question))], "query_id int, answer string")
+                answer = self.rewriter.rewrite(self._earlier(history), question)
             except Exception:  # noqa: BLE001  search goes on with the question itself
                 return row
-            return planner.plans(q, rewritten, s=self.s).first().asDict()
+            return self._planned(question, len(history), answer) if answer else row
         return row
 
-    def _index(self) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
-        """Chunks, postings, document frequencies and the number of chunks; a library of few chunks is kept in memory.
+    def _earlier(self, history: list[dict]) -> str:
+        if not history:
+            return "(none)"
+        rows = self.spark.createDataFrame([(history,)], "history array<struct<role:string,content:string>>")
+        return rows.select(prompts.history_text(F.col("history"), self.s).alias("h")).first().h
+
+    def _index(self) -> tuple[DataFrame, DataFrame | None, int]:
+        """Chunks, postings with idf x weight, and the number of chunks; a library of few chunks is kept in memory.
 
-        What is kept is that of one version of the store, and is dropped when the store has another. Of a large library the
-        frequencies are counted with each question, from the postings of its terms.
+        What is kept is that of one version of the store, and is dropped when the store has another. For a large library the
+        postings are None: each question reads those of its terms.
         """
         key = self.store.version()
         if self._held is None or self._held[0] != key:
-            if self._held is not None and self._held[1][2] is not None:
-                for table in self._held[1][:3]:
+            if self._held is not None and self._held[1][1] is not None:
+                for table in self._held[1][:2]:
                     table.unpersist()
-            count, points, terms, frequency = self.store.count(), self.store.chunks(), self.store.postings(), None
+            count, points, terms = self.store.count(), self.store.chunks(), None
             if count <= self.s.held_chunks:
-                few = self.spark.sparkContext.defaultParallelism
-                points, terms = points.coalesce(few).persist(), terms.coalesce(few).persist()
-                frequency = terms.groupBy("token_id").agg(F.count("*").alias("df")).coalesce(few).persist()
-            self._held = key, (points, terms, frequency, count)
+                few = min(self.spark.sparkContext.defaultParallelism, 1 + count // 2000)
+                postings_of = self.store.postings()
+                weighted = postings_of.join(document_frequency(postings_of, count), "token_id").select("point_id", "doc_id", "token_id", (F.col("idf") * F.col("weight")).alias("impact"))
+                points, terms = points.coalesce(few).persist(), weighted.coalesce(few).persist()
+            self._held = key, (points, terms, count)
         return self._held[1]
 
     def retrieve(self, question: str, history: list[dict] | None = None, doc_ids: list[str] | None = None, top_k: int | None = None) -> dict:
@@ -194,31 +214,37 @@ class Library:
         times["plan_ms"], t = (clock() - t) * 1000, clock()
         vectors = self.query_vectors(plan["queries"])
         times["embed_ms"], t = (clock() - t) * 1000, clock()
-        rows = [(f"{k}", q, v) for k, (q, v) in enumerate(zip(plan["queries"], vectors))]
-        asked = self.spark.createDataFrame(rows, "leg string, question string, dense array<double>")
-        found = self._search(asked, doc_ids, top_k)
-        payload = self._index()[0].select("point_id", "doc_id", "title", "section", "page_start", "page_end", "text")
-        best = sources(found, payload, "one", "point_id").orderBy("n").collect()
+        best = self._search(plan["queries"], vectors, doc_ids, top_k or self.s.top_k)
+        names = ("doc_id", "title", "section", "page_start", "page_end", "text")
+        points = self._index()[0]
+        rows = {r.point_id: r for r in points.where(F.col("point_id").isin([p for p, _ in best])).select("point_id", *names).collect()} if best else {}
+        found = []
+        for n, (point, score) in enumerate(best, 1):
+            r = rows[point]
+            found.append({"n": n, "doc_id": r.doc_id, "title": r.title, "section": r.section or "", "page_start": r.page_start, "page_end": r.page_end, "score": round(score, 4), "text": r.text or ""})
         times["search_ms"] = (clock() - t) * 1000
-        names = ("n", "doc_id", "title", "section", "page_start", "page_end", "score", "text")
-        return {"plan": plan, "sources": [{k: r[k] for k in names} for r in best], "timings": times}
-
-    def _search(self, asked: DataFrame, doc_ids: list[str] | None, top_k: int | None) -> DataFrame:
-        """All legs of all queries of a plan, fused into one ranking."""
-        from leafstack.operators.dense import dense_topk
-        from leafstack.operators.fusion import only_documents, reciprocal_rank_fusion
-        from leafstack.operators.sparse import best, query_ids, sparse_topk
-
-        points, terms, frequency, total = self._index()
-        if total > self.s.held_chunks:  # the folders of those documents and of the questions' terms alone
+        return {"plan": plan, "sources": found, "timings": times}
+
+    def _term_ids(self, queries: list[str]) -> dict[str, list[int]]:
+        """The term ids of each query, by its leg."""
+        rows = [(str(k), normalize("NFC", q.lower())) for k, q in enumerate(queries)]
+        return {r.leg: list(r.ids) for r in self._stated(*rows, names="leg, question").select("leg", self._expressions[2]).collect()}
+
+    def _search(self, queries: list[str], vectors: list[list[float]], doc_ids: list[str] | None, top_k: int) -> list[tuple[str, float]]:
+        """point_id and score of the best: all legs of all queries of a plan, each of at most ``prefetch_k`` rows, fused into one ranking."""
+        points, terms, total = self._index()
+        asked, k = self._term_ids(queries), self.s.prefetch_k
+        if terms is None:  # the folders of the documents and of the questions' terms alone
             points = self.store.chunks(doc_ids) if doc_ids else points
-            ids = asked.select(F.explode(query_ids(F.col("question"))).alias("t")).distinct().collect()  # of a few short questions
-            terms = self.store.postings([r.t for r in ids])
-        among = F.col("doc_id").isin(*doc_ids) if doc_ids else None
-        dense = dense_topk(only_documents(points, "doc_id", doc_ids), asked, "point_id", "leg", "dense", self.s.prefetch_k)
-        sparse = sparse_topk(terms, asked, total, "point_id", "leg", F.col("question"), self.s.prefetch_k, among, frequency)
-        legs = [leg.withColumn("one", F.lit(0)) for leg in (dense, sparse)]
-        return best(reciprocal_rank_fusion(legs, "one", "point_id", self.s.rrf_k), "one", "point_id", top_k or self.s.top_k)
+            rows = self.spark.createDataFrame(list(zip(asked, queries)), "leg string, question string")
+            among = F.col("doc_id").isin(*doc_ids) if doc_ids else None
+            wanted = sorted({t for ids in asked.values() for t in ids})
+            by_term = sparse_topk(self.store.postings(wanted), rows, total, "point_id", "leg", F.col("question"), k, among)
+        else:
+            by_term = sparse.stated_topk(only_documents(terms, "doc_id", doc_ids), asked, "point_id", "leg", k)
+        by_vector = dense.stated_topk(only_documents(points, "doc_id", doc_ids), dict(zip(asked, vectors)), "point_id", "leg", "dense", k)
+        ranks = by_vector.select("point_id", "rank").unionByName(by_term.select("point_id", "rank")).collect()
+        return fused_ranks([(r.point_id, r["rank"]) for r in ranks], top_k, self.s.rrf_k)
 
     def search(self, query: str, doc_ids: list[str] | None = None, top_k: int | None = None) -> dict:
         out = self.retrieve(checked(query, top_k=top_k, most=50, blank=True), None, doc_ids, top_k)

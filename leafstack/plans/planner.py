@@ -29,25 +29,32 @@ def query_list(standalone: Column, rewrites: Column, s: Settings = DEFAULTS) ->
 def plans(questions: DataFrame, rewritten: DataFrame | None = None, ident: str = "query_id", question: str = "question", messages: str = "messages", s: Settings = DEFAULTS) -> DataFrame:
     """ident, standalone, queries array, answer_language, rewritten boolean.
 
-    ``rewritten`` (ident, answer string: JSON) is what a rewriting provider gave for the rows of ``needs_rewrite``; a
-    missing or unreadable answer leaves the question as it is.
+    ``rewritten`` (ident, answer string: JSON) is what a rewriting provider gave for the rows of ``needs_rewrite``; the rows
+    can have it themselves as a column answer. A missing or unreadable answer leaves the question as it is.
     """
+    if rewritten is not None:
+        questions = questions.join(rewritten.select(ident, "answer"), ident, "left")
+    elif "answer" not in questions.columns:
+        questions = questions.withColumn("answer", F.lit(None).cast("string"))
+    read, made = plan_columns(ident, question, messages, s)
+    return questions.select(*read).select(*made)
+
+
+def plan_columns(ident: str = "query_id", question: str = "question", messages: str = "messages", s: Settings = DEFAULTS) -> tuple[list[Column], list[Column]]:
+    """The two steps of ``plans``, for rows that have an answer: what is read of a row, and what is made of it."""
     q = strip(F.col(question))
-    base = questions.select(ident, q.alias("q"), needs_rewrite(q, F.col(messages)).alias("asks"))
-    if rewritten is None:
-        base = base.withColumn("r", F.lit(None).cast(f"struct<{REWRITE_TYPE.replace(' ', ':').replace(',:', ',')}>"))
-    else:
-        base = base.join(rewritten.select(ident, F.from_json("answer", REWRITE_TYPE).alias("r")), ident, "left")
+    read = [F.col(ident), q.alias("q"), needs_rewrite(q, F.col(messages)).alias("asks"), F.from_json("answer", REWRITE_TYPE).alias("r")]
     filled = lambda c: F.when(c != "", c)
     used = F.col("asks") & F.col("r").isNotNull() & F.coalesce(F.col("r.standalone_question"), F.to_json("r.search_queries"), F.col("r.answer_language")).isNotNull()
     standalone = F.when(used, strip(F.coalesce(filled(F.col("r.standalone_question")), F.col("q")))).otherwise(F.col("q"))
-    return base.select(
-        ident,
+    made = [
+        F.col(ident),
         standalone.alias("standalone"),
         query_list(standalone, F.when(used, F.col("r.search_queries")), s).alias("queries"),
         F.when(used, F.coalesce(filled(F.col("r.answer_language")), own_language(F.col("q")))).otherwise(own_language(F.col("q"))).alias("answer_language"),
         used.alias("rewritten"),
-    )
+    ]
+    return read, made
 
 
 def answer_key(question: Column, doc_ids: Column, top_k: Column, s: Settings = DEFAULTS) -> Column:

@@ -304,9 +304,10 @@ def catalog_upsert(spark, sf):
 
 
 def catalog_by_title(spark, sf):
-    """The catalogue's listing order, as a number."""
+    """The catalogue's listing, one page of titles, with their places."""
     books = _read(spark, sf, "documents").groupBy(F.col("source").alias("title")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("chunks"))
-    return by_title(books).withColumn("place", F.monotonically_increasing_id()).select("title", "chunks", F.dense_rank().over(Window.orderBy("place")).alias("place"))
+    page = by_title(books).agg(F.array_sort(F.collect_list(F.struct("title", "doc_id", "chunks"))).alias("page"))
+    return page.select(F.posexplode("page").alias("at", "b")).select("b.title", "b.chunks", (F.col("at") + 1).alias("place"))
 
 
 def skip_ingested(spark, sf):
