@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafstack.functions.vectors import int8_codes, l2_normalize
 from leafstack.operators.dense import dense_topk, two_phase_topk, with_codes
 from leafstack.operators.fusion import hybrid_search, only_documents, reciprocal_rank_fusion, sources
-from leafstack.operators.limits import decisions
+from leafstack.operators.limits import decisions, with_stretches
 from leafstack.operators.sparse import postings, query_ids, sparse_topk
 
 TEXTS = [(1, "red fox jumps high"), (2, "red red fox"), (3, "blue whale swims"), (4, ""), (5, None), (6, "the of and")]
@@ -137,3 +137,37 @@ def test_limiter_forgets_rejected_hits(spark):
     assert all(r.admitted for r in decisions(hits, "c", "t", "k", 0, 60).collect())
     many = spark.range(30_000).select(F.lit(None).cast("long").alias("c"), F.col("id").alias("k"), (F.col("id") / 100).alias("t"))
     assert many.count() == 30_000 and decisions(many, "c", "t", "k", 5, 60).where("admitted").count() == 25
+
+
+def slow_decisions(hits, limit, seconds):
+    """Every hit against a list of the admitted ones."""
+    out, admitted = {}, {}
+    for client, k, t in sorted(hits, key=lambda h: (str(h[0]), h[2], h[1])):
+        recent = [a for a in admitted.setdefault(client, []) if a >= t - seconds]
+        out[client, k] = len(recent) < limit
+        if out[client, k]:
+            admitted[client].append(t)
+    return out
+
+
+def test_a_client_is_cut_at_gaps_into_stretches(spark):
+    """One client with most of the hits: the same decisions as one by one, and work for many tasks."""
+    rng, hits, t = np.random.default_rng(8), [], 0.0
+    for k in range(6000):
+        t += float(rng.choice([0.0, 1.0, 7.0, 20.0, 60.0, 60.5, 400.0], p=[0.2, 0.3, 0.3, 0.14, 0.02, 0.02, 0.02]))
+        hits.append((None if k % 50 == 0 else 1 if k % 3 else 2, k, t))
+    hits += [(3, 10_000 + k, 5.0 * k) for k in range(2000)]  # no gap at all
+    hits += [(4, 20_000 + k, 61.0 * k) for k in range(500)]  # nothing but gaps
+    df = spark.createDataFrame(hits, "c long, k long, t double").repartition(3)
+    found = decisions(df, "c", "t", "k", 3, 60)
+    assert {(r.c, r.k): r.admitted for r in found.collect()} == slow_decisions(hits, 3, 60)
+    stretches = with_stretches(df.withColumn("_s", F.col("t")), "c", "k", 60)
+    number = {r.c: r.n for r in stretches.groupBy("c").agg(F.countDistinct("_start").alias("n")).collect()}
+    assert number[3] == 1 and number[4] == 500 and number[1] > 50
+    merging = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = found.where("c = 1").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merging)
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
