@@ -1,13 +1,16 @@
 """Pages into section-aware, overlapping chunks with the pages they came from.
 
-Paragraphs, sections and sentences are expressions and one window; only the packing of sentences, which depends on where
-the last chunk ended, runs on a document's rows in Arrow. Window and packing share one shuffle by document.
+Paragraphs, sections and sentences are expressions and one window. The packing of sentences depends on where the last chunk
+ended; it reads the window's rows in order, as a stream in Arrow batches, and holds the sentences of one chunk, so a document
+takes no memory however long it is. Window and packing share one shuffle by document.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from itertools import accumulate, groupby
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -53,17 +56,38 @@ def wrapped(sentence: str, size: int) -> list[str]:
     return out
 
 
-def packs(lengths: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
-    """Ranges of sentences: as many as fit in ``size`` with a blank after each (at least one), then back by what fits in ``overlap``."""
-    ends = list(accumulate((n + 1 for n in lengths), initial=0))
-    out, start, n = [], 0, len(lengths)
-    while start < n:
-        stop = max(start + 1, bisect_right(ends, ends[start] + size) - 1)
-        out.append((start, stop))
-        if stop == n:
-            break
-        start = min(stop, max(start + 1, bisect_left(ends, ends[stop] - overlap - 1)))
-    return out
+class Packer:
+    """Sentences of one section, one by one, into chunks.
+
+    A chunk takes as many as fit in ``size`` with a blank after each (at least one); the next one goes back by what fits in
+    ``overlap``, but starts at least one sentence later.
+    """
+
+    def __init__(self, size: int, overlap: int):
+        self.size, self.overlap, self.held, self.chars = size, overlap, deque(), 0
+
+    def add(self, sentence: str, page: int) -> Iterator[tuple[str, int, int]]:
+        """(text, first page, last page) of the chunks that end before this sentence."""
+        while self.held and self.chars + len(sentence) + 1 > self.size:
+            yield self._chunk()
+            self._drop()
+            while self.chars > self.overlap + 1:
+                self._drop()
+        self.held.append((sentence, page))
+        self.chars += len(sentence) + 1
+
+    def end(self) -> Iterator[tuple[str, int, int]]:
+        """The last chunk of the section."""
+        if self.held:
+            yield self._chunk()
+            self.held.clear()
+            self.chars = 0
+
+    def _drop(self) -> None:
+        self.chars -= len(self.held.popleft()[0]) + 1
+
+    def _chunk(self) -> tuple[str, int, int]:
+        return " ".join(s for s, _ in self.held), self.held[0][1], self.held[-1][1]
 
 
 def chunks(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text", size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap) -> DataFrame:
@@ -72,18 +96,40 @@ def chunks(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str
     kind = rows.schema[doc].dataType.simpleString()
     names = [doc, *CHUNK.names[1:]]
 
-    def pack(table: pa.Table) -> pa.Table:
-        found, ident = [], table.column(doc)[0].as_py() if table.num_rows else None
-        ordered = sorted(table.to_pylist(), key=lambda r: (r["section_no"], r["page"], r["para"]))
-        for _, paras in groupby(ordered, key=lambda r: r["section_no"]):
-            paras = list(paras)
-            pieces = [(s, r["page"]) for r in paras for whole in r["sentences"] for s in (wrapped(whole, size) if len(whole) > size else [whole])]
-            for a, b in packs([len(s) for s, _ in pieces], size, overlap):
-                found.append((ident, len(found), " ".join(s for s, _ in pieces[a:b]), pieces[a][1], pieces[b - 1][1], paras[0]["section"]))
-        types = [table.schema.field(doc).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 6, types)], names=names)
-
-    return rows.groupBy(doc).applyInArrow(pack, f"`{doc}` {kind}, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CHUNK.fields[1:]))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, now, number, out, types = Packer(size, overlap), None, 0, [], None
+
+        def take(found: Iterator[tuple[str, int, int]]) -> None:
+            nonlocal number
+            for chunk, first, last in found:
+                out.append((now[0], number, chunk, first, last, now[2]))
+                number += 1
+
+        def table() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [[]] * len(names)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        for b in batches:
+            types = [b.schema.field(doc).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            columns = (b.column(c).to_pylist() for c in (doc, "section_no", "section", "page"))
+            for ident, part, title, at, sentences in zip(*columns, b.column("sentences")):
+                if now is None or (ident, part) != now[:2]:
+                    take(packer.end())
+                    number = number if now is not None and ident == now[0] else 0
+                    now = (ident, part, title)
+                for whole in sentences.as_py():
+                    for s in wrapped(whole, size) if len(whole) > size else [whole]:
+                        take(packer.add(s, at))
+                if len(out) >= 1024:
+                    yield table()
+        if now is not None:
+            take(packer.end())
+            yield table()
+
+    # the window has dealt out the documents and put their rows in this order; sections follow it
+    ordered = rows.sortWithinPartitions(doc, "page", "para").drop("para")
+    return ordered.mapInArrow(pack, f"`{doc}` {kind}, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CHUNK.fields[1:]))
 
 
 def index_texts(found: DataFrame, title: Column, s: Settings = DEFAULTS) -> DataFrame:

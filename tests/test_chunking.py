@@ -3,7 +3,7 @@ from __future__ import annotations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leafstack.operators.chunking import chunks, packs, sections, wrapped
+from leafstack.operators.chunking import Packer, chunks, sections, wrapped
 
 
 def slow_packs(lengths, size, overlap):
@@ -28,7 +28,11 @@ def slow_packs(lengths, size, overlap):
 @given(st.lists(st.integers(1, 60), max_size=40), st.integers(10, 120), st.integers(0, 60))
 @settings(max_examples=300, deadline=None)
 def test_packs_follow_the_rule(lengths, size, overlap):
-    found = packs(lengths, size, overlap)
+    packer, sentences = Packer(size, overlap), [f"{i:03}" + "x" * n for i, n in enumerate(lengths)]
+    lengths = [len(s) for s in sentences]
+    made = [c for i, s in enumerate(sentences) for c in packer.add(s, i)] + list(packer.end())
+    found = [(a, b + 1) for _, a, b in made]
+    assert [text for text, _, _ in made] == [" ".join(sentences[a:b]) for a, b in found] and not packer.held and list(packer.end()) == []
     assert found == slow_packs(lengths, size, overlap)
     assert [i for a, b in found for i in range(a, b)] == sorted(i for a, b in found for i in range(a, b)) or overlap
     assert {i for a, b in found for i in range(a, b)} == set(range(len(lengths)))
@@ -81,3 +85,28 @@ def test_document_chunks_by_hand(spark, data):
         for k, (a, b) in enumerate(slow_packs([len(p) for p in pieces], 1100, 220)):
             want[d.doc_id, k] = " ".join(pieces[a:b])
     assert {(r.doc_id, r.chunk_index): r.text for r in document_chunks(spark, data).collect()} == want
+
+
+def test_a_long_document_is_read_as_a_stream(spark):
+    """Sections and pages of a document of many sentences, between others: one shuffle, rows in order, the sentences of one chunk held."""
+    pages = [("b", p, "\n\n".join([f"# Part {p // 40}"] * (p % 40 == 0) + [f"Sentence {p} {k} is here." for k in range(30)])) for p in range(400)]
+    pages += [(d, 1, f"Only page of {d}. It ends.") for d in ("a", "c")] + [(None, 1, "No name. It is a document, too.")]
+    df = spark.createDataFrame(pages, "doc_id string, page int, text string").repartition(7)
+    out = chunks(df, size=200, overlap=50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "MapInArrow" in plan and "FlatMapGroups" not in plan
+    found = sorted((r for r in out.collect() if r.doc_id == "b"), key=lambda r: r.chunk_index)
+    want, number = [], 0
+    for part in range(10):
+        pieces = [(f"Sentence {p} {k} is here.", p) for p in range(40 * part, 40 * part + 40) for k in range(30)]
+        for a, b in slow_packs([len(s) for s, _ in pieces], 200, 50):
+            want.append((number, " ".join(s for s, _ in pieces[a:b]), pieces[a][1], pieces[b - 1][1], f"Part {part}"))
+            number += 1
+    assert [(r.chunk_index, r.text, r.page_start, r.page_end, r.section) for r in found] == want
+    assert {r.doc_id: r.text for r in out.collect() if r.doc_id != "b"} == {"a": "Only page of a. It ends.", "c": "Only page of c. It ends.", None: "No name. It is a document, too."}
+
+    packer, most = Packer(1100, 220), 0
+    for k in range(100_000):
+        list(packer.add("A sentence of some words.", k))
+        most = max(most, len(packer.held))
+    assert most <= 1100 // 26
