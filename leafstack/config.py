@@ -15,6 +15,7 @@ class Settings:
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
     rrf_k: int = 60
+    coarse: int = 4
     max_history_turns: int = 6
     rewrite_messages: int = 4
     message_chars: int = 1500

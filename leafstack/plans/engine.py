@@ -8,6 +8,7 @@ import threading
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 from unicodedata import normalize
 
@@ -104,7 +105,8 @@ class Library:
             progress("chunks", 0, count)
             parts = index_texts(chunked(pages, size=self.s.chunk_size, overlap=self.s.chunk_overlap), F.lit(title))
             points = parts.withColumn("point_id", point_id(F.col("doc_id"), F.col("chunk_index"))).join(books.drop("source_file"), "doc_id")
-            stored = scratch.written(embed_documents(points, self.embedding, "embed_text", batch=self.s.embed_batch, in_flight=self.s.embed_in_flight).select(*schemas.POINT.names), "points")
+            embedded = embed_documents(points, self.embedding, "embed_text", batch=self.s.embed_batch, in_flight=self.s.embed_in_flight)
+            stored = scratch.written(dense.with_codes(embedded, "dense").select(*schemas.POINT.names), "points")
             index_text = F.concat(F.col("section"), F.lit(" "), F.col("text"))
             terms = postings(stored.select("point_id", "doc_id", index_text.alias("t")).withColumn("key", F.struct("point_id", "doc_id")), "key", F.col("t"), self.s)
             stamp = datetime.now(UTC).isoformat(timespec="seconds")
@@ -210,7 +212,10 @@ class Library:
     def retrieve(self, question: str, history: list[dict] | None = None, doc_ids: list[str] | None = None, top_k: int | None = None) -> dict:
         clock, times = time.perf_counter, {}
         t = clock()
-        plan = self.plan(question.strip(), history)
+        with ThreadPoolExecutor(1) as pool:  # the question itself is embedded while it is being rewritten
+            early = pool.submit(self.query_vectors, [question.strip()])
+            plan = self.plan(question.strip(), history)
+            early.exception()  # an error comes again below, if that vector is needed
         times["plan_ms"], t = (clock() - t) * 1000, clock()
         vectors = self.query_vectors(plan["queries"])
         times["embed_ms"], t = (clock() - t) * 1000, clock()
@@ -234,15 +239,16 @@ class Library:
         """point_id and score of the best: all legs of all queries of a plan, each of at most ``prefetch_k`` rows, fused into one ranking."""
         points, terms, total = self._index()
         asked, k = self._term_ids(queries), self.s.prefetch_k
-        if terms is None:  # the folders of the documents and of the questions' terms alone
+        if terms is None:  # the folders of the documents and of the questions' terms alone, and codes before vectors
             points = self.store.chunks(doc_ids) if doc_ids else points
-            rows = self.spark.createDataFrame(list(zip(asked, queries)), "leg string, question string")
+            rows = self.spark.createDataFrame(list(zip(asked, queries, vectors)), "leg string, question string, dense array<double>")
+            by_vector = dense.two_phase_topk(only_documents(points, "doc_id", doc_ids), rows, "point_id", "leg", "dense", k, self.s.coarse * k)
             among = F.col("doc_id").isin(*doc_ids) if doc_ids else None
             wanted = sorted({t for ids in asked.values() for t in ids})
             by_term = sparse_topk(self.store.postings(wanted), rows, total, "point_id", "leg", F.col("question"), k, among)
         else:
             by_term = sparse.stated_topk(only_documents(terms, "doc_id", doc_ids), asked, "point_id", "leg", k)
-        by_vector = dense.stated_topk(only_documents(points, "doc_id", doc_ids), dict(zip(asked, vectors)), "point_id", "leg", "dense", k)
+            by_vector = dense.stated_topk(only_documents(points, "doc_id", doc_ids), dict(zip(asked, vectors)), "point_id", "leg", "dense", k)
         ranks = by_vector.select("point_id", "rank").unionByName(by_term.select("point_id", "rank")).collect()
         return fused_ranks([(r.point_id, r["rank"]) for r in ranks], top_k, self.s.rrf_k)
 

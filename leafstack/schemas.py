@@ -14,6 +14,7 @@ _TYPES: dict[str, T.DataType] = {
     "timestamp": T.TimestampType(),
     "binary": T.BinaryType(),
     "array<float>": T.ArrayType(T.FloatType()),
+    "array<tinyint>": T.ArrayType(T.ByteType()),
 }
 
 
@@ -28,7 +29,7 @@ PAGE_QUALITY = _of("chars int, orphan_ratio double, virama_matra int, i_matra_ra
 CHUNK = _of("doc_id string, chunk_index int, text string, page_start int, page_end int, section string")
 POINT = _of(
     "point_id string, doc_id string, title string, category string, language string, chunk_index int, section string, "
-    "page_start int, page_end int, text string, dense array<float>"
+    "page_start int, page_end int, text string, dense array<float>, codes array<tinyint>"
 )
 POSTING = _of("point_id string, doc_id string, token_id long, weight double")
 BOOK = _of(

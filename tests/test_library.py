@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from leafstack import schemas
 from leafstack.config import Settings
 from leafstack.functions.text import is_heading
+from leafstack.operators import dense as dense_op
 from leafstack.plans import planner, prompts
 from leafstack.plans.access import Access, access
 from leafstack.plans.engine import InvalidRequest, Library, TtlCache, checked
@@ -118,7 +119,7 @@ def posts_of(spark, *rows):
 
 
 def points_of(spark, *docs):
-    rows = [(f"{d}:0", d, "T", "c", "en", 0, "", 1, 1, t, [1.0]) for d, t in docs]
+    rows = [(f"{d}:0", d, "T", "c", "en", 0, "", 1, 1, t, [1.0], [127]) for d, t in docs]
     return spark.createDataFrame(rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.POINT.fields))
 
 
@@ -455,6 +456,29 @@ def test_from_files_to_answers(spark, tmp_path):
     assert lib.delete(ids[0]) and not lib.delete(ids[0]) and lib.ready() == {"chunks": 1, "books": 1}
 
 
+def test_a_large_library_is_searched_from_its_folders(spark, tmp_path):
+    """Nothing is held: postings of the asked terms, codes for all chunks and vectors for few, and the same answers."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+    topics = ["rivers run to the sea", "tea is steeped in water", "cups are made of porcelain", "mountains wear snow", "birds sing at dawn"]
+    for k in range(10):
+        (landing / f"{k}.txt").write_text("\f".join(f"## Part {j}\n\n{topics[(k + j) % 5]}, as page {j} of book {k} says at some length." for j in range(6)))
+    held, large = Library(spark, str(tmp_path / "lib")), Library(spark, str(tmp_path / "lib"), Settings(held_chunks=0))
+    ids = held.ingest(str(landing), "Books", language="en")
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "x.txt").write_text("Rivers freeze in winter.")
+    held.ingest(str(tmp_path / "more"), "More", language="en")
+    assert held.delete(ids[3]) and held.ready() == large.ready() == {"chunks": 55, "books": 10}
+    for question in ("where do rivers run", "porcelain cups", "nothing of this kind"):
+        one, two = held.search(question, top_k=8)["sources"], large.search(question, top_k=8)["sources"]
+        assert [(s["n"], s["doc_id"], s["text"], s["score"]) for s in one] == [(s["n"], s["doc_id"], s["text"], s["score"]) for s in two] and one
+        assert [s["text"] for s in held.search(question, doc_ids=ids[:2])["sources"]] == [s["text"] for s in large.search(question, doc_ids=ids[:2])["sources"]]
+    points = large._index()[0]
+    plan = dense_op.dense_topk(points, spark.createDataFrame([("0", [1] * 768)], "leg string, codes array<tinyint>"), "point_id", "leg", "codes", 9)._jdf.queryExecution().executedPlan().toString()
+    assert "codes:array<tinyint>" in plan and "dense:array" not in plan
+    assert all(len(r.codes) == 768 and max(map(abs, r.codes)) == 127 for r in points.select("codes").collect())
+
+
 def test_streams(spark, tmp_path, caplog):
     from datetime import datetime, timedelta
 
