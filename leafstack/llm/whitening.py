@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,19 +56,20 @@ class Whitening:
         return self.centred(x) @ self.vectors / np.sqrt(self.values)
 
 
-def integers(df: DataFrame, vector: str, *keep: str) -> DataFrame:
-    """``keep`` and x array<long>, of the rows whose vector is not null and has finite entries only."""
-    c = F.transform(F.col(vector), lambda v: v.cast("double"))
-    bad = F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return df.where(F.col(vector).isNotNull() & ~bad).select(*keep, F.transform(c, lambda v: F.least(F.greatest(F.floor(v * SCALE).cast("long"), F.lit(-BEYOND)), F.lit(BEYOND)) + OFFSET).alias("x"))
+def integers(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a list array, the places of vectors with ``d`` finite entries, and their integers."""
+    at = np.nonzero(pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False) == d)[0]
+    values = column.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), d)  # null is NaN
+    whole = np.isfinite(values).all(axis=1)
+    return at[whole], np.clip(np.floor(SCALE * values[whole]), -BEYOND, BEYOND).astype(np.int64) + OFFSET
 
 
-def _matrix(b: pa.RecordBatch) -> np.ndarray:
-    return b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)
+def _vectors(df: DataFrame, vector: str) -> DataFrame:
+    return df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"))
 
 
-def _summed(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int], kind: str) -> np.ndarray:
-    """The sum of ``part(x)`` over all rows, a matrix of that shape: one partial sum a task, added up row by row in tasks.
+def _summed(rows: DataFrame, d: int, part: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int], kind: str) -> np.ndarray:
+    """The sum of ``part(x)`` over the integers x of all whole vectors, a matrix of that shape: one partial sum a task, added up row by row in tasks.
 
     What reaches the driver is the matrix. Partial sums are added in the order of their tasks, so that it always is the same.
     """
@@ -76,7 +78,7 @@ def _summed(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], shape: tu
         total = np.zeros(shape, kind)
         for b in batches:
             for i in range(0, b.num_rows, 4096):
-                total += part(_matrix(b.slice(i, 4096)))
+                total += part(integers(b.column("v").slice(i, 4096), d)[1])
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(range(shape[0]), pa.int32()), pa.array([task] * shape[0], pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], names=["row", "task", "numbers"])
 
@@ -87,7 +89,7 @@ def _summed(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], shape: tu
                 sums[row] = sums.get(row, 0) + np.frombuffer(numbers.as_buffer(), kind)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["row", "numbers"])
 
-    parts = rows.select("x").mapInArrow(partial, "row int, task int, numbers binary")
+    parts = rows.mapInArrow(partial, "row int, task int, numbers binary")
     found = parts.repartition("row").sortWithinPartitions("row", "task").mapInArrow(add, "row int, numbers binary").collect()
     out = np.zeros(shape, kind)
     for r in found:
@@ -96,9 +98,19 @@ def _summed(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], shape: tu
 
 
 def _dimension(rows: DataFrame) -> tuple[int, int]:
-    """The commonest length of a vector (the smaller one of equally common ones), and how many rows have it."""
-    largest = F.array_max(F.transform("x", F.abs))
-    counts = rows.where(F.size("x") > 0).groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max(largest).alias("most"))
+    """The commonest length of a whole vector (the smaller one of equally common ones), and how many rows have it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[int, int]] = {}
+        for b in batches:
+            for d in pc.unique(pc.list_value_length(b.column("v"))).to_pylist():
+                x = integers(b.column("v"), d)[1] if d else None
+                if x is not None and len(x):
+                    n, most = seen.get(d, (0, 0))
+                    seen[d] = n + len(x), max(most, int(np.abs(x).max()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], names=["d", "n", "most"])
+
+    counts = rows.mapInArrow(count, "d int, n long, most long").groupBy("d").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
     top = counts.agg(F.max(F.struct("n", (-F.col("d")).alias("d"), "most")).alias("t")).first().t
     if top is None:
         return 0, 0
@@ -116,12 +128,11 @@ def fit(df: DataFrame, vector: str = "embedding", components: int = 32, oversamp
     are some basis of their span.
     """
     arrow_batches(df.sparkSession)
-    rows = integers(df, vector)
+    rows = _vectors(df, vector)
     d, n = _dimension(rows)
     if not d:
         return Whitening(0, np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), 0.0, 0, 0)
-    rows = rows.where(F.size("x") == d)
-    sums = _summed(rows, lambda x: x.sum(axis=0)[None, :], (1, d), "<i8")[0]
+    sums = _summed(rows, d, lambda x: x.sum(axis=0)[None, :], (1, d), "<i8")[0]
     centre = Whitening(n, sums, np.zeros((d, 0)), np.zeros(0), 0.0, 0, 0)
 
     def times(q: np.ndarray) -> np.ndarray:
@@ -129,9 +140,9 @@ def fit(df: DataFrame, vector: str = "embedding", components: int = 32, oversamp
             c = centre.centred(x)
             return c.T @ (c @ q)
 
-        return _summed(rows, part, q.shape, "<f8") / n
+        return _summed(rows, d, part, q.shape, "<f8") / n
 
-    trace = float(_summed(rows, lambda x: np.array([[np.square(centre.centred(x)).sum()]]), (1, 1), "<f8")[0, 0]) / n
+    trace = float(_summed(rows, d, lambda x: np.array([[np.square(centre.centred(x)).sum()]]), (1, 1), "<f8")[0, 0]) / n
     draw = np.random.default_rng(seed)
     wanted, width, left, passes = min(components, d), min(d, components + oversample), power, 0
     q = np.linalg.qr(draw.standard_normal((d, width)))[0]
@@ -166,14 +177,14 @@ def whitened(df: DataFrame, model: Whitening, ident: str = "vec_id", vector: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 4096):
+            for i in range(0, whole.num_rows if d else 0, 4096):
                 b = whole.slice(i, 4096)
-                x = _matrix(b)
+                at, x = integers(b.column("v"), d)
                 out = model.project(x)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), out.shape[1]).cast(pa.list_(pa.float64())) if out.shape[1] else pa.array([[]] * b.num_rows, pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([b.column(ident), pa.array(_deviations(model.n * x - model.sums), pa.int64()), lists], names=[ident, "deviation", "whitened"])
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), out.shape[1]).cast(pa.list_(pa.float64())) if out.shape[1] else pa.array([[]] * len(at), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([b.column("i").take(pa.array(at)), pa.array(_deviations(model.n * x - model.sums), pa.int64()), lists], names=[ident, "deviation", "whitened"])
 
-    rows = integers(df.select(ident, vector), vector, ident).where(F.size("x") == d if d else F.lit(False))
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(ident).alias("i"), F.col(vector).alias("v"))
     return rows.mapInArrow(run, T.StructType([df.schema[ident], T.StructField("deviation", T.LongType()), T.StructField("whitened", T.ArrayType(T.DoubleType()))]))
 
 
@@ -189,13 +200,13 @@ def identity_error(df: DataFrame, model: Whitening, vector: str = "embedding") -
     k, d = len(model.values), len(model.sums)
     if not k:
         return None
-    rows = integers(df, vector).where(F.size("x") == d)
+    rows = _vectors(df, vector)
 
     def part(x: np.ndarray) -> np.ndarray:
         w = model.project(x)
         return np.vstack([w.T @ w, w.sum(axis=0), np.full(k, len(w))])
 
-    total = _summed(rows, part, (k + 2, k), "<f8")
+    total = _summed(rows, d, part, (k + 2, k), "<f8")
     if not total[k + 1, 0]:
         return None
     mean = total[k] / total[k + 1, 0]
