@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafstack.llm import simhash
@@ -148,15 +148,26 @@ def _leads(met: DataFrame) -> DataFrame:
 
 
 def _unlinked(met: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, large: int) -> DataFrame:
-    """Pairs a, b of nodes that share a key, have different roots, and pass both sketches."""
+    """Pairs a, b of nodes that share a key, have different roots, and pass both sketches.
+
+    The rows of the root that a key has most often need not meet each other: they are dealt to chunks, and only the key's
+    other rows are copied to each of these; those are also dealt to pairs of chunks of their own.
+    """
     rooted = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    chunked = rooted.join(open_keys.select("key", F.ceil(F.col("n") / large).cast("int").alias("chunks")), "key")
-    chunked = chunked.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    units = dealt.select(unit.alias("unit"), side.alias("side"), "node", "root").join(nodes.select("node", "size", "sketch", "whole"), "node")
+    by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    by_key = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("hub"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    chunks = lambda n: F.ceil(n / large).cast("int")
+    open_keys = by_key.select("key", F.col("hub.root").alias("hub"), chunks(F.col("hub.n")).alias("hubs"), chunks(F.col("all") - F.col("hub.n")).alias("rests"))
+    placed = rooted.join(open_keys, "key").withColumn("in_hub", F.col("root") == F.col("hub"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("in_hub"), F.col("hubs")).otherwise(F.col("rests"))).cast("int"))
+    units_of = lambda count, unit: F.transform(F.sequence(F.lit(0), F.col(count) - 1), unit)
+    unit = lambda kind, i, j, side: F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("unit"), side.cast("int").alias("side"))
+    own, side = F.col("own"), lambda o: F.when(F.col("own") == o, 0).when(F.col("own") < o, 1).otherwise(2)
+    to_rest = units_of("rests", lambda o: unit(0, own, o, F.lit(1)))
+    to_hub = units_of("hubs", lambda o: unit(0, o, own, F.lit(2)))
+    among = units_of("rests", lambda o: unit(1, F.least(own, o), F.greatest(own, o), side(o)))
+    dealt = placed.withColumn("u", F.explode(F.when(F.col("in_hub"), to_rest).otherwise(F.concat(to_hub, among))))
+    units = dealt.select("u.unit", "u.side", "node", "root").join(nodes.select("node", "size", "sketch", "whole"), "node")
     most = most_bits(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +288,9 @@ def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", n:
     rows = written(_sketched(df, ident, text, n), "sketches")
     first = [F.first(c, ignorenulls=True).alias(c) for c in ("size", "bands", "sketch", "whole")]
     nodes = written(rows.where("bands IS NOT NULL").groupBy("node").agg(F.min("source").alias("source"), *first), "nodes")
-    together = F.count("*").over(Window.partitionBy("key"))
-    met = written(_keys(nodes).withColumn("together", together).where("together > 1"), "met")
+    keys = _keys(nodes)
+    shared = keys.groupBy("key").agg(F.count("*").alias("together")).where("together > 1")
+    met = written(keys.join(shared, "key"), "met")
     leads = written(_candidates(_leads(met), nodes, percent / 100), "leads")
     links = _confirmed(df, nodes, leads, text, n, percent)
     more = written(_unlinked(met, nodes, components(links), percent / 100, large), "unlinked")
