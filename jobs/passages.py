@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from leafstack.functions.quality import page_quality
 from leafstack.operators.chunking import chunks
-from leafstack.sources.tables import read_or_empty
+from leafstack.sources.tables import read_or_empty, stream_path
 
 log = logging.getLogger("passages")
 CONFIG = Path(__file__).with_suffix(".json")
@@ -64,12 +64,6 @@ def add(batch: DataFrame, number: int, output: str, settings: dict) -> dict[str,
     return n
 
 
-def _either(path: str) -> str:
-    """A pattern for exactly this path: a stream takes only a folder by its plain name, but a pattern may also name one file."""
-    plain = path.rstrip("/")
-    return path if any(c in path for c in "*?[{") else f"{plain[:-1]}[{plain[-1]}]"
-
-
 def update(spark: SparkSession, documents: str, output: str, checkpoint: str, settings: dict | None = None) -> dict[str, int]:
     """Take what is new at ``documents``, a folder, a pattern or a file; the numbers of batches, of rows read, and of documents and passages written."""
     settings = json.loads(CONFIG.read_text()) | (settings or {})
@@ -80,7 +74,7 @@ def update(spark: SparkSession, documents: str, output: str, checkpoint: str, se
             total[name] += n
         total["batches"] += 1
 
-    stream = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", settings["files_per_batch"]).parquet(_either(documents))
+    stream = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", settings["files_per_batch"]).parquet(stream_path(documents))
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     log.info("read %d new rows of %s in %d batches", total["read"], documents, total["batches"])

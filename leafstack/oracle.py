@@ -6,7 +6,7 @@ from leafstack.config import DEFAULTS as S
 from leafstack.functions.quality import FREQUENT_WORDS
 from leafstack.functions.text import POINT_NAMESPACE, STOPWORDS
 from leafstack.plans.prompts import NOTHING_FOUND
-from leafstack.queries import HEADINGS, LITERALS, REWRITES, SMALL, SOURCES
+from leafstack.queries import BOOK, BY_HAND, HEADINGS, LAID_OUT, LITERALS, REWRITES, SMALL, SOURCES, STYLES
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 _FREQUENT = "[" + ", ".join(f"'{w}'" for w in FREQUENT_WORDS) + "]"
@@ -141,6 +141,32 @@ SELECT item_id, CAST(coalesce(hits, 0) AS INTEGER) AS hits, 'Passages:' || chr(1
   CASE WHEN hits IS NULL THEN '{NOTHING_FOUND['English']}' END AS reply, 'benchmark' AS question_set FROM benchmark LEFT JOIN shown USING (item_id)"""
 
 
+_LINES = f"""whole AS (SELECT doc_id, string_split(CASE WHEN doc_id % 3 = 0 THEN translate(text, '{SMALL}', '{SMALL.upper()}') ELSE text END, chr(10)) AS l FROM documents),
+zipped AS (SELECT doc_id, unnest(list_zip(l, range(len(l)))) AS z FROM whole),
+lines AS (SELECT doc_id, z[2] AS para, z[1] AS text, {list(STYLES)}[(doc_id + z[2]) % {len(STYLES)} + 1] AS style FROM zipped)"""
+
+
+def _heading(text: str, style: str) -> str:
+    letters = rf"length(regexp_replace({text}, '[^\p{{L}}]', '', 'g'))"
+    return rf"""CASE WHEN lower({style}) LIKE 'heading%' OR lower({style}) LIKE 'title%' THEN true WHEN length({text}) > 90 OR regexp_matches({text}, '[.,;:]$') THEN false
+  WHEN {letters} < 2 THEN false WHEN length(regexp_replace({text}, '[^\p{{Lu}}]', '', 'g')) >= 0.9 * {letters} THEN true
+  ELSE lower({style}) = 'center' AND length({text}) <= 60 AND NOT regexp_matches({text}, '[?!]$') END"""
+
+
+def _devanagari(x: str) -> str:
+    return rf"coalesce(length(regexp_replace({x}, '[^{_DEV_LETTERS}]', '', 'g')) / nullif(length(regexp_replace({x}, '[^\p{{L}}\p{{M}}]', '', 'g')), 0) >= 0.3, false)"
+
+
+_CONTEXT = """SELECT item_id, string_agg('[' || rank || '] ' || d.source || CASE WHEN d.lang = 'en' THEN '' ELSE ' | ' || d.lang END || ' | ' || CASE WHEN d.doc_id % 2 = 0 THEN 'p. 1' ELSE 'pp. 1-2' END || chr(10)
+  || substr(d.text, 1, 700) || CASE WHEN length(d.text) > 700 THEN '…' ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS context FROM sparse JOIN documents d USING (doc_id) GROUP BY item_id"""
+
+_LIMITS = """WITH RECURSIVE h AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, t, k, true AS admitted, CAST(NULL AS INTEGER) AS retry_after, [t] AS recent FROM h WHERE k = 1
+  UNION ALL
+  SELECT user_id, event_id, t, k, len(w) < 2, CASE WHEN len(w) >= 2 THEN CAST(floor(21600 - (t - w[1]) / 1e6) AS INTEGER) + 1 END, CASE WHEN len(w) < 2 THEN list_append(w, t) ELSE w END
+  FROM (SELECT h.user_id, h.event_id, h.t, h.k, list_filter(f.recent, lambda x: x >= h.t - 21600000000) AS w FROM f JOIN h ON h.user_id = f.user_id AND h.k = f.k + 1))
+SELECT user_id, event_id, admitted, coalesce(retry_after, 0) AS retry_after FROM f"""
+
 SQL: dict[str, str] = {
     "normalize_text": f"WITH {_TEXTS} SELECT origin, id, {_normal('text')} AS normal FROM texts",
     "is_devanagari_share": rf"""WITH {_TEXTS}, n AS (SELECT *, length(regexp_replace(text, '[^\p{{L}}\p{{M}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^{_DEV_LETTERS}]', '', 'g')) AS own FROM texts)
@@ -171,9 +197,7 @@ SELECT vec_id, CAST(z[2] AS INTEGER) AS "at", round(z[1], 6) AS x FROM (SELECT v
 SELECT item_id, vec_id, round(sum(1.0 / ({S.rrf_k} + CAST(rank AS DOUBLE))), 6) AS score FROM (SELECT item_id, vec_id, rank FROM one UNION ALL SELECT item_id, vec_id, rank FROM two) GROUP BY ALL""",
     "hybrid_search": _hybrid("true", "true"),
     "hybrid_search_filtered": _hybrid(*(f"{c} IN (SELECT doc_id FROM documents WHERE source IN {SOURCES})" for c in ("u.vec_id", "doc_id"))),
-    "format_context": f"""WITH {_sparse(S.top_k)}
-SELECT item_id, string_agg('[' || rank || '] ' || d.source || CASE WHEN d.lang = 'en' THEN '' ELSE ' | ' || d.lang END || ' | ' || CASE WHEN d.doc_id % 2 = 0 THEN 'p. 1' ELSE 'pp. 1-2' END || chr(10)
-  || substr(d.text, 1, 700) || CASE WHEN length(d.text) > 700 THEN '…' ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS context FROM sparse JOIN documents d USING (doc_id) GROUP BY item_id""",
+    "format_context": f"WITH {_sparse(S.top_k)} {_CONTEXT}",
     "rewrite_history": f"WITH {_BACK} SELECT conv_id, string_agg(role || ': ' || substr(text, 1, {S.message_chars}), chr(10) ORDER BY turn) AS history FROM back WHERE k <= {S.rewrite_messages} GROUP BY conv_id",
     "generation_history": f"WITH {_BACK} SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'model' ELSE 'user' END AS role, substr(text, 1, {S.message_chars}) AS content FROM back WHERE k <= {2 * S.max_history_turns}",
     "plan_fast_path": rf"""WITH q AS (SELECT 'conversations' AS origin, conv_id AS id, arg_max(text, turn) AS question, count(*) - 1 AS messages FROM conversations GROUP BY conv_id
@@ -182,7 +206,7 @@ s AS (SELECT *, {_strip('question')} AS b FROM q),
 d AS (SELECT *, coalesce(length(regexp_replace(b, '[^{_DEV_LETTERS}]', '', 'g')) / nullif(length(regexp_replace(b, '[^\p{{L}}\p{{M}}]', '', 'g')), 0) >= 0.3, false) AS dev FROM s)
 SELECT origin, id, messages = 0 AND dev AS fast, b AS standalone, CASE WHEN dev THEN 'Hindi' ELSE 'English' END AS answer_language, false AS rewritten, b AS first_query FROM d""",
     "query_list_dedupe": f"""WITH r AS (SELECT CAST(id AS BIGINT) AS id, q, r FROM (VALUES {REWRITES}) AS t(id, q, r)
-  UNION ALL SELECT item_id + 1000, text, text || '|' || substr(text, 1, 20) || '| |' || substr(text, 1, 20) || '|x' FROM benchmark),
+  UNION ALL SELECT item_id + 1000, text, text || '|' || lower(text) || '| |' || lower(text) || '|x' FROM benchmark),
 e AS (SELECT id, q AS x, 0 AS pos FROM r UNION ALL SELECT id, trim(z[1]), CAST(z[2] AS BIGINT) FROM (SELECT id, unnest(list_zip(string_split(r, '|'), range(1, len(string_split(r, '|')) + 1))) AS z FROM r) WHERE trim(z[1]) <> ''),
 f AS (SELECT id, x, min(pos) AS pos FROM e GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM f)
 SELECT id, string_agg(x, '|' ORDER BY n) AS queries FROM k WHERE n <= {S.max_queries} GROUP BY id""",
@@ -196,18 +220,37 @@ CAST(count(*) FILTER (role = 'user') AS INTEGER) AS chunks, CAST(count(*) FILTER
     "catalog_by_title": "SELECT source AS title, count(*) AS chunks, CAST(row_number() OVER (ORDER BY source) AS INTEGER) AS place FROM documents GROUP BY source",
     "skip_ingested": "SELECT doc_id, lang FROM documents WHERE lang <> 'en'",
     "delete_doc": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(1 AS INTEGER) AS page, md5(text) AS md5 FROM documents WHERE source <> 'src0'",
-    "rate_limit_decisions": """WITH RECURSIVE h AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-f AS (SELECT user_id, event_id, t, k, true AS admitted, CAST(NULL AS INTEGER) AS retry_after, [t] AS recent FROM h WHERE k = 1
-  UNION ALL
-  SELECT user_id, event_id, t, k, len(w) < 2, CASE WHEN len(w) >= 2 THEN CAST(floor(21600 - (t - w[1]) / 1e6) AS INTEGER) + 1 END, CASE WHEN len(w) < 2 THEN list_append(w, t) ELSE w END
-  FROM (SELECT h.user_id, h.event_id, h.t, h.k, list_filter(f.recent, lambda x: x >= h.t - 21600000000) AS w FROM f JOIN h ON h.user_id = f.user_id AND h.k = f.k + 1))
-SELECT user_id, event_id, admitted, coalesce(retry_after, 0) AS retry_after FROM f""",
-    "docx_headings": rf"""WITH starts AS (SELECT doc_id, substr(text, 1, 30 + doc_id % 70) AS s FROM documents),
-t AS (SELECT CAST(id AS BIGINT) AS id, text, style FROM (VALUES {HEADINGS}) AS t(id, text, style)
-  UNION ALL SELECT doc_id + 1000, CASE WHEN doc_id % 3 = 0 THEN translate(s, '{SMALL}', '{SMALL.upper()}') ELSE s END, ['Normal', 'Center', 'Heading 3', 'Body'][doc_id % 4 + 1] FROM starts)
-SELECT id, CASE WHEN lower(style) LIKE 'heading%' OR lower(style) LIKE 'title%' THEN true WHEN length(text) > 90 OR regexp_matches(text, '[.,;:]$') THEN false
-  WHEN length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) < 2 THEN false WHEN length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) >= 0.9 * length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) THEN true
-  ELSE lower(style) = 'center' AND length(text) <= 60 AND NOT regexp_matches(text, '[?!]$') END AS heading FROM t""",
+    "rate_limit_decisions": _LIMITS,
+    "streamed_limits": _LIMITS,
+    "docx_headings": f"""WITH {_LINES},
+t AS (SELECT CAST(-id AS BIGINT) AS id, 0 AS para, text, style FROM (VALUES {HEADINGS}) AS t(id, text, style) UNION ALL SELECT doc_id, para, text, style FROM lines)
+SELECT id, CAST(para AS INTEGER) AS para, {_heading('text', 'style')} AS heading FROM t""",
+    "docx_file_pages": rf"""WITH {_LINES},
+p AS (SELECT doc_id, para, style, {_strip("regexp_replace(text, '[\x00-\x08\x0b-\x1f]', '', 'g')")} AS bare, para % {LAID_OUT} = {LAID_OUT - 1} AS laid, CAST(para % {LAID_OUT} = {LAID_OUT - 1} AS INTEGER) + CAST(para % {BY_HAND} = {BY_HAND - 1} AS INTEGER) AS breaks FROM lines),
+paged AS (SELECT *, 1 + coalesce(sum(breaks) OVER (PARTITION BY doc_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN laid AND bare <> '' THEN breaks ELSE 0 END AS page FROM p),
+h AS (SELECT *, {_heading('bare', 'style')} AS heading FROM paged WHERE bare <> ''),
+runs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para) - row_number() OVER (PARTITION BY doc_id, heading ORDER BY para) AS run FROM h),
+parts AS (SELECT doc_id, min(page) AS page, min(para) AS para, '## ' || string_agg(bare, ' — ' ORDER BY para) AS bare FROM runs WHERE heading GROUP BY doc_id, run UNION ALL SELECT doc_id, page, para, bare FROM runs WHERE NOT heading),
+pages_ AS (SELECT doc_id, page, string_agg(bare, chr(10) || chr(10) ORDER BY para) AS text FROM parts GROUP BY doc_id, page)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(page AS INTEGER) AS page, {_normal('text')} AS text, false AS ocr FROM pages_""",
+    "watched_pages": f"""WITH files AS (SELECT string_agg(coalesce(text, '') || chr(12), '' ORDER BY doc_id, text) AS content FROM documents GROUP BY doc_id // {BOOK}),
+f AS (SELECT DISTINCT substr(sha256(content), 1, 16) AS doc_id, string_split(content, chr(12)) AS l FROM files),
+p AS (SELECT doc_id, unnest(list_zip(l, range(1, len(l) + 1))) AS z FROM f),
+n AS (SELECT doc_id, CAST(z[2] AS INTEGER) AS page, {_normal('z[1]')} AS text FROM p WHERE {_strip('z[1]')} <> '')
+SELECT doc_id, 'Watched' AS title, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS book_pages, page, false AS ocr, md5(text) AS md5 FROM n""",
+    "answered_questions": f"""WITH {_sparse(S.top_k)}, context AS ({_CONTEXT}), {_BACK},
+talk AS (SELECT conv_id AS item_id, count(*) AS n, sum(length(substr(text, 1, {S.message_chars}))) AS chars FROM back WHERE k <= {2 * S.max_history_turns} GROUP BY conv_id),
+p AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'Hindi' ELSE 'English' END AS language, context, coalesce(n, 0) AS n, coalesce(chars, 0) AS chars, text FROM benchmark LEFT JOIN context USING (item_id) LEFT JOIN talk USING (item_id)),
+q AS (SELECT *, length('Passages:' || chr(10) || chr(10) || context || chr(10) || chr(10) || '---' || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer in ' || language || '.') AS long FROM p)
+SELECT item_id, CASE WHEN context IS NULL THEN CASE language WHEN 'Hindi' THEN '{NOTHING_FOUND['Hindi']}' ELSE '{NOTHING_FOUND['English']}' END WHEN long % 7 = 0 THEN ''
+  ELSE CASE WHEN long % 2 = 0 THEN 'second' ELSE 'primary' END || ', after ' || chars || ' characters in ' || n || ' messages: ' || long END AS answer, CASE WHEN long % 7 = 0 THEN 'refused' ELSE '' END AS error FROM q""",
+    "rewritten_plans": rf"""WITH {_BACK}, q AS (SELECT conv_id, {_strip('text')} AS q FROM back WHERE k = 1),
+h AS (SELECT conv_id, count(*) AS n, string_agg(role || ': ' || substr(text, 1, {S.message_chars}), chr(10) ORDER BY turn) FILTER (k <= {S.rewrite_messages} + 1) AS history FROM back WHERE k > 1 GROUP BY conv_id),
+j AS (SELECT conv_id, q, coalesce(n, 0) AS n, coalesce(history, '(none)') AS history, {_devanagari('q')} AS dev FROM q LEFT JOIN h USING (conv_id)),
+r AS (SELECT *, NOT (n = 0 AND dev) AND length(q) % 5 > 1 AS rewritten FROM j)
+SELECT conv_id, rewritten, CASE WHEN rewritten THEN q || ' (' || length(history) || ')' ELSE q END AS standalone,
+  CASE WHEN rewritten THEN q || ' (' || length(history) || ')|' || q || CASE WHEN {_strip('history')} = q THEN '' ELSE '|' || {_strip('history')} END ELSE q END AS queries,
+  CASE WHEN rewritten THEN 'Hinglish' WHEN dev THEN 'Hindi' ELSE 'English' END AS answer_language FROM r""",
     "token_ids": f"""WITH {_TEXTS}, terms AS (SELECT DISTINCT unnest({_terms('text')}) AS term FROM texts),
 crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 bytes AS (SELECT term, list_transform(range(length(hex(encode(term))) // 2), lambda i: CAST('0x' || substr(hex(encode(term)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM terms)

@@ -6,8 +6,13 @@ benchmark item for a question, an events row for a request.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import json
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +26,14 @@ from leafstack.operators.cells import cells_topk, centres, with_cells
 from leafstack.operators.dense import dense_topk, two_phase_topk, with_codes
 from leafstack.operators.limits import decisions
 from leafstack.operators.sparse import document_frequency, postings, query_ids, sparse_topk
-from leafstack.plans import planner, prompts
-from leafstack.plans.providers import embed_documents
-from leafstack.sources.files import ocr_routing, read_with_ocr, text_pages
+from leafstack.plans import batch, planner, prompts
+from leafstack.plans.engine import Library
+from leafstack.plans.providers import Failover, ProviderError, embed_documents
+from leafstack.sources.files import docx_pages, docx_paragraphs, ocr_routing, read_with_ocr, text_pages
 from leafstack.sources.store import Store, by_title, catalogue_rows, not_ingested, upsert
+from leafstack.sources.tables import stream_path
+from leafstack.streaming.ingest import watch
+from leafstack.streaming.limiter import limited
 
 # Texts in Devanagari and mixed scripts, which the tables do not have: (id, text).
 LITERALS = """(1, 'राम वन गए | सीता साथ थीं || लक्ष्मण भी'), (2, 'क ख । । ग | घ'), (3, '  a  |b | c||  d  '),
@@ -267,7 +276,7 @@ REWRITES = """(1, 'who is rama', 'rama|sita| rama |who is rama'), (2, 'q', ' |a|
 
 def query_list_dedupe(spark, sf):
     rows = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, q, r FROM VALUES {REWRITES} AS t(id, q, r)")
-    items = _read(spark, sf, "benchmark").select((F.col("item_id") + 1000).alias("id"), F.col("text").alias("q"), F.concat_ws("|", "text", F.substring("text", 1, 20), F.lit(" "), F.substring("text", 1, 20), F.lit("x")).alias("r"))
+    items = _read(spark, sf, "benchmark").select((F.col("item_id") + 1000).alias("id"), F.col("text").alias("q"), F.concat_ws("|", "text", F.lower("text"), F.lit(" "), F.lower("text"), F.lit("x")).alias("r"))
     return rows.unionByName(items).select("id", F.array_join(planner.query_list(F.col("q"), F.split("r", r"\|")), "|").alias("queries"))
 
 
@@ -336,15 +345,138 @@ HEADINGS = """(1, 'Chapter One', 'Heading 1'), (2, 'THE FIRST BOOK', 'Normal'),
 
 
 SMALL = "abcdefghijklmnopqrstuvwxyz"
+STYLES = ("Normal", "Center", "Heading 3", "Body")
+
+
+def _lines(spark, sf) -> DataFrame:
+    """doc_id, para, text, style: each line of every document as a paragraph, every third document in capitals."""
+    upper = F.when(F.col("doc_id") % 3 == 0, F.translate("text", SMALL, SMALL.upper())).otherwise(F.col("text"))
+    lines = _read(spark, sf, "documents").select("doc_id", F.posexplode(F.split(upper, "\n")).alias("para", "text"))
+    style = F.element_at(F.array(*map(F.lit, STYLES)), ((F.col("doc_id") + F.col("para")) % len(STYLES) + 1).cast("int"))
+    return lines.select("doc_id", "para", "text", style.alias("style"))
 
 
 def docx_headings(spark, sf):
-    """Given paragraphs, and the beginnings of all documents in four styles."""
-    rows = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, text, style FROM VALUES {HEADINGS} AS t(id, text, style)")
-    styles = F.element_at(F.array(*map(F.lit, ("Normal", "Center", "Heading 3", "Body"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    start = F.substring("text", 1, (30 + F.col("doc_id") % 70).cast("int"))
-    docs = _read(spark, sf, "documents").select((F.col("doc_id") + 1000).alias("id"), F.when(F.col("doc_id") % 3 == 0, F.translate(start, SMALL, SMALL.upper())).otherwise(start).alias("text"), styles.alias("style"))
-    return rows.unionByName(docs).select("id", tx.is_heading(F.col("text"), F.col("style")).alias("heading"))
+    """Given paragraphs, and all lines of all documents in four styles."""
+    rows = spark.sql(f"SELECT CAST(-id AS BIGINT) AS id, 0 AS para, text, style FROM VALUES {HEADINGS} AS t(id, text, style)")
+    return rows.unionByName(_lines(spark, sf).withColumnRenamed("doc_id", "id")).select("id", "para", tx.is_heading(F.col("text"), F.col("style")).alias("heading"))
+
+
+#: Of so many paragraphs one ends with a page break set by hand, and one holds a break that the layout put there.
+BY_HAND, LAID_OUT = 4, 7
+
+
+def _docx(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A DOCX file of each row's paragraphs (text, style)."""
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    styles = "".join(f'<w:style w:styleId="S{k}"><w:name w:val="{name}"/></w:style>' for k, name in enumerate(STYLES))
+    for b in batches:
+        content = []
+        for paras in b.column("paras").to_pylist():
+            body = []
+            for k, p in enumerate(paras):
+                laid = "<w:r><w:lastRenderedPageBreak/></w:r>" if k % LAID_OUT == LAID_OUT - 1 else ""
+                hand = '<w:r><w:br w:type="page"/></w:r>' if k % BY_HAND == BY_HAND - 1 else ""
+                body.append(f'<w:p><w:pPr><w:pStyle w:val="S{STYLES.index(p["style"])}"/></w:pPr>{laid}<w:r><w:t>{escape(p["text"])}</w:t></w:r>{hand}</w:p>')
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{"".join(body)}</w:body></w:document>')
+                z.writestr("word/styles.xml", f'<w:styles xmlns:w="{space}">{styles}</w:styles>')
+            content.append(out.getvalue())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("suffix"), pa.array(content, pa.binary())], names=["doc_id", "suffix", "content"])
+
+
+def docx_file_pages(spark, sf):
+    """The pages of every document as a word-processor file whose paragraphs are its lines. XML has no control characters."""
+    lines = _lines(spark, sf).withColumn("text", F.regexp_replace("text", r"[\x00-\x08\x0b-\x1f]", ""))
+    paras = F.transform(F.array_sort(F.collect_list(F.struct("para", "text", "style"))), lambda p: F.struct(p.text, p.style))
+    made = lines.groupBy("doc_id").agg(paras.alias("paras")).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("docx").alias("suffix"), "paras")
+    found = made.mapInArrow(_docx, "doc_id string, suffix string, content binary")
+    return docx_pages(docx_paragraphs(found))
+
+
+def streamed_limits(spark, sf):
+    """The decisions of ``rate_limit_decisions`` by a limiter that keeps its state, on a stream of the events."""
+    folder, name = scratch.folder(spark, "limits"), "spark.sql.streaming.stateStore.providerClass"
+    events = f"{sf}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(events).schema).parquet(stream_path(events))
+    hits = stream.select(F.col("user_id").alias("client"), F.col("event_id").alias("hit"), F.col("ts").cast("timestamp").alias("at"))
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = limited(hits, 2, 6 * 3600).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    made = spark.read.schema("client long, hit long, admitted boolean, retry_after int").parquet(f"{folder}/out")
+    return made.select(F.col("client").alias("user_id"), F.col("hit").alias("event_id"), "admitted", F.coalesce("retry_after", F.lit(0)).alias("retry_after"))
+
+
+#: Documents whose ids follow each other and make one file of the landing folder.
+BOOK = 50
+
+
+def watched_pages(spark, sf):
+    """A library that watches a growing folder of text files, whose pages are documents: the page audit, with what the catalogue says.
+
+    Files come in two lots, each is taken as a stream when it has come, and a third look finds nothing new.
+    """
+    folder = scratch.folder(spark, "watched")
+    library = Library(spark, f"{folder}/library", embedding=Vowels())
+    rows = F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+    books = _read(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / BOOK).alias("book")).agg(F.array_join(F.transform(rows, lambda r: r.text), "\f").alias("text"))
+    for lot in (0, 1, None):
+        if lot is not None:
+            books.where(F.col("book") % 2 == lot).write.mode("append").option("lineSep", "\f").partitionBy("book").text(f"{folder}/landing")
+        watch(library, f"{folder}/landing/book=*", f"{folder}/checkpoint", "Watched").awaitTermination()
+    listed = library.books().select("doc_id", "title", F.col("pages").alias("book_pages"))
+    return library.store.table("pages").join(listed, "doc_id").select("doc_id", "title", "book_pages", "page", "ocr", F.md5("text").alias("md5"))
+
+
+class _Models:
+    """Generators that SQL can say: the first is busy for prompts of even length, and no one takes every seventh length."""
+
+    def stream(self, model: str, system: str, messages: list[dict[str, str]]) -> Iterator[str]:
+        prompt = messages[-1]["content"]
+        if len(prompt) % 7 == 0:
+            raise ProviderError("refused", 400)
+        if model == "primary" and len(prompt) % 2 == 0:
+            raise ProviderError("busy", 503)
+        yield f"{model}, after {sum(len(m['content']) for m in messages[:-1])} characters"
+        yield f" in {len(messages) - 1} messages: {len(prompt)}"
+
+
+def answered_questions(spark, sf):
+    """An answer to every benchmark item from the passages that keywords find, each after the talk that has its number."""
+    turns = generation_history(spark, sf).groupBy(F.col("conv_id").alias("item_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("t"))
+    talks = turns.select("item_id", F.transform("t", lambda m: F.struct(m.role, m.content)).alias("history"))
+    items = _read(spark, sf, "benchmark").join(format_context(spark, sf), "item_id", "left").join(talks, "item_id", "left")
+    language = F.when(F.col("item_id") % 3 == 0, "Hindi").otherwise("English")
+    turn = prompts.user_turn(F.col("text"), F.col("context"), F.col("text"), language)
+    sheets = items.select("item_id", "history", language.alias("language"), turn.alias("prompt"), F.when(F.col("context").isNull(), prompts.nothing_found(language)).alias("reply"))
+    return batch.answers(sheets, Failover(_Models())).select("item_id", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+class _Rewriter:
+    """A rewriter that SQL can say: it fails for some lengths of a question, and does not give JSON for others."""
+
+    def rewrite(self, history: str, question: str) -> str:
+        if len(question) % 5 == 0:
+            raise ProviderError("refused", 400)
+        if len(question) % 5 == 1:
+            return "no JSON"
+        return json.dumps({"standalone_question": f"{question} ({len(history)})", "search_queries": [question, " ", history, question], "answer_language": "Hinglish"})
+
+
+def rewritten_plans(spark, sf):
+    """The plan of the last message of every conversation, rewritten from the messages before it."""
+    said = _read(spark, sf, "conversations").where("role <> 'system'").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
+    earlier = said.where("turn < last")
+    counts = earlier.groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
+    asked = said.where("turn = last").select("conv_id", F.col("text").alias("question"))
+    rows = asked.join(prompts.rewrite_history(earlier), "conv_id", "left").join(counts, "conv_id", "left").select("conv_id", "question", "history", F.coalesce("n", F.lit(0)).alias("messages"))
+    made = batch.rewritten_plans(rows, _Rewriter(), "conv_id")
+    return made.select("conv_id", "standalone", F.array_join("queries", "|").alias("queries"), "answer_language", "rewritten")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -390,4 +522,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "delete_doc": delete_doc,
     "rate_limit_decisions": rate_limit_decisions,
     "docx_headings": docx_headings,
+    "docx_file_pages": docx_file_pages,
+    "streamed_limits": streamed_limits,
+    "watched_pages": watched_pages,
+    "answered_questions": answered_questions,
+    "rewritten_plans": rewritten_plans,
 }

@@ -1,4 +1,4 @@
-"""Reading Parquet folders that may not be there yet."""
+"""Reading Parquet folders that may not be there yet, and naming what a stream of files takes."""
 
 from __future__ import annotations
 
@@ -15,3 +15,9 @@ def read_or_empty(spark: SparkSession, path: str, schema: str | T.StructType) ->
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def stream_path(path: str) -> str:
+    """A pattern for exactly this path: a stream takes only a folder by its plain name, but a pattern may also name one file."""
+    plain = path.rstrip("/")
+    return path if any(c in path for c in "*?[{") else f"{plain[:-1]}[{plain[-1]}]"

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,8 +25,7 @@ class Limiter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         hits = pd.concat(list(rows)).sort_values(["at", "hit"])
         recent, out = [r[0] for r in self.recent.get()], []
-        for hit, at in zip(hits["hit"], hits["at"]):
-            now = at.timestamp()
+        for hit, at, now in zip(hits["hit"], hits["at"], hits["second"]):
             recent = [t for t in recent if t >= now - self.seconds]
             free = self.limit <= 0 or len(recent) < self.limit
             out.append((key[0], hit, at, free, None if free else int(self.seconds - (now - recent[0])) + 1))
@@ -39,7 +39,12 @@ class Limiter(StatefulProcessor):
 
 
 def limited(hits: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """Decisions on a stream of hits (client long, hit long, at timestamp). Needs the RocksDB state store provider."""
-    return hits.select("client", "hit", "at").groupBy("client").transformWithStateInPandas(
+    """Decisions on a stream of hits (client long, hit long, at timestamp). Needs the RocksDB state store provider.
+
+    A client's hits of one micro-batch are sorted by one task in memory: bound them by the stream's files or offsets a batch.
+    Times are told apart as seconds since 1970, whatever the session's time zone does in between.
+    """
+    seconds_of = F.col("at").cast("timestamp").cast("double")
+    return hits.select("client", "hit", "at", seconds_of.alias("second")).groupBy("client").transformWithStateInPandas(
         statefulProcessor=Limiter(limit, seconds), outputStructType=OUTPUT, outputMode="append", timeMode="none"
     )
