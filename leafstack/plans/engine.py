@@ -158,6 +158,25 @@ class Library:
     def clear_cache(self) -> None:
         self.answers.clear()
 
+    def _let_go(self) -> None:
+        if self._held is not None and self._held[1][1] is not None:
+            for table in self._held[1][:2]:
+                table.unpersist()
+        self._held = None
+
+    def close(self) -> None:
+        """Wait for background jobs and free what is kept in memory. Tables stay; a library that is used again reads them anew."""
+        for job in list(self._threads):
+            self.wait(job)
+        self._let_go()
+        self.clear_cache()
+
+    def __enter__(self) -> Library:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
     # ------------------------------------------------------------ search
 
     def _stated(self, *rows: tuple, names: str) -> DataFrame:
@@ -197,9 +216,7 @@ class Library:
         """
         key = self.store.version()
         if self._held is None or self._held[0] != key:
-            if self._held is not None and self._held[1][1] is not None:
-                for table in self._held[1][:2]:
-                    table.unpersist()
+            self._let_go()
             count, points, terms = self.store.count(), self.store.chunks(), None
             if count <= self.s.held_chunks:
                 few = min(self.spark.sparkContext.defaultParallelism, 1 + count // 2000)

@@ -479,6 +479,20 @@ def test_a_large_library_is_searched_from_its_folders(spark, tmp_path):
     assert all(len(r.codes) == 768 and max(map(abs, r.codes)) == 127 for r in points.select("codes").collect())
 
 
+def test_a_closed_library_keeps_nothing_in_memory(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Something to read about rivers.")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with Library(spark, str(tmp_path / "lib")) as lib:
+        job = lib.start_job(str(tmp_path / "in"), "Rivers")
+        lib.close()
+        assert lib.job(job)["status"] == "completed"
+        assert len(lib.search("rivers")["sources"]) == 1 and spark.sparkContext._jsc.getPersistentRDDs().size() > before
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert len(lib.search("rivers")["sources"]) == 1  # read anew
+    lib.close()
+
+
 def test_streams(spark, tmp_path, caplog):
     from datetime import datetime, timedelta
 
