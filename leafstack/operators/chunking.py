@@ -1,6 +1,6 @@
 """Pages into section-aware, overlapping chunks with the pages they came from.
 
-Paragraphs, sections and sentences are expressions and one window. The packing of sentences depends on where the last chunk
+Paragraphs and sections are expressions and one window. The packing of sentences depends on where the last chunk
 ended; it reads the window's rows in order, as a stream in Arrow batches, and holds the sentences of one chunk, so a document
 takes no memory however long it is. Window and packing share one shuffle by document.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafstack.config import DEFAULTS, Settings
-from leafstack.functions.text import split_sentences, strip
+from leafstack.functions.text import sentences, strip
 from leafstack.schemas import CHUNK
 
 
@@ -92,7 +92,7 @@ class Packer:
 
 def chunks(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text", size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap) -> DataFrame:
     """doc, chunk_index int, text, page_start int, page_end int, section; a document without sentences has no row."""
-    rows = sections(pages, doc, page, text).select(doc, "section_no", "section", F.col(page).cast("int").alias("page"), "para", split_sentences(F.col("body")).alias("sentences"))
+    rows = sections(pages, doc, page, text).select(doc, "section_no", "section", F.col(page).cast("int").alias("page"), "para", "body")
     kind = rows.schema[doc].dataType.simpleString()
     names = [doc, *CHUNK.names[1:]]
 
@@ -113,12 +113,12 @@ def chunks(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str
         for b in batches:
             types = [b.schema.field(doc).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             columns = (b.column(c).to_pylist() for c in (doc, "section_no", "section", "page"))
-            for ident, part, title, at, sentences in zip(*columns, b.column("sentences")):
+            for ident, part, title, at, body in zip(*columns, b.column("body")):
                 if now is None or (ident, part) != now[:2]:
                     take(packer.end())
                     number = number if now is not None and ident == now[0] else 0
                     now = (ident, part, title)
-                for whole in sentences.as_py():
+                for whole in sentences(body.as_py()):
                     for s in wrapped(whole, size) if len(whole) > size else [whole]:
                         take(packer.add(s, at))
                 if len(out) >= 1024:

@@ -37,8 +37,9 @@ def too_large(raw: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 
 def identified(raw: DataFrame) -> DataFrame:
+    """``raw`` (path, length, content) with doc_id and suffix. A file without content, which was refused, may have any suffix."""
     suffix = F.lower(F.regexp_extract("path", r"\.([^./\\]+)\z", 1))
-    known = F.when(suffix.isin(*SUFFIXES), suffix).otherwise(F.raise_error(F.concat(F.lit("unsupported file type: "), F.col("path"))))
+    known = F.when(suffix.isin(*SUFFIXES) | F.col("content").isNull(), suffix).otherwise(F.raise_error(F.concat(F.lit("unsupported file type: "), F.col("path"))))
     return raw.select("path", content_id(F.col("content")).alias("doc_id"), known.alias("suffix"), "length", "content")
 
 

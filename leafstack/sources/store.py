@@ -186,7 +186,7 @@ class Store:
         folders = min(FOLDERS, 1 + max(n, chunks or 0) // FOLDER)
         for name, rows in tables.items():
             number, order = (F.col("token_id"), "token_id") if name == "postings" else (number_column(F.col("doc_id")), "doc_id")
-            dealt = rows.withColumn("folder", (number % folders).cast("int")).repartition(folders, "folder")
+            dealt = rows.withColumn("folder", (number % folders).cast("int")).repartitionById(folders, F.col("folder"))  # a task a folder
             dealt.sortWithinPartitions("folder", order).write.partitionBy("folder").parquet(f"{self.root}/{name}/batch={batch}")
         row = (batch, seq, folders, chunks or 0, tag, merged)
         self.spark.createDataFrame([row], BATCH).coalesce(1).write.mode("append").parquet(f"{self.root}/batches")

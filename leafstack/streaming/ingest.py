@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leafstack import schemas
+from leafstack import schemas, scratch
 from leafstack.plans.engine import Library
 from leafstack.sources.files import identified, too_large
 from leafstack.sources.store import not_ingested
@@ -24,11 +24,14 @@ def watch(library: Library, landing: str, checkpoint: str, title: str, category:
     """
 
     def ingest(batch: DataFrame, number: int) -> None:
-        for f in too_large(batch, library.s).toLocalIterator():
+        # every action on a micro-batch reads all of its files whole, whatever columns it wants, so they are read once
+        small = F.col("length") <= library.s.max_upload_bytes
+        landed = scratch.written(identified(batch.withColumn("content", F.when(small, F.col("content")))), "landed")
+        for f in too_large(landed, library.s).toLocalIterator():
             log.warning("refused, too large (%d bytes, at most %d): %s", f.length, library.s.max_upload_bytes, f.path)
-        small = batch.where(F.col("length") <= library.s.max_upload_bytes)
         stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        library.ingest_files(not_ingested(identified(small), library.store.books()), title, category, language, tag=f"{stream}/{number}")
+        library.ingest_files(not_ingested(landed.where(small), library.store.books()), title, category, language, tag=f"{stream}/{number}")
+        scratch.drop(landed)
 
     stream = library.spark.readStream.format("binaryFile").schema(schemas.SOURCE_FILE).load(landing)
     return stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
