@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from leafstack.config import DEFAULTS
 from leafstack.functions.vectors import dot, int8_codes, l2_normalize
-from leafstack.operators.sparse import best
+from leafstack.operators.ranking import Best as _Best
+from leafstack.operators.ranking import best
 
 #: Queries in one block, for each of which the vectors are read once; their vectors are what is broadcast.
 QUERY_BLOCK = 8192
@@ -70,28 +71,6 @@ def _block(vectors: DataFrame, held: list, query_type: str, ident: str, query: s
     return vectors.select(ident, vector).where(F.col(vector).isNotNull()).mapInArrow(run, schema)
 
 
-class _Best:
-    """The ``k`` best (score, id) of each query so far; equal scores by id."""
-
-    def __init__(self, k: int):
-        self.k, self.scores, self.ids = k, None, None
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores``: a row for each query, a column for each id."""
-        ids = np.broadcast_to(ids, scores.shape)
-        if scores.shape[1] > 4 * self.k:  # an id that reaches no query's k-th best score need not be sorted
-            least = np.partition(scores, -self.k, axis=1)[:, -self.k]
-            some = (scores >= least[:, None]).any(axis=0)
-            scores, ids = scores[:, some], ids[:, some]
-        if self.scores is not None:
-            scores, ids = np.concatenate([self.scores, scores], axis=1), np.concatenate([self.ids, ids], axis=1)
-        at = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-        self.scores, self.ids = np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(self.ids)), self.ids.shape[1]), self.ids.ravel(), self.scores.ravel()
-
-
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return m / np.where(norm == 0, 1, norm)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from leafstack.config import DEFAULTS, Settings
 from leafstack.operators.dense import dense_topk
-from leafstack.operators.sparse import best, sparse_topk
+from leafstack.operators.ranking import best
+from leafstack.operators.sparse import sparse_topk
 
 
 def reciprocal_rank_fusion(legs: list[DataFrame], query: str, ident: str, k: int = DEFAULTS.rrf_k) -> DataFrame:
