@@ -22,11 +22,12 @@ from leafstack.scratch import written
 def _said(rows: DataFrame, inputs: list[str], wanted: Column, call: Callable[..., str], in_flight: int) -> DataFrame:
     """``rows`` with said string and failed string: what ``call`` gave for the row's inputs, or its error; both null where not ``wanted``.
 
+    Rows are written first: they are read for the calls and again for the answers, and may have taken a search to make.
     Equal inputs are one call. Calls are slow and rows are small, so requests are dealt to as many tasks as shuffles have,
     which adaptive execution would join by size.
     """
     key = F.sha2(F.to_json(F.struct(*inputs)), 256)
-    keyed = rows.drop("said", "failed").withColumn("_key", F.when(wanted, key))
+    keyed = written(rows.drop("said", "failed").withColumn("_key", F.when(wanted, key)), "asked")
     once = keyed.where("_key IS NOT NULL").groupBy("_key").agg(*(F.first(c).alias(c) for c in inputs))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
