@@ -90,8 +90,11 @@ class Packer:
         return " ".join(s for s, _ in self.held), self.held[0][1], self.held[-1][1]
 
 
-def chunks(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text", size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap) -> DataFrame:
-    """doc, chunk_index int, text, page_start int, page_end int, section; a document without sentences has no row."""
+def chunks(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text", size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, wrap: bool = True) -> DataFrame:
+    """doc, chunk_index int, text, page_start int, page_end int, section; a document without sentences has no row.
+
+    A sentence longer than ``size`` is cut between words; without ``wrap`` it stays whole, as a chunk of its own.
+    """
     rows = sections(pages, doc, page, text).select(doc, "section_no", "section", F.col(page).cast("int").alias("page"), "para", "body")
     kind = rows.schema[doc].dataType.simpleString()
     names = [doc, *CHUNK.names[1:]]
@@ -119,7 +122,7 @@ def chunks(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str
                     number = number if now is not None and ident == now[0] else 0
                     now = (ident, part, title)
                 for whole in sentences(body.as_py()):
-                    for s in wrapped(whole, size) if len(whole) > size else [whole]:
+                    for s in wrapped(whole, size) if wrap and len(whole) > size else [whole]:
                         take(packer.add(s, at))
                 if len(out) >= 1024:
                     yield table()

@@ -87,6 +87,26 @@ def test_document_chunks_by_hand(spark, data):
     assert {(r.doc_id, r.chunk_index): r.text for r in document_chunks(spark, data).collect()} == want
 
 
+def test_chunks_of_turns_with_long_sentences_are_those_of_their_sql(spark, tmp_path):
+    """Of a million sentences some are longer than a chunk; the SQL keeps them whole, between others and alone."""
+    import duckdb
+
+    from leafstack.oracle import SQL
+    from leafstack.queries import chunks_query
+
+    short, texts = "Short ones go before it. " * 8, []
+    for n in (1099, 1100, 1101, 1102, 1350, 3000):
+        long = ("éword word, " * 300)[: n - 2] + "x."
+        texts += [long, f"{short}{long} {short}", f"{short * 6}{long}\n\n{long} {short}"]
+    rows = [(k // 3, k % 3, "user" if k % 2 else "assistant", t) for k, t in enumerate([*texts, "", None, "One.\nTwo."])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = chunks_query(spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    names = ", ".join(found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(duck.execute(f"SELECT {names} FROM ({SQL['chunks']})").fetchall())
+
+
 def test_a_long_document_is_read_as_a_stream(spark):
     """Sections and pages of a document of many sentences, between others: one shuffle, rows in order, the sentences of one chunk held."""
     pages = [("b", p, "\n\n".join([f"# Part {p // 40}"] * (p % 40 == 0) + [f"Sentence {p} {k} is here." for k in range(30)])) for p in range(400)]
