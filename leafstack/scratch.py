@@ -6,11 +6,18 @@ import atexit
 import functools
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PATHS: list[tuple[SparkSession, str]] = []
+#: Whether a statement deletes the files of its shuffles when it ends; of each session, how many writes want that now and what it was before.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FREEING: dict[int, tuple[int, str]] = {}
+_LOCK = threading.Lock()
 
 
 def root(spark: SparkSession) -> str:
@@ -36,10 +43,30 @@ def folder(spark: SparkSession, name: str, keep: bool = False) -> str:
     return path
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Writes in here delete the files of their shuffles when they end, and not when the driver next collects garbage."""
+    key = spark._jsparkSession.hashCode()
+    with _LOCK:
+        open_, before = _FREEING.get(key, (0, None))
+        _FREEING[key] = open_ + 1, before if open_ else spark.conf.get(_CLEANUP, "false")
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            open_, before = _FREEING.pop(key)
+            if open_ > 1:
+                _FREEING[key] = open_ - 1, before
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and read back: later plans read it instead of computing it again, also after the loss of an executor."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._leafstack_scratch = path
     return out

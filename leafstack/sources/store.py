@@ -6,6 +6,9 @@ before that leaves nothing to be seen. So a change costs what it brings, and a d
 the rows of its last batch count; changes of several writers are all kept, and one order decides for every reader which of
 two versions of a document is the last.
 
+A posting is stored with its document and the number of its chunk, which name the point; names of 36 characters that nothing
+repeats were nearly all of its bytes. Postings that come with a point and no chunk keep it.
+
 Inside a batch, rows are dealt to folders: postings by term and everything else by document, as many as the batch's size
 needs, so a question opens the folders of its terms, and a look-up those of its documents. Batches of one size class are
 merged when there are ``MERGE`` of them; what they were merged from is deleted with the next merge.
@@ -26,9 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafstack import schemas, scratch
+from leafstack.functions.text import point_id
 from leafstack.sources.tables import read_or_empty
 
 TABLES: dict[str, T.StructType] = {"chunks": schemas.POINT, "postings": schemas.POSTING, "pages": schemas.PAGE, "catalogue": schemas.BOOK}
+#: As they are in files.
+STORED: dict[str, T.StructType] = TABLES | {"postings": T.StructType([*schemas.POSTING.fields, schemas.CHUNK["chunk_index"]])}
 BATCH = "batch string, seq long, folders int, chunks long, tag string, merged array<string>"
 #: whole: all rows of the document are replaced; else its catalogue row alone. seq and origin, the batch that the change came
 #: with, are its place in the order of changes, also in a merged batch.
@@ -113,8 +119,8 @@ class Store:
         return rows.join(self._last(batches, whole), "doc_id").where("batch <> last.batch").select("doc_id", "batch").distinct()
 
     def _rows(self, name: str, batches: list[Row], numbers: Iterable[int] | None = None) -> DataFrame:
-        """The rows of a table that count, with their batch; of the folders that ``numbers`` are dealt to, if given."""
-        schema = T.StructType([*TABLES[name].fields, T.StructField("batch", T.StringType()), T.StructField("folder", T.IntegerType())])
+        """The stored rows of a table that count, with their batch; of the folders that ``numbers`` are dealt to, if given."""
+        schema = T.StructType([*STORED[name].fields, T.StructField("batch", T.StringType()), T.StructField("folder", T.IntegerType())])
         rows = read_or_empty(self.spark, f"{self.root}/{name}", schema)
         by_count: dict[int, list[str]] = defaultdict(list)
         for b in batches:
@@ -125,12 +131,19 @@ class Store:
 
     # ------------------------------------------------------------ tables
 
+    def _named(self, name: str, numbers: Iterable[int] | None = None) -> DataFrame:
+        """The rows of a table that count, with the columns it has for readers."""
+        rows = self._rows(name, self.batches(), numbers)
+        if name == "postings":
+            rows = rows.withColumn("point_id", F.coalesce("point_id", point_id(F.col("doc_id"), F.col("chunk_index"))))
+        return rows.select(*TABLES[name].names)
+
     def table(self, name: str, doc_ids: list[str] | None = None) -> DataFrame:
         """A table, empty if nothing was written yet; with ``doc_ids`` their rows, from their folders only."""
         if not doc_ids:
-            return self._rows(name, self.batches()).select(*TABLES[name].names)
+            return self._named(name)
         numbers = None if name == "postings" else [number_of(d) for d in doc_ids]
-        return self._rows(name, self.batches(), numbers).where(F.col("doc_id").isin(*doc_ids)).select(*TABLES[name].names)
+        return self._named(name, numbers).where(F.col("doc_id").isin(*doc_ids))
 
     def chunks(self, doc_ids: list[str] | None = None) -> DataFrame:
         return self.table("chunks", doc_ids)
@@ -139,7 +152,7 @@ class Store:
         """Postings, all or those of some terms, from the terms' folders only."""
         if token_ids is None:
             return self.table("postings")
-        return self._rows("postings", self.batches(), token_ids).where(F.col("token_id").isin(*token_ids) if token_ids else F.lit(False)).select(*schemas.POSTING.names)
+        return self._named("postings", token_ids).where(F.col("token_id").isin(*token_ids) if token_ids else F.lit(False))
 
     def count(self) -> int:
         """The number of chunks, from what the members say."""
@@ -170,7 +183,7 @@ class Store:
             if tag is not None and not before.where(F.col("tag") == tag).isEmpty():
                 return False
             seq = 1 + (before.agg(F.max("seq")).first()[0] or 0)
-            kept = {name: rows.select(*TABLES[name].names).join(ids, "doc_id", "left_semi") for name, rows in tables.items()}
+            kept = {name: rows.select(*(n for n in STORED[name].names if n in rows.columns)).join(ids, "doc_id", "left_semi") for name, rows in tables.items()}
             counts = kept["chunks"].groupBy("doc_id").agg(F.count("*").alias("chunks")) if "chunks" in kept else ids.select("doc_id", F.lit(0).cast("long").alias("chunks")).limit(0)
             members = ids.join(counts, "doc_id", "left").select("doc_id", F.lit(seq).cast("long").alias("seq"), F.lit(None).cast("string").alias("origin"), F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"), F.lit(whole).alias("whole"))
             self._add(members, kept, seq, tag, [])
@@ -187,7 +200,8 @@ class Store:
         for name, rows in tables.items():
             number, order = (F.col("token_id"), "token_id") if name == "postings" else (number_column(F.col("doc_id")), "doc_id")
             dealt = rows.withColumn("folder", (number % folders).cast("int")).repartitionById(folders, F.col("folder"))  # a task a folder
-            dealt.sortWithinPartitions("folder", order).write.partitionBy("folder").parquet(f"{self.root}/{name}/batch={batch}")
+            with scratch.freed(rows.sparkSession):
+                dealt.sortWithinPartitions("folder", order).write.option("compression", "zstd").partitionBy("folder").parquet(f"{self.root}/{name}/batch={batch}")
         row = (batch, seq, folders, chunks or 0, tag, merged)
         self.spark.createDataFrame([row], BATCH).coalesce(1).write.mode("append").parquet(f"{self.root}/batches")
 
@@ -210,7 +224,7 @@ class Store:
         """
         last = self._members(own).groupBy("doc_id", "whole").agg(F.max(F.struct("seq", "origin", "chunks")).alias("m"))
         members = last.select("doc_id", "m.seq", "m.origin", "m.chunks", "whole")
-        tables = {name: self._rows(name, own).select(*TABLES[name].names) for name in TABLES}
+        tables = {name: self._rows(name, own).select(*STORED[name].names) for name in TABLES}
         self._add(members, tables, max(b.seq for b in own), None, [b.batch for b in own])
 
     def compact(self) -> None:

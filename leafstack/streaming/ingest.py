@@ -30,7 +30,7 @@ def watch(library: Library, landing: str, checkpoint: str, title: str, category:
         for f in too_large(landed, library.s).toLocalIterator():
             log.warning("refused, too large (%d bytes, at most %d): %s", f.length, library.s.max_upload_bytes, f.path)
         stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        library.ingest_files(not_ingested(landed.where(small), library.store.books()), title, category, language, tag=f"{stream}/{number}")
+        library.ingest_files(not_ingested(landed.where(small), library.store.books()), title, category, language, tag=f"{stream}/{number}", read=landed)
         scratch.drop(landed)
 
     stream = library.spark.readStream.format("binaryFile").schema(schemas.SOURCE_FILE).load(landing)
